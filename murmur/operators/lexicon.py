@@ -50,13 +50,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
 
 
-def _negated_flags(toks: Column, negators) -> Column:
-    """For every token, whether one of the previous ``NEGATION_LOOKBACK`` tokens negates."""
+def _negation_marks(toks: Column, negators) -> Column:
     negs = F.array(*[F.lit(n) for n in negators])
-    is_neg = F.transform(toks, lambda t: F.array_contains(negs, t))
+    return F.transform(toks, lambda t: F.array_contains(negs, t))
+
+
+def _negated_flags(marks: Column, size: Column) -> Column:
+    """For every token, whether one of the previous ``NEGATION_LOOKBACK`` tokens negates:
+    OR of the marks shifted right by 1..k. Pure O(n) array algebra — no lambda refers to
+    another array, so inlining by the optimizer cannot make it quadratic."""
     k = config.NEGATION_LOOKBACK
-    return F.transform(toks, lambda t, i: F.exists(
-        F.slice(is_neg, F.greatest(i - (k - 1), F.lit(1)), F.least(i, F.lit(k))), lambda x: x))
+    shifted = [F.slice(F.concat(F.array_repeat(F.lit(False), j), marks), 1, size) for j in range(1, k + 1)]
+    out = shifted[0]
+    for sh in shifted[1:]:
+        out = F.zip_with(out, sh, lambda a, b: a | b)
+    return out
 
 
 def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str = "text",
@@ -65,9 +73,10 @@ def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str =
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     negators = negators if negators is not None else config.NEGATORS
     toks = items.select(*id_cols, tokens(truncate(F.col(text_col), truncate_chars)).alias("_toks"))
-    flagged = toks.select(*id_cols, F.arrays_zip(F.col("_toks").alias("term"),
-                                                 _negated_flags(F.col("_toks"), negators).alias("negated"))
-                          .alias("_z"))
+    marked = toks.select(*id_cols, "_toks", _negation_marks(F.col("_toks"), negators).alias("_marks"))
+    flagged = marked.select(*id_cols, F.arrays_zip(F.col("_toks").alias("term"),
+                                                   _negated_flags(F.col("_marks"), F.size("_toks")).alias("negated"))
+                            .alias("_z"))
     exploded = flagged.select(*id_cols, F.posexplode("_z").alias("pos", "_t")).select(
         *id_cols, "pos", F.col("_t.term").alias("term"), F.col("_t.negated").alias("negated"))
     lex = bounded_broadcast(lexicon.select("term", "valence").dropDuplicates(["term"]))

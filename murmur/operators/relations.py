@@ -43,7 +43,7 @@ def relation(posts: DataFrame, comments: DataFrame, parity: bool = False) -> Dat
 def comment_counts(comments: DataFrame, parity_relation: DataFrame | None = None) -> DataFrame:
     """A1: ``(link_id, comment_count)``. Partial aggregation collapses a hot post map-side.
     Pass the parity relation to count relation rows (duplicate posts double them)."""
-    src = parity_relation if parity_relation is not None else comments
+    src = parity_relation if parity_relation is not None else ensure_link_id(comments)
     key = "link_id_comment" if "link_id_comment" in src.columns else "link_id"
     return src.groupBy(F.col(key).alias("link_id")).agg(F.count(F.lit(1)).alias("comment_count"))
 

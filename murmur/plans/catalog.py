@@ -30,8 +30,18 @@ def register(name: str, sql: str | None):
     return deco
 
 
+# Rounded outputs are nudged by a relative 1e-12 first: averages of short decimals often
+# land exactly on a rounding tie, and the last-bit noise of a different summation order
+# would otherwise decide the direction differently in the two engines.
+NUDGE = 1.000000000001
+
+
 def rnd(c: str, digits: int = 6):
-    return F.round(F.col(c), digits).alias(c)
+    return F.round(F.col(c) * F.lit(NUDGE), digits).alias(c)
+
+
+def r_sql(expr: str, digits: int = 6) -> str:
+    return f"round(({expr}) * {NUDGE!r}, {digits})"
 
 
 # ---------------------------------------------------------------------------------------
@@ -85,7 +95,7 @@ f AS (SELECT *,
 g AS (SELECT *, CASE WHEN volatility_7d > median(volatility_7d) OVER (PARTITION BY symbol)
                      THEN 'High Volatility' ELSE 'Low Volatility' END AS market_regime
       FROM f)
-SELECT symbol, date, close, volume, ret AS return, round(volatility_7d, 9) AS volatility_7d,
+SELECT symbol, date, close, volume, ret AS return, round((volatility_7d) * 1.000000000001, 9) AS volatility_7d,
        illiquidity, turnover_ratio,
        market_regime{extra_cols}
 FROM g
@@ -138,8 +148,8 @@ r AS (SELECT *, kalman_close / nullif(lag(kalman_close) OVER (PARTITION BY symbo
 v AS (SELECT *, CASE WHEN count(kalman_return) OVER w7 = 7 THEN stddev_samp(kalman_return) OVER w7 END
                  AS kalman_volatility
       FROM r WINDOW w7 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT symbol, date, round(close, 6) AS close, round(kalman_close, 6) AS kalman_close,
-       round(kalman_return, 9) AS kalman_return, round(kalman_volatility, 9) AS kalman_volatility
+SELECT symbol, date, round((close) * 1.000000000001, 6) AS close, round((kalman_close) * 1.000000000001, 6) AS kalman_close,
+       round((kalman_return) * 1.000000000001, 9) AS kalman_return, round((kalman_volatility) * 1.000000000001, 9) AS kalman_volatility
 FROM v""")
 def q_kalman_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """W7+W8: Kalman-smoothed close as a 41-row FIR window, its return and 7-row volatility."""
@@ -147,3 +157,198 @@ def q_kalman_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     k = ts.kalman_features(b)
     return k.select("symbol", "date", rnd("close"), rnd("kalman_close"), rnd("kalman_return", 9),
                     rnd("kalman_volatility", 9))
+
+
+# ---------------------------------------------------------------------------------------
+# Social side: posts = orders, comments = lineitem lines (body = part name)
+# ---------------------------------------------------------------------------------------
+POSTS_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS author,
+       o_orderpriority AS title, CAST(epoch(o_orderdate) AS DOUBLE) AS created_utc,
+       CAST(floor(o_totalprice) AS BIGINT) AS score, CAST(o_orderdate AS DATE) AS date
+FROM orders"""
+
+COMMENTS_SQL = """
+SELECT concat_ws('-', l_orderkey, l_linenumber) AS id, CAST(l_suppkey AS VARCHAR) AS author,
+       p_name AS body, CAST(epoch(l_shipdate) AS DOUBLE) AS created_utc,
+       CAST(l_quantity AS BIGINT) AS score,
+       regexp_replace(concat('t3_', CAST(l_orderkey AS VARCHAR)), '^t3_', '') AS link_id,
+       CAST(l_shipdate AS DATE) AS date
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey"""
+
+
+def _posts(spark, sf):
+    return clean.add_date(tb.posts_from_orders(tb.load(spark, sf, "orders")), keep_timestamp=False)
+
+
+def _comments(spark, sf):
+    c = tb.comments_from_lineitem(tb.load(spark, sf, "lineitem"), tb.load(spark, sf, "part"))
+    return clean.add_date(c, keep_timestamp=False)
+
+
+def _relevance_sql(col: str, keywords) -> str:
+    low = f"lower(coalesce({col}, ''))"
+    return "CAST(" + " + ".join(f"CASE WHEN instr({low}, '{k}') > 0 THEN 1 ELSE 0 END" for k in keywords) + " AS INTEGER)"
+
+
+def _topic_sql(col: str, rules, default) -> str:
+    low = f"lower(coalesce({col}, ''))"
+    whens = " ".join("WHEN " + " OR ".join(f"instr({low}, '{n}') > 0" for n in needles) + f" THEN '{name}'"
+                     for name, needles in rules)
+    return f"CASE {whens} ELSE '{default}' END"
+
+
+@register("posts_dedup", f"""
+WITH p AS (SELECT id, author, title, created_utc, score, 0 AS delivery FROM ({POSTS_SQL})
+           UNION ALL
+           SELECT id, author, title, created_utc, score + 1, 1 FROM ({POSTS_SQL}))
+SELECT id, author, title, created_utc, arg_min(score, delivery) AS score
+FROM p GROUP BY id, author, title, created_utc""")
+def q_posts_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts delivered twice (the re-delivery carries a changed score); keep the first
+    delivery per (id, author, title, created_utc) — map-side collapsed, no window."""
+    p = tb.posts_from_orders(tb.load(spark, sf, "orders"))
+    twice = p.withColumn("delivery", F.lit(0)).unionByName(
+        p.withColumn("score", F.col("score") + 1).withColumn("delivery", F.lit(1)))
+    return clean.dedup_posts(twice, order_by="delivery").drop("delivery")
+
+
+@register("post_comment_relation", f"""
+WITH c AS ({COMMENTS_SQL}), p AS ({POSTS_SQL})
+SELECT c.id AS id_comment, c.link_id AS link_id, p.id AS id_post, p.title AS title,
+       c.author AS author_comment, p.author AS author_post, p.id IS NOT NULL AS has_parent_post
+FROM c LEFT JOIN p ON c.link_id = p.id""")
+def q_post_comment_relation(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + P11 + F3/F4: every comment with its parent post and the parent flag."""
+    rel = relations.relation(_posts(spark, sf), _comments(spark, sf))
+    return rel.select("id_comment", "link_id", "id_post", "title", "author_comment", "author_post",
+                      "has_parent_post")
+
+
+@register("orphan_comments", f"""
+WITH c AS ({COMMENTS_SQL}), p AS ({POSTS_SQL})
+SELECT count(*) AS comments, count(*) FILTER (WHERE p.id IS NULL) AS orphans,
+       count(DISTINCT c.link_id) FILTER (WHERE p.id IS NULL) AS missing_posts
+FROM c LEFT JOIN p ON c.link_id = p.id""")
+def q_orphan_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 + P12 + A12: comment count, orphan count and the number of missing parents."""
+    posts, comments = _posts(spark, sf), _comments(spark, sf)
+    orph = relations.orphans(posts, comments)
+    total = comments.agg(F.count(F.lit(1)).alias("comments"))
+    o = orph.agg(F.count(F.lit(1)).alias("orphans"), F.count_distinct("link_id").alias("missing_posts"))
+    return total.crossJoin(o)  # two one-row aggregates
+
+
+@register("post_engagement", f"""
+WITH p AS ({POSTS_SQL}),
+cc AS (SELECT link_id, count(*) AS comment_count FROM ({COMMENTS_SQL}) GROUP BY link_id)
+SELECT p.id, p.date, CAST(coalesce(cc.comment_count, 0) AS BIGINT) AS comment_count,
+       {_relevance_sql('p.title', DATA_KEYWORDS)} AS relevance,
+       {_topic_sql('p.title', DATA_TOPICS, DATA_TOPIC_DEFAULT)} AS topic,
+       round((1 + ln(1 + coalesce(cc.comment_count, 0)) + p.score / 100) * 1.000000000001, 6) AS engagement
+FROM p LEFT JOIN cc ON p.id = cc.link_id""")
+def q_post_engagement(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + J2 + P9 + F7-F9: comments per post (0 when none), relevance, topic, engagement."""
+    posts = _posts(spark, sf)
+    counts = relations.comment_counts(_comments(spark, sf))
+    enriched = relations.enrich_posts(relations.posts_with_counts(posts, counts),
+                                      DATA_KEYWORDS, DATA_TOPICS, DATA_TOPIC_DEFAULT)
+    return enriched.select("id", "date", "comment_count", "relevance", "topic", rnd("engagement"))
+
+
+DAILY_POSTS_SQL = f"""
+WITH p AS ({POSTS_SQL}),
+cc AS (SELECT link_id, count(*) AS comment_count FROM ({COMMENTS_SQL}) GROUP BY link_id),
+e AS (SELECT p.date, coalesce(cc.comment_count, 0) AS comment_count,
+             {_relevance_sql('p.title', DATA_KEYWORDS)} AS relevance,
+             1 + ln(1 + coalesce(cc.comment_count, 0)) + p.score / 100 AS engagement
+      FROM p LEFT JOIN cc ON p.id = cc.link_id)
+SELECT date, avg(engagement) AS engagement, avg(relevance) AS relevance,
+       avg(comment_count) AS mean_post_comments
+FROM e GROUP BY date"""
+
+
+@register("daily_posts", f"""
+SELECT date, round((engagement) * 1.000000000001, 6) AS engagement, relevance, mean_post_comments
+FROM ({DAILY_POSTS_SQL})""")
+def q_daily_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: per-day mean engagement, relevance and comments per post."""
+    return _daily_posts(spark, sf).select("date", rnd("engagement"), "relevance", "mean_post_comments")
+
+
+def _daily_posts(spark, sf):
+    posts = _posts(spark, sf)
+    counts = relations.comment_counts(_comments(spark, sf))
+    enriched = relations.enrich_posts(relations.posts_with_counts(posts, counts),
+                                      DATA_KEYWORDS, DATA_TOPICS, DATA_TOPIC_DEFAULT)
+    return rollups.daily_posts(enriched)
+
+
+# ---------------------------------------------------------------------------------------
+# Lexicon scoring (T1-T3) over whole texts
+# ---------------------------------------------------------------------------------------
+def lexicon_scores_sql(items_sql: str, keep: str = "") -> str:
+    negs = ", ".join(f"'{n}'" for n in __import__("murmur.config", fromlist=["x"]).NEGATORS)
+    from murmur import config as cfg
+    return f"""
+WITH items AS ({items_sql}),
+lx AS ({_lexicon_sql()}),
+tk AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{lex.TOKEN_PATTERN}') AS t FROM items),
+ex AS (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS p FROM tk),
+fl AS (SELECT item_id, t[p] AS term,
+              list_has_any(t[greatest(p - {cfg.NEGATION_LOOKBACK}, 1):p - 1], [{negs}]) AS negated FROM ex),
+hits AS (SELECT fl.item_id, lx.valence, fl.negated FROM fl JOIN lx ON fl.term = lx.term),
+agg AS (SELECT item_id,
+               sum(valence * CASE WHEN negated THEN {cfg.NEGATION_SCALAR} ELSE 1 END) AS s,
+               avg(valence / {cfg.POLARITY_SCALE} * CASE WHEN negated THEN {cfg.POLARITY_NEGATION} ELSE 1 END) AS pol
+        FROM hits GROUP BY item_id)
+SELECT items.item_id{keep},
+       coalesce(s / sqrt(s * s + {cfg.COMPOUND_ALPHA}), CAST(0 AS DOUBLE)) AS vader,
+       coalesce(pol, CAST(0 AS DOUBLE)) AS textblob
+FROM items LEFT JOIN agg ON items.item_id = agg.item_id"""
+
+
+DOC_ITEMS_SQL = f"""
+SELECT doc_id AS item_id, CAST(DATE '{tb.DOC_EPOCH}' + CAST(doc_id % {tb.DOC_DAYS} AS INTEGER) AS DATE) AS date,
+       1 AS kind, doc_id AS ord, text, n_chars AS score
+FROM documents"""
+
+SOCIAL_ITEMS_SQL = f"""
+SELECT '0:' || id AS item_id, date, 0 AS kind, id AS ord, body AS text, score FROM ({COMMENTS_SQL})
+UNION ALL
+SELECT '1:' || id AS item_id, date, 1 AS kind, id AS ord, title AS text, score FROM ({POSTS_SQL})"""
+
+
+@register("document_sentiment", f"""
+SELECT item_id, date, round((vader) * 1.000000000001, 9) AS vader, round((textblob) * 1.000000000001, 9) AS textblob
+FROM ({lexicon_scores_sql(DOC_ITEMS_SQL, ', items.date')})""")
+def q_document_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    """T1-T3 on whole documents: rule-based compound and mean-polarity scores per item."""
+    items = tb.documents_as_items(tb.load(spark, sf, "documents"))
+    s = lex.score_items(items, lex.lexicon_frame(spark), "item_id", keep=["date"])
+    return s.select("item_id", "date", rnd("vader", 9), rnd("textblob", 9))
+
+
+def _social_items(spark, sf, parity=False):
+    return clean.union_items(_comments(spark, sf), _posts(spark, sf), parity=parity)
+
+
+def _scored_social_items(spark, sf):
+    items = _social_items(spark, sf)
+    return lex.score_items(items, lex.lexicon_frame(spark), "item_id", keep=["date", "score"])
+
+
+DAILY_SOCIAL_SQL = f"""
+SELECT date, avg(vader) AS avg_sentiment, avg(textblob) AS textblob_sentiment,
+       avg(score) AS avg_score, count(*) AS item_count
+FROM ({lexicon_scores_sql(SOCIAL_ITEMS_SQL, ', items.date, items.score')}) GROUP BY date"""
+
+
+@register("daily_social", f"""
+SELECT date, round((avg_sentiment) * 1.000000000001, 9) AS avg_sentiment, round((textblob_sentiment) * 1.000000000001, 9) AS textblob_sentiment,
+       avg_score, item_count
+FROM ({DAILY_SOCIAL_SQL})""")
+def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
+    """U1 + T3 + A2: per-day mean scores, mean item score and item count over comments and posts."""
+    d = rollups.daily_social(_scored_social_items(spark, sf))
+    return d.select("date", rnd("avg_sentiment", 9), rnd("textblob_sentiment", 9), "avg_score", "item_count")
