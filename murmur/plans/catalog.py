@@ -232,11 +232,10 @@ SELECT count(*) AS comments, count(*) FILTER (WHERE p.id IS NULL) AS orphans,
 FROM c LEFT JOIN p ON c.link_id = p.id""")
 def q_orphan_comments(spark: SparkSession, sf: str) -> DataFrame:
     """J9 + P12 + A12: comment count, orphan count and the number of missing parents."""
-    posts, comments = _posts(spark, sf), _comments(spark, sf)
-    orph = relations.orphans(posts, comments)
-    total = comments.agg(F.count(F.lit(1)).alias("comments"))
-    o = orph.agg(F.count(F.lit(1)).alias("orphans"), F.count_distinct("link_id").alias("missing_posts"))
-    return total.crossJoin(o)  # two one-row aggregates
+    rel = relations.relation(_posts(spark, sf), _comments(spark, sf))
+    return rel.agg(F.count(F.lit(1)).alias("comments"),
+                   F.count_if(~F.col("has_parent_post")).alias("orphans"),
+                   F.count_distinct(F.when(~F.col("has_parent_post"), F.col("link_id"))).alias("missing_posts"))
 
 
 @register("post_engagement", f"""
@@ -352,3 +351,294 @@ def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
     """U1 + T3 + A2: per-day mean scores, mean item score and item count over comments and posts."""
     d = rollups.daily_social(_scored_social_items(spark, sf))
     return d.select("date", rnd("avg_sentiment", 9), rnd("textblob_sentiment", 9), "avg_score", "item_count")
+
+
+# ---------------------------------------------------------------------------------------
+# Market x social features (J6 + W9 with sentiment lags) and the statistics over them
+# ---------------------------------------------------------------------------------------
+from murmur.functions.labels import five_class, three_class  # noqa: E402
+from murmur.operators import ordering, stats  # noqa: E402
+
+MS_SQL = f"""
+WITH bars AS ({BARS_SQL}),
+soc AS ({DAILY_SOCIAL_SQL}),
+dp AS ({DAILY_POSTS_SQL}),
+j AS (SELECT bars.*, soc.avg_sentiment, soc.textblob_sentiment, soc.avg_score, soc.item_count,
+             dp.engagement, dp.relevance, dp.mean_post_comments
+      FROM bars JOIN soc USING (date) LEFT JOIN dp USING (date)),
+r AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS ret FROM j),
+f AS (SELECT *,
+        CASE WHEN count(ret) OVER w7 = 7 THEN stddev_samp(ret) OVER w7 END AS volatility_7d,
+        abs(ret) / nullif(volume, 0) AS illiquidity,
+        CASE WHEN count(volume) OVER w30 = 30 THEN volume / nullif(avg(volume) OVER w30, 0) END AS turnover_ratio,
+        lag(avg_sentiment, 1) OVER w AS sentiment_lag_1, lag(avg_sentiment, 2) OVER w AS sentiment_lag_2
+      FROM r
+      WINDOW w AS (PARTITION BY symbol ORDER BY date),
+             w7 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+             w30 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, CASE WHEN volatility_7d > median(volatility_7d) OVER (PARTITION BY symbol)
+                     THEN 'High Volatility' ELSE 'Low Volatility' END AS market_regime FROM f),
+feat AS (SELECT * RENAME (ret AS return) FROM g
+         WHERE ret IS NOT NULL AND volatility_7d IS NOT NULL AND illiquidity IS NOT NULL
+           AND turnover_ratio IS NOT NULL AND sentiment_lag_1 IS NOT NULL AND sentiment_lag_2 IS NOT NULL
+           AND engagement IS NOT NULL AND relevance IS NOT NULL AND mean_post_comments IS NOT NULL
+           AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL)"""
+
+
+def _market_social(spark, sf, passes: int = 1):
+    bars = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
+    social = rollups.social_table(rollups.daily_social(_scored_social_items(spark, sf)), None,
+                                  _daily_posts(spark, sf))
+    return ts.features(rollups.market_social(bars, social), sentiment="avg_sentiment", passes=passes)
+
+
+@register("market_social_features", MS_SQL + f"""
+SELECT symbol, date, close, volume, return, {r_sql('volatility_7d', 9)} AS volatility_7d, illiquidity,
+       turnover_ratio, {r_sql('avg_sentiment', 9)} AS avg_sentiment,
+       {r_sql('sentiment_lag_1', 9)} AS sentiment_lag_1, {r_sql('sentiment_lag_2', 9)} AS sentiment_lag_2,
+       item_count, {r_sql('engagement', 6)} AS engagement, market_regime
+FROM feat""")
+def q_market_social_features(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 + W1-W6 + W9: market bars joined with the daily social table, full feature bundle."""
+    f = _market_social(spark, sf)
+    return f.select("symbol", "date", "close", "volume", "return", rnd("volatility_7d", 9), "illiquidity",
+                    "turnover_ratio", rnd("avg_sentiment", 9), rnd("sentiment_lag_1", 9),
+                    rnd("sentiment_lag_2", 9), "item_count", rnd("engagement", 6), "market_regime")
+
+
+def _corr_sql(source_cte: str, cols: list[str]) -> str:
+    parts = [f"SELECT '{a}' AS row, '{b}' AS col, {r_sql(f'corr({a}, {b})', 9)} AS corr FROM {source_cte}"
+             for a in cols for b in cols]
+    return "\nUNION ALL\n".join(parts)
+
+
+_CORR_COLS = ["close", "volume", "return", "volatility_7d", "illiquidity", "turnover_ratio",
+              "avg_sentiment", "item_count"]
+
+
+@register("feature_correlations", MS_SQL + "\n" + _corr_sql("feat", _CORR_COLS))
+def q_feature_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """8x8 Pearson matrix of the feature table in one aggregation (long form)."""
+    c = stats.correlation_matrix(_market_social(spark, sf), _CORR_COLS)
+    return c.select("row", "col", rnd("corr", 9))
+
+
+@register("sentiment_histogram", MS_SQL + f""",
+rg AS (SELECT CASE WHEN min(avg_sentiment) = max(avg_sentiment) THEN min(avg_sentiment) - 0.5 ELSE min(avg_sentiment) END AS lo,
+              CASE WHEN min(avg_sentiment) = max(avg_sentiment) THEN max(avg_sentiment) + 0.5 ELSE max(avg_sentiment) END AS hi
+       FROM feat WHERE avg_sentiment IS NOT NULL),
+b AS (SELECT CAST(least(floor((avg_sentiment - lo) * 25 / (hi - lo)), 24) AS INTEGER) AS bin, count(*) AS n
+      FROM feat, rg WHERE avg_sentiment IS NOT NULL GROUP BY 1)
+SELECT g.bin, {r_sql('lo + g.bin * ((hi - lo) / 25)', 9)} AS lo, {r_sql('lo + (g.bin + 1) * ((hi - lo) / 25)', 9)} AS hi,
+       CAST(coalesce(b.n, 0) AS BIGINT) AS count
+FROM rg, (SELECT CAST(range AS INTEGER) AS bin FROM range(25)) g LEFT JOIN b ON g.bin = b.bin""")
+def q_sentiment_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """25 equal-width bins of daily mean sentiment (last bin closed, empty bins kept)."""
+    h = stats.histogram(_market_social(spark, sf), "avg_sentiment", 25)
+    return h.select("bin", rnd("lo", 9), rnd("hi", 9), "count")
+
+
+@register("volume_box", MS_SQL + f""",
+q AS (SELECT quantile_cont(volume, 0.25) AS q1, quantile_cont(volume, 0.5) AS median,
+             quantile_cont(volume, 0.75) AS q3 FROM feat),
+fz AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS fence_lo, q3 + 1.5 * (q3 - q1) AS fence_hi FROM q)
+SELECT q1, median, q3, iqr, fence_lo, fence_hi,
+       min(CASE WHEN volume >= fence_lo THEN volume END) AS whisker_lo,
+       max(CASE WHEN volume <= fence_hi THEN volume END) AS whisker_hi,
+       count(*) FILTER (WHERE volume < fence_lo OR volume > fence_hi) AS outliers, count(*) AS count
+FROM feat, fz GROUP BY ALL""")
+def q_volume_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quartiles, 1.5 IQR fences, whiskers and outlier count of daily volume."""
+    return stats.box_stats(_market_social(spark, sf), "volume")
+
+
+@register("lag_scatter", MS_SQL + """
+SELECT CAST(floor(sentiment_lag_1 / 0.01) AS BIGINT) AS x_bin, CAST(floor(illiquidity / 0.000001) AS BIGINT) AS y_bin,
+       count(*) AS count
+FROM feat GROUP BY ALL""")
+def q_lag_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    """W10 + E7: lagged sentiment vs illiquidity as 2-D binned counts."""
+    pts = ts.lag_points(_market_social(spark, sf))
+    return stats.binned_scatter(pts, "sentiment_lag_1", "illiquidity", 0.01, 0.000001)
+
+
+@register("chronological_split", MS_SQL + """,
+s AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn,
+             count(*) OVER (PARTITION BY symbol) AS n FROM feat)
+SELECT symbol, count(*) FILTER (WHERE rn <= n - ceil(n * 0.2)) AS n_train,
+       count(*) FILTER (WHERE rn > n - ceil(n * 0.2)) AS n_test,
+       min(date) FILTER (WHERE rn > n - ceil(n * 0.2)) AS first_test_date
+FROM s GROUP BY symbol""")
+def q_chronological_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-symbol chronological 80/20 split (test = last ceil(0.2 n) rows)."""
+    s = ts.chronological_split(_market_social(spark, sf))
+    return s.groupBy("symbol").agg(F.count_if(~F.col("is_test")).alias("n_train"),
+                                   F.count_if(F.col("is_test")).alias("n_test"),
+                                   F.min(F.when(F.col("is_test"), F.col("date"))).alias("first_test_date"))
+
+
+# ---------------------------------------------------------------------------------------
+# Scorer validation on whole documents: rule score, polarity score, human label score
+# ---------------------------------------------------------------------------------------
+DOC_SCORES_SQL = f"""
+SELECT s.item_id, s.date, s.vader, s.textblob, CAST(l.quality - l.toxic AS DOUBLE) AS finbert
+FROM ({lexicon_scores_sql(DOC_ITEMS_SQL, ', items.date')}) s LEFT JOIN labels l ON s.item_id = l.doc_id"""
+
+
+def _doc_scores(spark, sf):
+    items = tb.documents_as_items(tb.load(spark, sf, "documents"))
+    s = lex.score_items(items, lex.lexicon_frame(spark), "item_id", keep=["date"])
+    lab = tb.label_scores(tb.load(spark, sf, "labels"))
+    return s.join(lab, s["item_id"] == lab["doc_id"], "left").drop("doc_id") \
+        .withColumnRenamed("label_score", "finbert")
+
+
+def _sql3(x):
+    from murmur import config as cfg
+    c = cfg.THREE_CLASS_CUT
+    return f"CASE WHEN {x} > {c} THEN 'positive' WHEN {x} < -{c} THEN 'negative' ELSE 'neutral' END"
+
+
+def _sql5(x):
+    from murmur import config as cfg
+    hi, mid = cfg.FIVE_CLASS_EXTREME, cfg.FIVE_CLASS_MILD
+    return (f"CASE WHEN {x} >= {hi} THEN 'Extremely Positive' WHEN {x} >= {mid} THEN 'Positive' "
+            f"WHEN {x} <= -{hi} THEN 'Extremely Negative' WHEN {x} <= -{mid} THEN 'Negative' ELSE 'Neutral' END")
+
+
+_PAIRS = [("vader", "textblob"), ("vader", "finbert"), ("textblob", "finbert")]
+
+
+def _kappa_sql(src: str) -> str:
+    stacked = "\nUNION ALL\n".join(
+        f"SELECT '{a} vs {b}' AS comparison, {_sql3(a)} AS la, {_sql3(b)} AS lb FROM {src}" for a, b in _PAIRS)
+    return f""",
+st AS ({stacked}),
+cells AS (SELECT comparison, la, lb, count(*) AS n FROM st GROUP BY ALL),
+tot AS (SELECT comparison, sum(n) AS total, sum(CASE WHEN la = lb THEN n END) AS diag FROM cells GROUP BY 1),
+ra AS (SELECT comparison, la AS label, sum(n) AS na FROM cells GROUP BY ALL),
+rb AS (SELECT comparison, lb AS label, sum(n) AS nb FROM cells GROUP BY ALL),
+mg AS (SELECT comparison, sum(na * nb) AS pe_num FROM ra JOIN rb USING (comparison, label) GROUP BY 1),
+k AS (SELECT comparison, total, coalesce(diag, 0) / CAST(total AS DOUBLE) AS po,
+             coalesce(pe_num, 0) / (CAST(total AS DOUBLE) * total) AS pe FROM tot LEFT JOIN mg USING (comparison))
+SELECT comparison, CAST(total AS INTEGER) AS sample_size,
+       {r_sql('CASE WHEN pe = 1 THEN NULL ELSE (po - pe) / (1 - pe) END', 9)} AS kappa FROM k"""
+
+
+def _labelled(df):
+    return df.select("*", *[three_class(c).alias(c) for c in ()])
+
+
+def _kappa_frame(scores: DataFrame) -> DataFrame:
+    lab = scores.select(*[three_class(c).alias(c) for c in ("vader", "textblob", "finbert")])
+    k = stats.cohen_kappa(lab, _PAIRS)
+    return k.select("comparison", "sample_size", rnd("kappa", 9))
+
+
+@register("scorer_agreement", f"WITH ds AS ({DOC_SCORES_SQL})" + _kappa_sql("ds"))
+def q_scorer_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 + A13 over every document: Cohen's kappa of the three scorers' 3-class labels."""
+    return _kappa_frame(_doc_scores(spark, sf))
+
+
+SAMPLE_SQL = f"""
+ds AS ({DOC_SCORES_SQL}),
+smp AS (SELECT * FROM ds ORDER BY md5('42:' || CAST(item_id AS VARCHAR)), item_id LIMIT 100)"""
+
+
+@register("scorer_agreement_sample", "WITH " + SAMPLE_SQL + _kappa_sql("smp"))
+def q_scorer_agreement_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """O4 + T8: kappa on a reproducible 100-row sample (sampling is the feature here)."""
+    return _kappa_frame(ordering.seeded_sample(_doc_scores(spark, sf), "item_id", 100))
+
+
+@register("reliability_sample", "WITH " + SAMPLE_SQL + f"""
+SELECT item_id, date, {r_sql('vader', 9)} AS vader, {r_sql('textblob', 9)} AS textblob, finbert,
+       {_sql5('vader')} AS vader_label, {_sql5('textblob')} AS textblob_label, {_sql5('finbert')} AS finbert_label
+FROM smp""")
+def q_reliability_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """O4 + T7 + D2: sampled items with the three scores and their five-class labels."""
+    s = ordering.seeded_sample(_doc_scores(spark, sf), "item_id", 100)
+    return s.select("item_id", "date", rnd("vader", 9), rnd("textblob", 9), "finbert",
+                    *[five_class(c).alias(f"{c}_label") for c in ("vader", "textblob", "finbert")])
+
+
+@register("label_counts", f"WITH ds AS ({DOC_SCORES_SQL})\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS scorer, {_sql5(c)} AS label, count(*) AS count FROM ds GROUP BY ALL"
+    for c in ("vader", "textblob", "finbert")))
+def q_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 counts: five-class label frequencies per scorer over all documents (one unpivot)."""
+    s = _doc_scores(spark, sf)
+    long = stats.unpivot(s.select("vader", "textblob", "finbert"), ["vader", "textblob", "finbert"], "scorer", "v")
+    return long.groupBy("scorer", five_class("v").alias("label")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("scorer_correlations", f"WITH ds AS ({DOC_SCORES_SQL})\n" + _corr_sql("ds", ["vader", "textblob", "finbert"]))
+def q_scorer_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """Pearson correlations of the three scorers over all documents."""
+    c = stats.correlation_matrix(_doc_scores(spark, sf), ["vader", "textblob", "finbert"])
+    return c.select("row", "col", rnd("corr", 9))
+
+
+@register("scorer_histograms", f"""
+WITH ds AS ({DOC_SCORES_SQL}),
+lg AS (SELECT 'vader' AS scorer, vader AS v FROM ds UNION ALL SELECT 'textblob', textblob FROM ds
+       UNION ALL SELECT 'finbert', finbert FROM ds),
+rg AS (SELECT scorer, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+              CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
+       FROM lg WHERE v IS NOT NULL GROUP BY scorer),
+b AS (SELECT scorer, CAST(least(floor((v - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS n
+      FROM lg JOIN rg USING (scorer) WHERE v IS NOT NULL GROUP BY ALL)
+SELECT rg.scorer, g.bin, {r_sql('lo + g.bin * ((hi - lo) / 30)', 9)} AS lo,
+       {r_sql('lo + (g.bin + 1) * ((hi - lo) / 30)', 9)} AS hi, CAST(coalesce(b.n, 0) AS BIGINT) AS count
+FROM rg CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) g
+LEFT JOIN b ON b.scorer = rg.scorer AND b.bin = g.bin""")
+def q_scorer_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    """Three 30-bin histograms, each over its own range, from one unpivot + one aggregation."""
+    s = _doc_scores(spark, sf)
+    long = stats.unpivot(s.select("vader", "textblob", "finbert"), ["vader", "textblob", "finbert"], "scorer", "v")
+    h = stats.histogram(long, "v", 30, ["scorer"])
+    return h.select("scorer", "bin", rnd("lo", 9), rnd("hi", 9), "count")
+
+
+@register("scorer_boxes", f"""
+WITH ds AS ({DOC_SCORES_SQL}),
+lg AS (SELECT 'vader' AS scorer, vader AS v FROM ds UNION ALL SELECT 'textblob', textblob FROM ds
+       UNION ALL SELECT 'finbert', finbert FROM ds),
+q AS (SELECT scorer, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+      FROM lg GROUP BY scorer),
+fz AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS fence_lo, q3 + 1.5 * (q3 - q1) AS fence_hi FROM q)
+SELECT scorer, {r_sql('q1', 9)} AS q1, {r_sql('median', 9)} AS median, {r_sql('q3', 9)} AS q3,
+       {r_sql('iqr', 9)} AS iqr, {r_sql('fence_lo', 9)} AS fence_lo, {r_sql('fence_hi', 9)} AS fence_hi,
+       {r_sql('min(CASE WHEN v >= fence_lo THEN v END)', 9)} AS whisker_lo,
+       {r_sql('max(CASE WHEN v <= fence_hi THEN v END)', 9)} AS whisker_hi,
+       count(*) FILTER (WHERE v < fence_lo OR v > fence_hi) AS outliers, count(*) AS count
+FROM lg JOIN fz USING (scorer) WHERE v IS NOT NULL GROUP BY scorer, q1, median, q3, iqr, fence_lo, fence_hi""")
+def q_scorer_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: box statistics of the three scorers side by side (exact quartiles)."""
+    s = _doc_scores(spark, sf)
+    long = stats.unpivot(s.select("vader", "textblob", "finbert"), ["vader", "textblob", "finbert"], "scorer", "v")
+    b = stats.box_stats(long, "v", ["scorer"])
+    return b.select("scorer", *[rnd(c, 9) for c in ("q1", "median", "q3", "iqr", "fence_lo", "fence_hi",
+                                                    "whisker_lo", "whisker_hi")], "outliers", "count")
+
+
+@register("score_summary", f"""
+WITH it AS ({SOCIAL_ITEMS_SQL})
+SELECT count(score) AS count, avg(score) AS mean, {r_sql('stddev_samp(score)', 6)} AS std,
+       min(score) AS min, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.5) AS q50,
+       quantile_cont(score, 0.75) AS q75, max(score) AS max
+FROM it""")
+def q_score_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: count, mean, std, min, exact quartiles, max of the item score over all items."""
+    d = stats.describe(_social_items(spark, sf).withColumn("score", F.col("score").cast("double")), "score")
+    return d.select("count", "mean", rnd("std", 6), F.col("min").cast("bigint").alias("min"),
+                    "q25", "q50", "q75", F.col("max").cast("bigint").alias("max"))
+
+
+@register("top_comment_texts", f"""
+WITH c AS ({COMMENTS_SQL})
+SELECT body, count(*) AS count FROM c GROUP BY body ORDER BY count DESC, body NULLS FIRST LIMIT 10""")
+def q_top_comment_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most frequent comment texts (a top-k report)."""
+    return stats.top_frequencies(_comments(spark, sf), "body", 10)
