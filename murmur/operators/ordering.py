@@ -74,13 +74,13 @@ def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | N
     gw = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
     offs = totals.select(
         "_pid", *group_cols,
-        F.coalesce(F.sum("_ptotal").over(gw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.coalesce(F.sum("_ptotal").over(gw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff"),
         F.sum("_ptotal").over(Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1)))
         .alias("_group_total"))
     # offs holds at most (#partitions + #groups) rows
     out = local.join(bounded_broadcast(offs), ["_pid", *group_cols], "inner")
-    out = out.withColumn(out_col, (F.col("_local") + F.col("_off")).cast(acc_type))
-    drop = ["_pid", "_local", "_off"] + (["_w1"] if weight_col is None else [])
+    out = out.withColumn(out_col, (F.col("_local") + F.col("_poff")).cast(acc_type))
+    drop = ["_pid", "_local", "_poff"] + (["_w1"] if weight_col is None else [])
     return out.drop(*drop)
 
 

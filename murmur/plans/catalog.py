@@ -642,3 +642,56 @@ SELECT body, count(*) AS count FROM c GROUP BY body ORDER BY count DESC, body NU
 def q_top_comment_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most frequent comment texts (a top-k report)."""
     return stats.top_frequencies(_comments(spark, sf), "body", 10)
+
+
+# ---------------------------------------------------------------------------------------
+# Day-level text and model scoring (A5/F5, T4, T6, R1) over whole documents
+# ---------------------------------------------------------------------------------------
+from murmur.operators import scoring, textchunks  # noqa: E402
+from murmur.session import shared_scratch_path  # noqa: E402
+from murmur.streaming import incremental  # noqa: E402
+from murmur import config as _cfg  # noqa: E402
+
+CHUNKS_SQL = f"""
+WITH items AS ({DOC_ITEMS_SQL}),
+d AS (SELECT date, string_agg(coalesce(text, ''), ' ' ORDER BY kind, ord) AS t FROM items GROUP BY date),
+c AS (SELECT date, t, unnest(range(0, greatest(1, CAST(ceil(length(t) / {_cfg.CHUNK_CHARS}) AS BIGINT)))) AS chunk FROM d)
+SELECT date, CAST(chunk AS BIGINT) AS chunk, substring(t, CAST(chunk * {_cfg.CHUNK_CHARS} + 1 AS BIGINT), {_cfg.CHUNK_CHARS}) AS text
+FROM c"""
+
+
+def _doc_chunks(spark, sf):
+    return textchunks.daily_chunks(tb.documents_as_items(tb.load(spark, sf, "documents")))
+
+
+@register("daily_text_chunks", CHUNKS_SQL)
+def q_daily_text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 + F5 on whole texts: each day's documents joined by spaces, in 1,800-char chunks."""
+    return _doc_chunks(spark, sf)
+
+
+@register("daily_model_scores", f"""
+SELECT date, CAST(0 AS DOUBLE) AS finbert_sentiment, count(*) AS chunks FROM ({CHUNKS_SQL}) GROUP BY date""")
+def q_daily_model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: every chunk of every day through the batch model scorer, averaged per day.
+    With no model installed this is the original's offline result: neutral 0."""
+    return scoring.daily_model_scores(_doc_chunks(spark, sf), scoring.neutral_factory)
+
+
+@register("item_irony", """
+SELECT doc_id AS item_id, 'UNKNOWN' AS sarcasm_label, CAST(0 AS DOUBLE) AS sarcasm_score FROM documents""")
+def q_item_irony(spark: SparkSession, sf: str) -> DataFrame:
+    """Irony label and score per document through the batch scorer (offline: UNKNOWN, 0)."""
+    docs = tb.load(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")
+    return scoring.irony_scores(docs, ["item_id"], "text", scoring.neutral_factory)
+
+
+@register("incremental_irony", """
+SELECT doc_id AS item_id, 'UNKNOWN' AS sarcasm_label, CAST(0 AS DOUBLE) AS sarcasm_score FROM documents""")
+def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
+    """The irony job as an availableNow stream over the documents file, exactly-once
+    into a Parquet sink under the shared checkpoint folder."""
+    out = incremental.incremental_irony(
+        spark, sf, shared_scratch_path(spark, "irony-sink"), shared_scratch_path(spark, "irony-ckpt"),
+        key_cols=["doc_id"], path_glob="documents.parquet", factory=scoring.neutral_factory)
+    return out.withColumnRenamed("doc_id", "item_id")
