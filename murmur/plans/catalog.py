@@ -41,7 +41,8 @@ def rnd(c: str, digits: int = 6):
 
 
 def r_sql(expr: str, digits: int = 6) -> str:
-    return f"round(({expr}) * {NUDGE!r}, {digits})"
+    # "+ 0.0" turns DuckDB's -0.0 into 0.0 (Spark's round never yields -0.0)
+    return f"(round(({expr}) * {NUDGE!r}, {digits}) + 0.0)"
 
 
 # ---------------------------------------------------------------------------------------
@@ -95,7 +96,7 @@ f AS (SELECT *,
 g AS (SELECT *, CASE WHEN volatility_7d > median(volatility_7d) OVER (PARTITION BY symbol)
                      THEN 'High Volatility' ELSE 'Low Volatility' END AS market_regime
       FROM f)
-SELECT symbol, date, close, volume, ret AS return, round((volatility_7d) * 1.000000000001, 9) AS volatility_7d,
+SELECT symbol, date, close, volume, ret AS return, (round((volatility_7d) * 1.000000000001, 9) + 0.0) AS volatility_7d,
        illiquidity, turnover_ratio,
        market_regime{extra_cols}
 FROM g
@@ -148,8 +149,8 @@ r AS (SELECT *, kalman_close / nullif(lag(kalman_close) OVER (PARTITION BY symbo
 v AS (SELECT *, CASE WHEN count(kalman_return) OVER w7 = 7 THEN stddev_samp(kalman_return) OVER w7 END
                  AS kalman_volatility
       FROM r WINDOW w7 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT symbol, date, round((close) * 1.000000000001, 6) AS close, round((kalman_close) * 1.000000000001, 6) AS kalman_close,
-       round((kalman_return) * 1.000000000001, 9) AS kalman_return, round((kalman_volatility) * 1.000000000001, 9) AS kalman_volatility
+SELECT symbol, date, (round((close) * 1.000000000001, 6) + 0.0) AS close, (round((kalman_close) * 1.000000000001, 6) + 0.0) AS kalman_close,
+       (round((kalman_return) * 1.000000000001, 9) + 0.0) AS kalman_return, (round((kalman_volatility) * 1.000000000001, 9) + 0.0) AS kalman_volatility
 FROM v""")
 def q_kalman_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """W7+W8: Kalman-smoothed close as a 41-row FIR window, its return and 7-row volatility."""
@@ -244,7 +245,7 @@ cc AS (SELECT link_id, count(*) AS comment_count FROM ({COMMENTS_SQL}) GROUP BY
 SELECT p.id, p.date, CAST(coalesce(cc.comment_count, 0) AS BIGINT) AS comment_count,
        {_relevance_sql('p.title', DATA_KEYWORDS)} AS relevance,
        {_topic_sql('p.title', DATA_TOPICS, DATA_TOPIC_DEFAULT)} AS topic,
-       round((1 + ln(1 + coalesce(cc.comment_count, 0)) + p.score / 100) * 1.000000000001, 6) AS engagement
+       (round((1 + ln(1 + coalesce(cc.comment_count, 0)) + p.score / 100) * 1.000000000001, 6) + 0.0) AS engagement
 FROM p LEFT JOIN cc ON p.id = cc.link_id""")
 def q_post_engagement(spark: SparkSession, sf: str) -> DataFrame:
     """A1 + J2 + P9 + F7-F9: comments per post (0 when none), relevance, topic, engagement."""
@@ -268,7 +269,7 @@ FROM e GROUP BY date"""
 
 
 @register("daily_posts", f"""
-SELECT date, round((engagement) * 1.000000000001, 6) AS engagement, relevance, mean_post_comments
+SELECT date, (round((engagement) * 1.000000000001, 6) + 0.0) AS engagement, relevance, mean_post_comments
 FROM ({DAILY_POSTS_SQL})""")
 def q_daily_posts(spark: SparkSession, sf: str) -> DataFrame:
     """A4: per-day mean engagement, relevance and comments per post."""
@@ -319,7 +320,7 @@ SELECT '1:' || id AS item_id, date, 1 AS kind, id AS ord, title AS text, score F
 
 
 @register("document_sentiment", f"""
-SELECT item_id, date, round((vader) * 1.000000000001, 9) AS vader, round((textblob) * 1.000000000001, 9) AS textblob
+SELECT item_id, date, (round((vader) * 1.000000000001, 9) + 0.0) AS vader, (round((textblob) * 1.000000000001, 9) + 0.0) AS textblob
 FROM ({lexicon_scores_sql(DOC_ITEMS_SQL, ', items.date')})""")
 def q_document_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     """T1-T3 on whole documents: rule-based compound and mean-polarity scores per item."""
@@ -344,7 +345,7 @@ FROM ({lexicon_scores_sql(SOCIAL_ITEMS_SQL, ', items.date, items.score')}) GROUP
 
 
 @register("daily_social", f"""
-SELECT date, round((avg_sentiment) * 1.000000000001, 9) AS avg_sentiment, round((textblob_sentiment) * 1.000000000001, 9) AS textblob_sentiment,
+SELECT date, (round((avg_sentiment) * 1.000000000001, 9) + 0.0) AS avg_sentiment, (round((textblob_sentiment) * 1.000000000001, 9) + 0.0) AS textblob_sentiment,
        avg_score, item_count
 FROM ({DAILY_SOCIAL_SQL})""")
 def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
@@ -453,12 +454,14 @@ def q_volume_box(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("lag_scatter", MS_SQL + """
-SELECT CAST(floor(sentiment_lag_1 / 0.01) AS BIGINT) AS x_bin, CAST(floor(illiquidity / 0.000001) AS BIGINT) AS y_bin,
+SELECT CAST(floor(x / 0.01) AS BIGINT) AS x_bin, CAST(floor(illiquidity / 0.000001) AS BIGINT) AS y_bin,
        count(*) AS count
-FROM feat GROUP BY ALL""")
+FROM (SELECT """ + r_sql("sentiment_lag_1", 9) + """ AS x, illiquidity FROM feat) GROUP BY ALL""")
 def q_lag_scatter(spark: SparkSession, sf: str) -> DataFrame:
     """W10 + E7: lagged sentiment vs illiquidity as 2-D binned counts."""
-    pts = ts.lag_points(_market_social(spark, sf))
+    # the lag is a mean (summation-order noise): bin its 9-decimal rounding, like the oracle
+    pts = ts.lag_points(_market_social(spark, sf)).withColumn(
+        "sentiment_lag_1", F.round(F.col("sentiment_lag_1") * F.lit(NUDGE), 9))
     return stats.binned_scatter(pts, "sentiment_lag_1", "illiquidity", 0.01, 0.000001)
 
 
@@ -695,3 +698,33 @@ def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
         spark, sf, shared_scratch_path(spark, "irony-sink"), shared_scratch_path(spark, "irony-ckpt"),
         key_cols=["doc_id"], path_glob="documents.parquet", factory=scoring.neutral_factory)
     return out.withColumnRenamed("doc_id", "item_id")
+
+
+# ---------------------------------------------------------------------------------------
+# Models (M1-M6, A14, A15): not SQL-expressible -> rows-only check; OLS is unit-tested
+# against a NumPy least-squares fit on a fixture.
+# ---------------------------------------------------------------------------------------
+from murmur.operators import ml  # noqa: E402
+
+
+def _model_features(spark, sf):
+    """The full feature table of the original: market x social x posts, plus the daily
+    model score of the day's texts (T4 over the social items' chunks)."""
+    bars = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
+    items = _social_items(spark, sf)
+    daily_model = scoring.daily_model_scores(textchunks.daily_chunks(items), scoring.neutral_factory)
+    social = rollups.social_table(rollups.daily_social(_scored_social_items(spark, sf)), daily_model,
+                                  _daily_posts(spark, sf))
+    return ts.features(rollups.market_social(bars, social), sentiment="avg_sentiment")
+
+
+@register("model_predictions", None)
+def q_model_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """M1-M6: OLS, random forest and boosted trees on the chronological split; test predictions."""
+    return ml.model_predictions(_model_features(spark, sf).drop("chunks"))
+
+
+@register("model_results", None)
+def q_model_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 + A15: MAE / RMSE / R^2 per model."""
+    return ml.model_results(ml.model_predictions(_model_features(spark, sf).drop("chunks")))
