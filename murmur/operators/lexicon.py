@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from murmur import config
 from murmur.functions.text import truncate
 from murmur.operators.joins import bounded_broadcast
+from murmur.operators.partitioning import spread
 
 TOKEN_PATTERN = "[a-z]+"
 
@@ -72,12 +73,16 @@ def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str =
     """One row per lexicon hit: ``(*id_cols, pos, term, valence, negated)``."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     negators = negators if negators is not None else config.NEGATORS
-    toks = items.select(*id_cols, tokens(truncate(F.col(text_col), truncate_chars)).alias("_toks"))
+    src = spread(items.select(*id_cols, text_col))
+    toks = src.select(*id_cols, tokens(truncate(F.col(text_col), truncate_chars)).alias("_toks"))
     marked = toks.select(*id_cols, "_toks", _negation_marks(F.col("_toks"), negators).alias("_marks"))
     flagged = marked.select(*id_cols, F.arrays_zip(F.col("_toks").alias("term"),
                                                    _negated_flags(F.col("_marks"), F.size("_toks")).alias("negated"))
                             .alias("_z"))
-    exploded = flagged.select(*id_cols, F.posexplode("_z").alias("pos", "_t")).select(
+    # posexplode_outer: a plain explode makes the optimizer infer size(array) > 0 and push
+    # that (i.e. the whole tokeniser) below the spread into the scan task. The inner join
+    # below drops the outer row of an empty text anyway.
+    exploded = flagged.select(*id_cols, F.posexplode_outer("_z").alias("pos", "_t")).select(
         *id_cols, "pos", F.col("_t.term").alias("term"), F.col("_t.negated").alias("negated"))
     lex = bounded_broadcast(lexicon.select("term", "valence").dropDuplicates(["term"]))
     return exploded.join(lex, "term", "inner")
@@ -94,15 +99,35 @@ def score_items(items: DataFrame, lexicon: DataFrame, id_cols="item_id", text_co
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     keep = keep or []
     hits = lexicon_hits(items, lexicon, id_cols, text_col, truncate_chars)
+    per_item = _per_item(hits, id_cols)
+    scored = items.select(*id_cols, *keep).join(per_item, id_cols, "left")
+    return scored.select(*id_cols, *keep, F.coalesce("vader", F.lit(0.0)).alias("vader"),
+                         F.coalesce("textblob", F.lit(0.0)).alias("textblob"))
+
+
+def _per_item(hits: DataFrame, id_cols: list[str]) -> DataFrame:
     neg_v = F.when(F.col("negated"), F.lit(config.NEGATION_SCALAR)).otherwise(F.lit(1.0))
     neg_p = F.when(F.col("negated"), F.lit(config.POLARITY_NEGATION)).otherwise(F.lit(1.0))
-    per_item = hits.groupBy(*id_cols).agg(
+    per = hits.groupBy(*id_cols).agg(
         F.sum(F.col("valence") * neg_v).alias("_s"),
         F.avg(F.col("valence") / F.lit(config.POLARITY_SCALE) * neg_p).alias("_p"))
-    base = items.select(*id_cols, *keep)
-    scored = base.join(per_item, id_cols, "left")
     s = F.col("_s")
-    return scored.select(
-        *id_cols, *keep,
-        F.coalesce(s / F.sqrt(s * s + F.lit(config.COMPOUND_ALPHA)), F.lit(0.0)).alias("vader"),
-        F.coalesce(F.col("_p"), F.lit(0.0)).alias("textblob"))
+    return per.select(*id_cols, (s / F.sqrt(s * s + F.lit(config.COMPOUND_ALPHA))).alias("vader"),
+                      F.col("_p").alias("textblob"))
+
+
+def daily_scores(items: DataFrame, lexicon: DataFrame, date_col: str = "date", id_col: str = "item_id",
+                 truncate_chars: int | None = None) -> DataFrame:
+    """T3 + A2 without joining scores back to every item: an item without a lexicon hit
+    scores 0, so the day's mean = (sum over hit items) / (all items of the day). Hits are
+    reduced per item, then per day; the items side is a partial count per day."""
+    hits = lexicon_hits(items, lexicon, [id_col, date_col], truncate_chars=truncate_chars)
+    per_day = _per_item(hits, [id_col, date_col]).groupBy(date_col).agg(
+        F.sum("vader").alias("_sv"), F.sum("textblob").alias("_st"))
+    counts = items.groupBy(date_col).agg(F.count(F.lit(1)).alias("item_count"),
+                                         F.avg("score").alias("avg_score"))
+    j = counts.join(per_day, date_col, "left")
+    n = F.col("item_count").cast("double")
+    return j.select(date_col, (F.coalesce(F.col("_sv"), F.lit(0.0)) / n).alias("avg_sentiment"),
+                    (F.coalesce(F.col("_st"), F.lit(0.0)) / n).alias("textblob_sentiment"),
+                    "avg_score", "item_count")

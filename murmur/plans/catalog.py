@@ -65,7 +65,8 @@ def _lexicon_sql() -> str:
 # ---------------------------------------------------------------------------------------
 BARS_SQL = """
 SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS date,
-       arg_min(l_extendedprice / nullif(l_quantity, 0), {'k': l_orderkey, 'n': l_linenumber}) AS open,
+       arg_min(l_extendedprice / nullif(l_quantity, 0),
+               {'k': l_orderkey, 'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS open,
        max(l_extendedprice / nullif(l_quantity, 0)) AS high,
        min(l_extendedprice / nullif(l_quantity, 0)) AS low,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / nullif(sum(l_quantity), 0) AS close,
@@ -170,7 +171,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS author,
 FROM orders"""
 
 COMMENTS_SQL = """
-SELECT concat_ws('-', l_orderkey, l_linenumber) AS id, CAST(l_suppkey AS VARCHAR) AS author,
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS id, CAST(l_suppkey AS VARCHAR) AS author,
        p_name AS body, CAST(epoch(l_shipdate) AS DOUBLE) AS created_utc,
        CAST(l_quantity AS BIGINT) AS score,
        regexp_replace(concat('t3_', CAST(l_orderkey AS VARCHAR)), '^t3_', '') AS link_id,
@@ -182,8 +183,9 @@ def _posts(spark, sf):
     return clean.add_date(tb.posts_from_orders(tb.load(spark, sf, "orders")), keep_timestamp=False)
 
 
-def _comments(spark, sf):
-    c = tb.comments_from_lineitem(tb.load(spark, sf, "lineitem"), tb.load(spark, sf, "part"))
+def _comments(spark, sf, with_body: bool = True):
+    part = tb.load(spark, sf, "part") if with_body else None
+    c = tb.comments_from_lineitem(tb.load(spark, sf, "lineitem"), part)
     return clean.add_date(c, keep_timestamp=False)
 
 
@@ -221,7 +223,7 @@ SELECT c.id AS id_comment, c.link_id AS link_id, p.id AS id_post, p.title AS tit
 FROM c LEFT JOIN p ON c.link_id = p.id""")
 def q_post_comment_relation(spark: SparkSession, sf: str) -> DataFrame:
     """J1 + P11 + F3/F4: every comment with its parent post and the parent flag."""
-    rel = relations.relation(_posts(spark, sf), _comments(spark, sf))
+    rel = relations.relation(_posts(spark, sf), _comments(spark, sf, with_body=False))
     return rel.select("id_comment", "link_id", "id_post", "title", "author_comment", "author_post",
                       "has_parent_post")
 
@@ -233,7 +235,7 @@ SELECT count(*) AS comments, count(*) FILTER (WHERE p.id IS NULL) AS orphans,
 FROM c LEFT JOIN p ON c.link_id = p.id""")
 def q_orphan_comments(spark: SparkSession, sf: str) -> DataFrame:
     """J9 + P12 + A12: comment count, orphan count and the number of missing parents."""
-    rel = relations.relation(_posts(spark, sf), _comments(spark, sf))
+    rel = relations.relation(_posts(spark, sf), _comments(spark, sf, with_body=False))
     return rel.agg(F.count(F.lit(1)).alias("comments"),
                    F.count_if(~F.col("has_parent_post")).alias("orphans"),
                    F.count_distinct(F.when(~F.col("has_parent_post"), F.col("link_id"))).alias("missing_posts"))
@@ -250,7 +252,7 @@ FROM p LEFT JOIN cc ON p.id = cc.link_id""")
 def q_post_engagement(spark: SparkSession, sf: str) -> DataFrame:
     """A1 + J2 + P9 + F7-F9: comments per post (0 when none), relevance, topic, engagement."""
     posts = _posts(spark, sf)
-    counts = relations.comment_counts(_comments(spark, sf))
+    counts = relations.comment_counts(_comments(spark, sf, with_body=False))
     enriched = relations.enrich_posts(relations.posts_with_counts(posts, counts),
                                       DATA_KEYWORDS, DATA_TOPICS, DATA_TOPIC_DEFAULT)
     return enriched.select("id", "date", "comment_count", "relevance", "topic", rnd("engagement"))
@@ -278,7 +280,7 @@ def q_daily_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _daily_posts(spark, sf):
     posts = _posts(spark, sf)
-    counts = relations.comment_counts(_comments(spark, sf))
+    counts = relations.comment_counts(_comments(spark, sf, with_body=False))
     enriched = relations.enrich_posts(relations.posts_with_counts(posts, counts),
                                       DATA_KEYWORDS, DATA_TOPICS, DATA_TOPIC_DEFAULT)
     return rollups.daily_posts(enriched)
@@ -350,7 +352,7 @@ SELECT date, (round((avg_sentiment) * 1.000000000001, 9) + 0.0) AS avg_sentiment
 FROM ({DAILY_SOCIAL_SQL})""")
 def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
     """U1 + T3 + A2: per-day mean scores, mean item score and item count over comments and posts."""
-    d = rollups.daily_social(_scored_social_items(spark, sf))
+    d = lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark))
     return d.select("date", rnd("avg_sentiment", 9), rnd("textblob_sentiment", 9), "avg_score", "item_count")
 
 
@@ -388,7 +390,7 @@ feat AS (SELECT * RENAME (ret AS return) FROM g
 
 def _market_social(spark, sf, passes: int = 1):
     bars = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
-    social = rollups.social_table(rollups.daily_social(_scored_social_items(spark, sf)), None,
+    social = rollups.social_table(lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark)), None,
                                   _daily_posts(spark, sf))
     return ts.features(rollups.market_social(bars, social), sentiment="avg_sentiment", passes=passes)
 

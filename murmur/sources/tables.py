@@ -35,14 +35,16 @@ def _epoch_seconds(c: str):
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Daily OHLCV bars per symbol. Unit price = extended price / quantity; close is the
-    volume-weighted price; open is the unit price of the first line (order key, line no)."""
+    volume-weighted price; open is the unit price of the first line by (order key, line
+    number, part key, supplier key) — line numbers repeat within an order in this data."""
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     return (lineitem
             .select(F.col("l_returnflag").alias("symbol"),
                     F.to_date("l_shipdate").alias("date"),
-                    unit.alias("unit"), "l_extendedprice", "l_quantity", "l_orderkey", "l_linenumber")
+                    unit.alias("unit"), "l_extendedprice", "l_quantity", "l_orderkey", "l_linenumber",
+                    "l_partkey", "l_suppkey")
             .groupBy("symbol", "date")
-            .agg(F.min_by("unit", F.struct("l_orderkey", "l_linenumber")).alias("open"),
+            .agg(F.min_by("unit", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("open"),
                  F.max("unit").alias("high"),
                  F.min("unit").alias("low"),
                  # money summed exactly as decimal: the close is the same double on any
@@ -72,13 +74,21 @@ def posts_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def comments_from_lineitem(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Comments keyed ``<order>-<line>``; body is the part name (a shuffle join on part key,
-    left so a line without a part keeps a NULL body)."""
+def comments_from_lineitem(lineitem: DataFrame, part: DataFrame | None) -> DataFrame:
+    """Comments keyed ``<order>-<line>-<part>-<supplier>-<ship day>``; body is the part name (a shuffle join on part key,
+    left so a line without a part keeps a NULL body). ``part=None`` skips the join for
+    consumers that never read the body (counts, relations)."""
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    pt = part.select("p_partkey", "p_name")
-    return (li.join(pt, li.l_partkey == pt.p_partkey, "left")
-            .select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+    if part is None:
+        joined = li.withColumn("p_name", F.lit(None).cast("string"))
+    else:
+        pt = part.select("p_partkey", "p_name")
+        joined = li.join(pt, li.l_partkey == pt.p_partkey, "left")
+    return (joined
+            # (order, line, part, supplier, ship day) is the line's identity; the line
+            # number alone repeats within an order in this data
+            .select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                F.to_date("l_shipdate").cast("string")).alias("id"),
                     F.col("l_suppkey").cast("string").alias("author"),
                     F.col("p_name").alias("body"),
                     _epoch_seconds("l_shipdate").alias("created_utc"),
