@@ -117,14 +117,16 @@ def _per_item(hits: DataFrame, id_cols: list[str]) -> DataFrame:
 
 
 def daily_scores(items: DataFrame, lexicon: DataFrame, date_col: str = "date", id_col: str = "item_id",
-                 truncate_chars: int | None = None) -> DataFrame:
+                 truncate_chars: int | None = None, count_items: DataFrame | None = None) -> DataFrame:
     """T3 + A2 without joining scores back to every item: an item without a lexicon hit
     scores 0, so the day's mean = (sum over hit items) / (all items of the day). Hits are
-    reduced per item, then per day; the items side is a partial count per day."""
+    reduced per item, then per day; the items side is a partial count per day.
+    ``count_items`` (same rows, text not needed) lets the count side skip whatever join
+    produced the texts."""
     hits = lexicon_hits(items, lexicon, [id_col, date_col], truncate_chars=truncate_chars)
     per_day = _per_item(hits, [id_col, date_col]).groupBy(date_col).agg(
         F.sum("vader").alias("_sv"), F.sum("textblob").alias("_st"))
-    counts = items.groupBy(date_col).agg(F.count(F.lit(1)).alias("item_count"),
+    counts = (count_items if count_items is not None else items).groupBy(date_col).agg(F.count(F.lit(1)).alias("item_count"),
                                          F.avg("score").alias("avg_score"))
     j = counts.join(per_day, date_col, "left")
     n = F.col("item_count").cast("double")

@@ -84,16 +84,26 @@ def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | N
     return out.drop(*drop)
 
 
+def ranked_values(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Distinct non-null values per group with their count ``_cnt``, rank offset ``_before``
+    and group size ``_group_total`` (checkpointed: reuse it for several statistics)."""
+    group_cols = list(group_cols or [])
+    vals = df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    return range_prefix(vals, [value_col], group_cols, "_cnt", "_before", num_partitions)
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    group_cols: list[str] | None = None, num_partitions: int | None = None) -> DataFrame:
+                    group_cols: list[str] | None = None, num_partitions: int | None = None,
+                    ranked: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) per group.
 
     Distinct values are counted first (map-side), then ranked globally with
     :func:`range_prefix`; only the <= 2 rows per requested probability that bracket the
     target rank are kept. Returns ``(*group_cols, p, value)``."""
     group_cols = list(group_cols or [])
-    vals = df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = range_prefix(vals, [value_col], group_cols, "_cnt", "_before", num_partitions)
+    if ranked is None:
+        ranked = ranked_values(df, value_col, group_cols, num_partitions)
     pos = F.col("p") * (F.col("_group_total") - 1)
     cand = ranked.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     lo, hi = F.floor(pos), F.ceil(pos)

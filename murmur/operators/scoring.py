@@ -46,8 +46,7 @@ def probability_scores(df: DataFrame, key_cols: list[str], text_col: str, factor
     """One score per row: p(positive) - p(negative) from the injected model; 0.0 when
     the model is unavailable or a batch fails."""
     src = df.select(*key_cols, text_col)
-    if not df.isStreaming:
-        src = spread(src)
+    src = spread(src)
     schema = T.StructType([src.schema[k] for k in key_cols] + [T.StructField(out_col, T.DoubleType())])
 
     def run(batches):
@@ -91,8 +90,7 @@ def irony_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: Sco
     """``(keys, sarcasm_label, sarcasm_score)``; ('UNKNOWN', 0.0) when unavailable."""
     text = F.col(text_col) if truncate_chars is None else F.substring(text_col, 1, truncate_chars)
     src = df.select(*key_cols, text.alias("_text"))
-    if not df.isStreaming:
-        src = spread(src)
+    src = spread(src)
     schema = T.StructType([src.schema[k] for k in key_cols] + [
         T.StructField("sarcasm_label", T.StringType()), T.StructField("sarcasm_score", T.DoubleType())])
 

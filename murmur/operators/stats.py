@@ -7,7 +7,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
-from murmur.operators.ordering import exact_quantiles
+from murmur.operators.ordering import exact_quantiles, ranked_values
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -83,20 +83,21 @@ def histogram(df: DataFrame, value_col: str, bins: int, group_cols: list[str] |
 
 def box_stats(df: DataFrame, value_col: str, group_cols: list[str] | None = None, whisker: float = 1.5) -> DataFrame:
     """Exact quartiles, IQR fences, whisker ends (extreme values inside the fences)
-    and the outlier count per group."""
+    and the outlier count per group. The input is read once: quartiles, whiskers and
+    outliers all come from the checkpointed table of distinct values with counts."""
     group_cols = list(group_cols or [])
-    q = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], group_cols)
+    ranked = ranked_values(df, value_col, group_cols)
+    q = exact_quantiles(None, value_col, [0.25, 0.5, 0.75], group_cols, ranked=ranked)
     wide = (q.groupBy(*group_cols).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
             .withColumnsRenamed({"0.25": "q1", "0.5": "median", "0.75": "q3"}))
     wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
     wide = (wide.withColumn("fence_lo", F.col("q1") - whisker * F.col("iqr"))
             .withColumn("fence_hi", F.col("q3") + whisker * F.col("iqr")))
-    x = df.where(F.col(value_col).isNotNull())
-    j = with_group_rows(x, wide, group_cols)
-    v, lo, hi = F.col(value_col), F.col("fence_lo"), F.col("fence_hi")
+    j = with_group_rows(ranked, wide, group_cols)
+    v, lo, hi, n = F.col(value_col), F.col("fence_lo"), F.col("fence_hi"), F.col("_cnt")
     agg = j.groupBy(*group_cols, "q1", "median", "q3", "iqr", "fence_lo", "fence_hi").agg(
         F.min(F.when(v >= lo, v)).alias("whisker_lo"), F.max(F.when(v <= hi, v)).alias("whisker_hi"),
-        F.count_if((v < lo) | (v > hi)).alias("outliers"), F.count(F.lit(1)).alias("count"))
+        F.sum(F.when((v < lo) | (v > hi), n).otherwise(0)).alias("outliers"), F.sum(n).alias("count"))
     return agg
 
 

@@ -331,8 +331,13 @@ def q_document_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("item_id", "date", rnd("vader", 9), rnd("textblob", 9))
 
 
-def _social_items(spark, sf, parity=False):
-    return clean.union_items(_comments(spark, sf), _posts(spark, sf), parity=parity)
+def _social_items(spark, sf, parity=False, with_body=True):
+    return clean.union_items(_comments(spark, sf, with_body), _posts(spark, sf), parity=parity)
+
+
+def _daily_social(spark, sf):
+    return lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark),
+                            count_items=_social_items(spark, sf, with_body=False))
 
 
 def _scored_social_items(spark, sf):
@@ -352,7 +357,7 @@ SELECT date, (round((avg_sentiment) * 1.000000000001, 9) + 0.0) AS avg_sentiment
 FROM ({DAILY_SOCIAL_SQL})""")
 def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
     """U1 + T3 + A2: per-day mean scores, mean item score and item count over comments and posts."""
-    d = lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark))
+    d = _daily_social(spark, sf)
     return d.select("date", rnd("avg_sentiment", 9), rnd("textblob_sentiment", 9), "avg_score", "item_count")
 
 
@@ -390,8 +395,7 @@ feat AS (SELECT * RENAME (ret AS return) FROM g
 
 def _market_social(spark, sf, passes: int = 1):
     bars = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
-    social = rollups.social_table(lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark)), None,
-                                  _daily_posts(spark, sf))
+    social = rollups.social_table(_daily_social(spark, sf), None, _daily_posts(spark, sf))
     return ts.features(rollups.market_social(bars, social), sentiment="avg_sentiment", passes=passes)
 
 
