@@ -2,7 +2,7 @@
 
 A scan yields one task per file split; a small table stored as one row group is a single
 task, and a per-row text stage on it would use one core. ``spread`` redistributes rows
-round-robin only when the optimizer's size estimate says the input is smaller than
+round-robin only when the scans under it read less than
 ``maxPartitionBytes x parallelism`` — i.e. when the scan cannot have produced enough
 splits. On a large input (or an unknown estimate) it returns the frame untouched, so it
 never adds a shuffle at scale. Nothing is executed to decide (``df.rdd`` would run the
@@ -25,9 +25,15 @@ def _bytes(conf_value: str) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (logical statistics; no job is run)."""
+    """Bytes the plan reads: the summed size estimates of its leaf relations (logical
+    statistics of the scans; no job is run). Joins are not multiplied out; a leaf without
+    statistics (an RDD) makes the answer unknown."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        return total
     except Exception:  # noqa: BLE001 - estimate unavailable
         return None
 
