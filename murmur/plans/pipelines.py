@@ -133,6 +133,14 @@ def rescore_daily(merged: DataFrame, items: DataFrame, factory: scoring.ScorerFa
     return {"merged": refreshed, "features": ts.features(refreshed.drop("chunks"), sentiment="avg_sentiment")}
 
 
+def rescore_items(spark, source_dir: str, sink_path: str, checkpoint_path: str, key_cols: list[str],
+                  model: scoring.ScorerFactory | None = None, irony: scoring.ScorerFactory | None = None,
+                  **kw) -> DataFrame:
+    """Incremental re-scoring of newly arrived item files (see ``streaming.incremental``)."""
+    from murmur.streaming.incremental import rescore_items as _run
+    return _run(spark, source_dir, sink_path, checkpoint_path, key_cols, model=model, irony=irony, **kw)
+
+
 def clean_social(df: DataFrame) -> DataFrame:
     """Single-file social preprocess (date from epoch, drop incomplete rows)."""
     return clean.clean_items(df)

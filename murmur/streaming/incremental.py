@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.operators.scoring import ScorerFactory, irony_scores
+from pyspark.sql import functions as F
+
+from murmur.operators.scoring import ScorerFactory, irony_scores, item_model_scores
 
 
 def incremental_irony(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str,
@@ -32,3 +34,33 @@ def incremental_irony(spark: SparkSession, source_dir: str, sink_path: str, chec
     if query.exception() is not None:
         raise query.exception()
     return spark.read.schema(scored.schema).parquet(sink_path)
+
+
+def rescore_items(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str,
+                  key_cols: list[str], text_col: str = "text", path_glob: str = "*.parquet",
+                  model: ScorerFactory | None = None, irony: ScorerFactory | None = None,
+                  max_files_per_trigger: int = 1, max_chunks: int | None = None,
+                  timeout_s: float | None = None) -> DataFrame:
+    """Incremental row-level re-scoring (model score + irony label/score) of new files.
+
+    Each micro-batch runs the batch operators through ``foreachBatch`` and overwrites its
+    own ``batch_id=<n>`` partition, so a batch replayed after a failure replaces its
+    earlier output instead of duplicating it (exactly-once with the checkpoint)."""
+    schema = spark.read.option("pathGlobFilter", path_glob).parquet(source_dir).schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", path_glob)
+              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*key_cols, text_col)
+        scored = (item_model_scores(rows, model, key_cols, text_col, max_chunks=max_chunks)
+                  .join(irony_scores(rows, key_cols, text_col, irony), key_cols, "inner"))
+        (scored.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}"))
+
+    query = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+             .trigger(availableNow=True).start())
+    query.awaitTermination(timeout_s)
+    if query.isActive:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.parquet(sink_path).drop("batch_id")

@@ -77,3 +77,30 @@ def test_scorer_failures_fall_back_to_neutral(spark):
     assert abs(got[1] - 0.85) < 1e-12 and got[2] == 0.0
     irony = scoring.irony_scores(df, ["k"], "text", lambda: (lambda t: [{"label": "irony", "score": 0.7}] * len(t)))
     assert {(r["sarcasm_label"], r["sarcasm_score"]) for r in irony.collect()} == {("irony", 0.7)}
+
+
+def test_rescore_items_foreach_batch(spark):
+    from murmur.plans import pipelines
+    src, sink, ckpt = _tmp(), _tmp() + "/sink", _tmp() + "/ckpt"
+    spark.createDataFrame([(1, "x" * 4000), (2, "b")], "doc_id long, text string").coalesce(1) \
+        .write.mode("append").parquet(src)
+
+    def model():
+        return lambda texts: [{"positive": min(len(t), 1800) / 1800, "negative": 0.0} for t in texts]
+
+    out = pipelines.rescore_items(spark, src, sink, ckpt, ["doc_id"], model=model)
+    got = {r["doc_id"]: r for r in out.collect()}
+    # 4,000 chars -> chunks of 1800, 1800, 400 -> mean of (1, 1, 400/1800)
+    assert abs(got[1]["finbert"] - (2 + 400 / 1800) / 3) < 1e-12
+    assert got[2]["sarcasm_label"] == "UNKNOWN"
+    spark.createDataFrame([(3, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
+    out = pipelines.rescore_items(spark, src, sink, ckpt, ["doc_id"], model=model)
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_observed_counters(spark):
+    from murmur.operators import relations
+    df = spark.createDataFrame([(True,), (False,), (False,)], "has_parent_post boolean")
+    observed, obs = relations.with_counters(df, "orphans", "has_parent_post")
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"rows": 3, "not_has_parent_post": 2}
