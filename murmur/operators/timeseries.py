@@ -47,39 +47,86 @@ def rolling_mean(c: str, w, n: int) -> Column:
 
 def features(df: DataFrame, keys="symbol", order="date", price="close", volume="volume",
              sentiment: str | None = "avg_sentiment", drop_incomplete: bool = True,
-             passes: int = 1) -> DataFrame:
+             passes: int = 1, block_rows: int | None = None) -> DataFrame:
     """Return, 7-row volatility, Amihud illiquidity, 30-row turnover, sentiment lags,
     volatility regime against the per-symbol median; then drop incomplete rows (P4).
 
-    ``passes=2`` reproduces the original main flow, which applies the bundle twice."""
+    ``passes=2`` reproduces the original main flow, which applies the bundle twice.
+    ``block_rows`` switches to blocked windows for very long series (see
+    :func:`blocked_apply`); results are identical."""
     keys, order = _list(keys), _list(order)
     out = df
     for _ in range(max(1, passes)):
-        out = _features_once(out, keys, order, price, volume, sentiment, drop_incomplete)
+        if block_rows:
+            out = _features_blocked(out, keys, order, price, volume, sentiment, drop_incomplete, block_rows)
+        else:
+            out = _features_once(out, keys, order, price, volume, sentiment, drop_incomplete)
     return out
 
 
-def _features_once(df, keys, order, price, volume, sentiment, drop_incomplete):
-    w = _w(keys, order)
-    base = [c for c in df.columns if c not in
-            ("return", "volatility_7d", "illiquidity", "turnover_ratio", "market_regime",
-             *[f"sentiment_lag_{k}" for k in config.SENTIMENT_LAGS])]
+_FEATURE_COLS = ("return", "volatility_7d", "illiquidity", "turnover_ratio", "market_regime",
+                 *[f"sentiment_lag_{k}" for k in config.SENTIMENT_LAGS])
+
+
+def _window_features(df, part_keys, order, price, volume, sentiment):
+    """The window-local part of W9 (everything except the per-symbol median)."""
+    w = _w(part_keys, order)
+    base = [c for c in df.columns if c not in _FEATURE_COLS]
     step1 = df.select(*base, simple_return(price, w).alias("return"))
     lags = []
     if sentiment and sentiment in df.columns:
         lags = [F.lag(sentiment, k).over(w).alias(f"sentiment_lag_{k}") for k in config.SENTIMENT_LAGS]
-    step2 = step1.select(
+    return step1.select(
         "*",
         rolling_std("return", w, config.VOL_WINDOW).alias("volatility_7d"),
         safe_ratio(F.abs(F.col("return")), F.col(volume)).alias("illiquidity"),
         safe_ratio(F.col(volume), rolling_mean(volume, w, config.TURNOVER_WINDOW)).alias("turnover_ratio"),
         *lags,
     )
+
+
+def _regime(vol: Column, med: Column) -> Column:
+    return F.when(vol > med, F.lit("High Volatility")).otherwise(F.lit("Low Volatility"))
+
+
+def _features_blocked(df, keys, order, price, volume, sentiment, drop_incomplete, block_rows):
+    from murmur.operators.ordering import exact_quantiles
+    win = blocked_apply(df, keys, order[0],
+                        lambda d, pk: _window_features(d, pk, order, price, volume, sentiment), block_rows)
+    med = exact_quantiles(win, "volatility_7d", [0.5], keys).select(*keys, F.col("value").alias("_med"))
+    out = win.join(med, keys, "left").withColumn("market_regime", _regime(F.col("volatility_7d"), F.col("_med")))
+    out = out.drop("_med")
+    return out.na.drop("any") if drop_incomplete else out
+
+
+def blocked_apply(df: DataFrame, keys: list[str], order: str, fn, block_rows: int,
+                  halo: int = 48, index_col: str | None = None) -> DataFrame:
+    """Run window computations over very long series without one task per series.
+
+    Each row gets its index inside its series from the range-partitioned prefix sum (no
+    per-series task), series are cut into blocks of ``block_rows``, each block also
+    receives a copy of the previous block's last ``halo`` rows, ``fn(frame, partition_keys)``
+    computes its windows partitioned by (keys, block), and the halo copies are dropped.
+    Exact as long as every look-back chain is shorter than ``halo`` (here at most
+    40 + 1 + 6 = 47 rows: Kalman horizon, return, 7-row volatility)."""
+    from murmur.operators.ordering import range_prefix
+    idx_col = index_col or "_idx"
+    idx = range_prefix(df, [order], keys, None, idx_col).drop("_group_total")
+    blk = F.floor(F.col(idx_col) / block_rows)
+    idx = idx.withColumn("_blk", blk)
+    tail = (idx.where(F.col(idx_col) % block_rows >= block_rows - halo)
+            .withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True)))
+    both = idx.withColumn("_halo", F.lit(False)).unionByName(tail)
+    out = fn(both, keys + ["_blk"])
+    out = out.where(~F.col("_halo")).drop("_halo", "_blk")
+    return out if index_col else out.drop(idx_col)
+
+
+def _features_once(df, keys, order, price, volume, sentiment, drop_incomplete):
+    step2 = _window_features(df, keys, order, price, volume, sentiment)
     # A7 + W6: exact median per symbol over the same window partitioning (no new exchange).
     med = F.median("volatility_7d").over(Window.partitionBy(*keys))
-    step3 = step2.withColumn(
-        "market_regime",
-        F.when(F.col("volatility_7d") > med, F.lit("High Volatility")).otherwise(F.lit("Low Volatility")))
+    step3 = step2.withColumn("market_regime", _regime(F.col("volatility_7d"), med))
     return step3.na.drop("any") if drop_incomplete else step3
 
 
@@ -95,7 +142,7 @@ def _kalman_weight(i: Column, t: Column) -> Column:
 
 
 def kalman_filter(df: DataFrame, keys="symbol", order="date", value="close",
-                  out="kalman_close", horizon: int = KALMAN_HORIZON) -> DataFrame:
+                  out="kalman_close", horizon: int = KALMAN_HORIZON, index_col: str | None = None) -> DataFrame:
     """Filtered state mean of a 1-D local-level Kalman filter as a bounded FIR window.
 
     The gains of this model do not depend on the data (1/2, 3/5, 8/13, ... -> 0.618), so the
@@ -103,7 +150,8 @@ def kalman_filter(df: DataFrame, keys="symbol", order="date", value="close",
     phi^-2 per row; ``horizon`` rows reproduce the recursion to double precision."""
     keys, order = _list(keys), _list(order)
     w = _w(keys, order)
-    t = (F.row_number().over(w) - 1).alias("_t")
+    # FIR start-up weights need the row's index in the whole series (given in blocked mode)
+    t = (F.col(index_col) if index_col else F.row_number().over(w) - 1).alias("_t")
     win = F.collect_list(value).over(w.rowsBetween(-horizon, 0)).alias("_win")
     staged = df.select("*", t, win)
     n = F.size("_win")
@@ -114,13 +162,23 @@ def kalman_filter(df: DataFrame, keys="symbol", order="date", value="close",
     return staged.withColumn(out, fir).drop("_t", "_win")
 
 
-def kalman_features(df: DataFrame, keys="symbol", order="date", value="close") -> DataFrame:
-    """W7+W8: Kalman close, its simple return and 7-row volatility (one window partitioning)."""
+def kalman_features(df: DataFrame, keys="symbol", order="date", value="close",
+                    block_rows: int | None = None) -> DataFrame:
+    """W7+W8: Kalman close, its simple return and 7-row volatility (one window partitioning).
+    ``block_rows`` runs it as blocked windows for very long series (identical results)."""
     keys, order = _list(keys), _list(order)
-    w = _w(keys, order)
-    k = kalman_filter(df, keys, order, value)
-    k = k.withColumn("kalman_return", simple_return("kalman_close", w))
-    return k.withColumn("kalman_volatility", rolling_std("kalman_return", w, config.VOL_WINDOW))
+
+    def run(d, part_keys, index_col=None):
+        w = _w(part_keys, order)
+        k = kalman_filter(d, part_keys, order, value, index_col=index_col)
+        k = k.withColumn("kalman_return", simple_return("kalman_close", w))
+        return k.withColumn("kalman_volatility", rolling_std("kalman_return", w, config.VOL_WINDOW))
+
+    if block_rows:
+        out = blocked_apply(df, keys, order[0], lambda d, pk: run(d, pk, "_gidx"), block_rows,
+                            index_col="_gidx")
+        return out.drop("_gidx")
+    return run(df, keys)
 
 
 def chronological_split(df: DataFrame, keys="symbol", order="date",

@@ -734,3 +734,23 @@ def q_model_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_results(spark: SparkSession, sf: str) -> DataFrame:
     """A14 + A15: MAE / RMSE / R^2 per model."""
     return ml.model_results(ml.model_predictions(_model_features(spark, sf).drop("chunks")))
+
+
+# ---------------------------------------------------------------------------------------
+# Blocked windows (very long series): same answers as the plain windows, checked by the
+# same SQL. 500-row blocks, 48-row halo.
+# ---------------------------------------------------------------------------------------
+@register("liquidity_features_blocked", ORACLE["liquidity_features"])
+def q_liquidity_features_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """W9 as blocked windows: per-(symbol, block) windows + halo, distributed median."""
+    b = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
+    return _features_out(ts.features(b, sentiment=None, block_rows=500))
+
+
+@register("kalman_smoothing_blocked", ORACLE["kalman_smoothing"])
+def q_kalman_smoothing_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """W7+W8 as blocked windows (FIR start-up terms use the series-global row index)."""
+    b = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
+    k = ts.kalman_features(b, block_rows=500)
+    return k.select("symbol", "date", rnd("close"), rnd("kalman_close"), rnd("kalman_return", 9),
+                    rnd("kalman_volatility", 9))

@@ -151,3 +151,22 @@ def test_lexicon_scoring_stays_in_the_jvm(spark):
     from murmur.plans import catalog
     plan = _plan(catalog.QUERIES["document_sentiment"](spark, "/root/testdata/sf0.001"))
     assert "Python" not in plan and "ArrowEval" not in plan and "MapInPandas" not in plan
+
+
+def test_blocked_windows_equal_plain_windows(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for s, n in (("A", 700), ("B", 260), ("C", 35)):
+        z = 100 + np.cumsum(rng.normal(0, 1, n))
+        rows += [(s, i, float(v), float(rng.integers(0, 50)), float(rng.normal())) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "symbol string, date int, close double, volume double, avg_sentiment double")
+
+    def rows_of(d):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())
+
+    plain = ts.features(df, drop_incomplete=False)
+    blocked = ts.features(df, drop_incomplete=False, block_rows=100)
+    assert rows_of(plain) == rows_of(blocked.select(*plain.columns))
+    kp = ts.kalman_features(df)
+    kb = ts.kalman_features(df, block_rows=64)
+    assert rows_of(kp) == rows_of(kb.select(*kp.columns))
