@@ -10,6 +10,7 @@ tie-breaking differences of ``round`` on exact short decimals.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,8 +23,14 @@ ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None):
+    """Register a query. Every query pins the session time zone to UTC before building its
+    plan: epoch seconds and dates are defined in UTC (the engine's one session requirement)."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
