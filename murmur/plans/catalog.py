@@ -761,3 +761,12 @@ def q_kalman_smoothing_blocked(spark: SparkSession, sf: str) -> DataFrame:
     k = ts.kalman_features(b, block_rows=500)
     return k.select("symbol", "date", rnd("close"), rnd("kalman_close"), rnd("kalman_return", 9),
                     rnd("kalman_volatility", 9))
+
+
+@register("document_model_scores", """
+SELECT doc_id AS item_id, CAST(0 AS DOUBLE) AS finbert FROM documents""")
+def q_document_model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: row-level model score of every whole document (1,800-char chunks averaged);
+    offline model -> neutral 0."""
+    items = tb.load(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")
+    return scoring.item_model_scores(items, scoring.neutral_factory)
