@@ -22,10 +22,13 @@ def daily_chunks(items: DataFrame, chunk_chars: int = config.CHUNK_CHARS, max_ch
     joined by single spaces in ``order_cols`` order; a day with no characters has one empty
     chunk. ``max_chunks`` keeps only the first chunks (the original's cost cap; None = all)."""
     C = chunk_chars
-    base = items.select(date_col, *order_cols,
-                        F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("_t"))
-    base = base.withColumn("_len", F.length("_t").cast("long"))
-    pre = range_prefix(base, list(order_cols), [date_col], "_len", "_off", num_partitions)
+    keys = [date_col, *order_cols]          # must identify an item
+    base = items.select(*keys, F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("_t"))
+    # offsets are computed (and checkpointed) on a narrow projection; texts join them by key,
+    # so the texts are never written to the checkpoint
+    narrow = base.select(*keys, F.length("_t").cast("long").alias("_len"))
+    offsets = range_prefix(narrow, list(order_cols), [date_col], "_len", "_off", num_partitions)
+    pre = base.join(offsets, keys, "inner")
     total = F.col("_group_total") - 1                      # no separator after the last text
     end = F.least(F.col("_off") + F.col("_len"), total)    # exclusive end inside the day
     k0 = F.floor(F.col("_off") / C)

@@ -104,7 +104,7 @@ f AS (SELECT *,
 g AS (SELECT *, CASE WHEN volatility_7d > median(volatility_7d) OVER (PARTITION BY symbol)
                      THEN 'High Volatility' ELSE 'Low Volatility' END AS market_regime
       FROM f)
-SELECT symbol, date, close, volume, ret AS return, (round((volatility_7d) * 1.000000000001, 9) + 0.0) AS volatility_7d,
+SELECT symbol, date, close, volume, ret AS return, (round((volatility_7d) * {NUDGE!r}, 9) + 0.0) AS volatility_7d,
        illiquidity, turnover_ratio,
        market_regime{extra_cols}
 FROM g
@@ -157,8 +157,8 @@ r AS (SELECT *, kalman_close / nullif(lag(kalman_close) OVER (PARTITION BY symbo
 v AS (SELECT *, CASE WHEN count(kalman_return) OVER w7 = 7 THEN stddev_samp(kalman_return) OVER w7 END
                  AS kalman_volatility
       FROM r WINDOW w7 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT symbol, date, (round((close) * 1.000000000001, 6) + 0.0) AS close, (round((kalman_close) * 1.000000000001, 6) + 0.0) AS kalman_close,
-       (round((kalman_return) * 1.000000000001, 9) + 0.0) AS kalman_return, (round((kalman_volatility) * 1.000000000001, 9) + 0.0) AS kalman_volatility
+SELECT symbol, date, (round((close) * {NUDGE!r}, 6) + 0.0) AS close, (round((kalman_close) * {NUDGE!r}, 6) + 0.0) AS kalman_close,
+       (round((kalman_return) * {NUDGE!r}, 9) + 0.0) AS kalman_return, (round((kalman_volatility) * {NUDGE!r}, 9) + 0.0) AS kalman_volatility
 FROM v""")
 def q_kalman_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """W7+W8: Kalman-smoothed close as a 41-row FIR window, its return and 7-row volatility."""
@@ -254,7 +254,7 @@ cc AS (SELECT link_id, count(*) AS comment_count FROM ({COMMENTS_SQL}) GROUP BY
 SELECT p.id, p.date, CAST(coalesce(cc.comment_count, 0) AS BIGINT) AS comment_count,
        {_relevance_sql('p.title', DATA_KEYWORDS)} AS relevance,
        {_topic_sql('p.title', DATA_TOPICS, DATA_TOPIC_DEFAULT)} AS topic,
-       (round((1 + ln(1 + coalesce(cc.comment_count, 0)) + p.score / 100) * 1.000000000001, 6) + 0.0) AS engagement
+       (round((1 + ln(1 + coalesce(cc.comment_count, 0)) + p.score / 100) * {NUDGE!r}, 6) + 0.0) AS engagement
 FROM p LEFT JOIN cc ON p.id = cc.link_id""")
 def q_post_engagement(spark: SparkSession, sf: str) -> DataFrame:
     """A1 + J2 + P9 + F7-F9: comments per post (0 when none), relevance, topic, engagement."""
@@ -278,7 +278,7 @@ FROM e GROUP BY date"""
 
 
 @register("daily_posts", f"""
-SELECT date, (round((engagement) * 1.000000000001, 6) + 0.0) AS engagement, relevance, mean_post_comments
+SELECT date, (round((engagement) * {NUDGE!r}, 6) + 0.0) AS engagement, relevance, mean_post_comments
 FROM ({DAILY_POSTS_SQL})""")
 def q_daily_posts(spark: SparkSession, sf: str) -> DataFrame:
     """A4: per-day mean engagement, relevance and comments per post."""
@@ -297,8 +297,8 @@ def _daily_posts(spark, sf):
 # Lexicon scoring (T1-T3) over whole texts
 # ---------------------------------------------------------------------------------------
 def lexicon_scores_sql(items_sql: str, keep: str = "") -> str:
-    negs = ", ".join(f"'{n}'" for n in __import__("murmur.config", fromlist=["x"]).NEGATORS)
     from murmur import config as cfg
+    negs = ", ".join(f"'{n}'" for n in cfg.NEGATORS)
     return f"""
 WITH items AS ({items_sql}),
 lx AS ({_lexicon_sql()}),
@@ -329,7 +329,7 @@ SELECT '1:' || id AS item_id, date, 1 AS kind, id AS ord, title AS text, score F
 
 
 @register("document_sentiment", f"""
-SELECT item_id, date, (round((vader) * 1.000000000001, 9) + 0.0) AS vader, (round((textblob) * 1.000000000001, 9) + 0.0) AS textblob
+SELECT item_id, date, (round((vader) * {NUDGE!r}, 9) + 0.0) AS vader, (round((textblob) * {NUDGE!r}, 9) + 0.0) AS textblob
 FROM ({lexicon_scores_sql(DOC_ITEMS_SQL, ', items.date')})""")
 def q_document_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     """T1-T3 on whole documents: rule-based compound and mean-polarity scores per item."""
@@ -359,7 +359,7 @@ FROM ({lexicon_scores_sql(SOCIAL_ITEMS_SQL, ', items.date, items.score')}) GROUP
 
 
 @register("daily_social", f"""
-SELECT date, (round((avg_sentiment) * 1.000000000001, 9) + 0.0) AS avg_sentiment, (round((textblob_sentiment) * 1.000000000001, 9) + 0.0) AS textblob_sentiment,
+SELECT date, (round((avg_sentiment) * {NUDGE!r}, 9) + 0.0) AS avg_sentiment, (round((textblob_sentiment) * {NUDGE!r}, 9) + 0.0) AS textblob_sentiment,
        avg_score, item_count
 FROM ({DAILY_SOCIAL_SQL})""")
 def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
@@ -541,10 +541,6 @@ SELECT comparison, CAST(total AS INTEGER) AS sample_size,
        {r_sql('CASE WHEN pe = 1 THEN NULL ELSE (po - pe) / (1 - pe) END', 9)} AS kappa FROM k"""
 
 
-def _labelled(df):
-    return df.select("*", *[three_class(c).alias(c) for c in ()])
-
-
 def _kappa_frame(scores: DataFrame) -> DataFrame:
     lab = scores.select(*[three_class(c).alias(c) for c in ("vader", "textblob", "finbert")])
     k = stats.cohen_kappa(lab, _PAIRS)
