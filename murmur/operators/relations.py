@@ -80,3 +80,7 @@ def with_counters(df: DataFrame, name: str, flag: str | None = None) -> tuple[Da
 
 
 DEFAULT_KEYWORDS = config.RELEVANCE_KEYWORDS
+
+# column forms re-exported for callers that group by them
+relevance_col = relevance
+topic_col = topic

@@ -766,3 +766,58 @@ def q_document_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     offline model -> neutral 0."""
     items = tb.load(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")
     return scoring.item_model_scores(items, scoring.neutral_factory)
+
+
+# ---------------------------------------------------------------------------------------
+# More single-operator queries: U3, U1, E1, E4 rows, F8 distribution
+# ---------------------------------------------------------------------------------------
+@register("comments_dedup", f"""
+WITH c AS (SELECT id, author, body, created_utc, score, 0 AS delivery FROM ({COMMENTS_SQL})
+           UNION ALL
+           SELECT id, author, body, created_utc, score * 2, 1 FROM ({COMMENTS_SQL}))
+SELECT id, author, body, created_utc, arg_min(score, delivery) AS score
+FROM c GROUP BY id, author, body, created_utc""")
+def q_comments_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments delivered twice (the copy with a changed score); keep the first delivery
+    per (id, author, body, created_utc)."""
+    c = _comments(spark, sf).select("id", "author", "body", "created_utc", "score")
+    twice = c.withColumn("delivery", F.lit(0)).unionByName(
+        c.withColumn("score", F.col("score") * 2).withColumn("delivery", F.lit(1)))
+    return clean.dedup_comments(twice, order_by="delivery").drop("delivery")
+
+
+@register("social_items", f"""
+SELECT item_id, date, kind, ord, text, score FROM ({SOCIAL_ITEMS_SQL})""")
+def q_social_items(spark: SparkSession, sf: str) -> DataFrame:
+    """U1 + P1: comments then posts as one item table (date from epoch seconds, kind, order key)."""
+    return _social_items(spark, sf)
+
+
+@register("price_volume_series", f"""
+SELECT symbol, date, close, volume FROM ({BARS_SQL})""")
+def q_price_volume_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The close and volume series behind the price and volume figures."""
+    return tb.bars_from_lineitem(tb.load(spark, sf, "lineitem")).select("symbol", "date", "close", "volume")
+
+
+@register("volume_outliers", MS_SQL + """,
+q AS (SELECT quantile_cont(volume, 0.25) AS q1, quantile_cont(volume, 0.75) AS q3 FROM feat)
+SELECT symbol, date, volume FROM feat, q
+WHERE volume < q1 - 1.5 * (q3 - q1) OR volume > q3 + 1.5 * (q3 - q1)""")
+def q_volume_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily rows whose volume lies outside the 1.5 IQR fences."""
+    f = _market_social(spark, sf).select("symbol", "date", "volume")
+    return stats.outliers(f, "volume", stats.box_stats(f, "volume"))
+
+
+@register("post_topics", f"""
+WITH p AS ({POSTS_SQL})
+SELECT {_topic_sql('p.title', DATA_TOPICS, DATA_TOPIC_DEFAULT)} AS topic,
+       {_relevance_sql('p.title', DATA_KEYWORDS)} AS relevance, count(*) AS posts
+FROM p GROUP BY ALL""")
+def q_post_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """F7 + F8: how posts distribute over topics and relevance scores."""
+    p = _posts(spark, sf)
+    return p.groupBy(relations.topic_col("title", DATA_TOPICS, DATA_TOPIC_DEFAULT).alias("topic"),
+                     relations.relevance_col("title", DATA_KEYWORDS).alias("relevance")) \
+        .agg(F.count(F.lit(1)).alias("posts"))
