@@ -9,6 +9,15 @@ from murmur.functions.numeric import engagement
 from murmur.functions.text import link_id_from_permalink, normalise_link_id, relevance, topic
 
 
+def unique_by(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, deterministically (the smallest remaining row), collapsed map-side:
+    a recomputation after an executor loss picks the same row."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.dropDuplicates([key])
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
+
+
 def ensure_link_id(comments: DataFrame, parity: bool = False) -> DataFrame:
     """derive ``link_id`` from ``permalink`` when absent, then strip ``t3_``."""
     if "link_id" in comments.columns:
@@ -29,7 +38,7 @@ def relation(posts: DataFrame, comments: DataFrame, parity: bool = False) -> Dat
     A post with very many comments is a hot key on the comment side only: AQE's skew-join
     split handles it (the post side is one row per key)."""
     c = ensure_link_id(comments, parity)
-    p = posts if parity else posts.dropDuplicates(["id"])
+    p = posts if parity else unique_by(posts, "id")
     overlap = (set(c.columns) & set(p.columns))
     c2 = c.select(*[F.col(x).alias(f"{x}_comment" if x in overlap else x) for x in c.columns])
     p2 = p.select(*[F.col(x).alias(f"{x}_post" if x in overlap else x) for x in p.columns])
