@@ -16,13 +16,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from murmur.operators.joins import bounded_broadcast
-from murmur.session import ensure_checkpoint_dir
+from murmur.operators.partitioning import estimated_bytes
+from murmur.session import ensure_checkpoint_dir, ship_package
+
+
+TARGET_PARTITION_BYTES = 64 << 20
 
 
 def _num_partitions(df: DataFrame, requested: int | None) -> int:
+    """Range partitions: ~64 MB of scanned input each, at least the cluster's parallelism,
+    at most the configured shuffle partitions (which a cluster sizes for its data)."""
     if requested:
         return requested
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spark = df.sparkSession
+    shuffle = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    par = max(spark.sparkContext.defaultParallelism, 1)
+    est = estimated_bytes(df)
+    if est is None:
+        return shuffle
+    want = -(-est // TARGET_PARTITION_BYTES)
+    return max(min(par, shuffle), min(shuffle, want))
 
 
 def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
@@ -66,6 +79,7 @@ def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | N
                 acc = cum[-1] + vals[-1]
             yield pdf.assign(_pid=np.int32(pid), _local=cum.astype("float64" if acc_type == T.DoubleType() else "int64"))
 
+    ship_package(df.sparkSession)
     local = srt.mapInPandas(local_sums, schema)
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)

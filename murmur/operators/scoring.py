@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from murmur import config
 from murmur.functions.text import chunk_array
 from murmur.operators.partitioning import spread
+from murmur.session import ship_package
 
 ScorerFactory = Callable[[], Callable | None]
 
@@ -65,6 +66,7 @@ def probability_scores(df: DataFrame, key_cols: list[str], text_col: str, factor
                         scores[i:i + batch_size] = 0.0
             yield pdf[key_cols].assign(**{out_col: scores})
 
+    ship_package(df.sparkSession)
     return src.mapInPandas(run, schema)
 
 
@@ -110,4 +112,5 @@ def irony_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: Sco
                         pass
             yield pdf[key_cols].assign(sarcasm_label=labels, sarcasm_score=scores)
 
+    ship_package(df.sparkSession)
     return src.mapInPandas(run, schema)

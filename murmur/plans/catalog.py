@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmur.operators import clean, lexicon as lex, relations, rollups, timeseries as ts
+from murmur.session import ship_package
 from murmur.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,7 @@ def register(name: str, sql: str | None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(spark, sf)
         QUERIES[name] = run
         if sql is not None:
