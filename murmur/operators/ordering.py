@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from murmur.operators.joins import bounded_broadcast
 from murmur.operators.partitioning import estimated_bytes
-from murmur.session import ensure_checkpoint_dir, ship_package
+from murmur.session import default_parallelism, ensure_checkpoint_dir, ship_package
 
 
 TARGET_PARTITION_BYTES = 64 << 20
@@ -30,7 +30,7 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
         return requested
     spark = df.sparkSession
     shuffle = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    par = max(spark.sparkContext.defaultParallelism, 1)
+    par = max(default_parallelism(spark), 1)
     est = estimated_bytes(df)
     if est is None:
         return shuffle

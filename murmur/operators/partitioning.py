@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from murmur.session import default_parallelism
+
 
 def _bytes(conf_value: str) -> int:
     v = conf_value.strip().lower()
@@ -42,7 +44,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    target = min_partitions or default_parallelism(spark)
     size = estimated_bytes(df)
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     if size is None or size >= split * target:

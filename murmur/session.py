@@ -58,7 +58,10 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``murmur`` importable in the Python workers (what ``--py-files`` does): the
     executors unpickle functions of this package for ``mapInPandas``. Once per application."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: use spark.addArtifacts on the client instead
+        return
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -74,9 +77,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no classic SparkContext (e.g. a Connect session)
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder, creating a local one only when none is set."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -89,5 +102,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="murmur-scratch-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
