@@ -170,3 +170,33 @@ def test_blocked_windows_equal_plain_windows(spark):
     kp = ts.kalman_features(df)
     kb = ts.kalman_features(df, block_rows=64)
     assert rows_of(kp) == rows_of(kb.select(*kp.columns))
+
+
+def test_histogram_counts_sum_to_rows(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(g, rnd.random() * 10) for g in "xyz" for _ in range(rnd.randint(1, 300))],
+                               "g string, v double")
+    h = stats.histogram(df, "v", 30, ["g"]).groupBy("g").agg(F.sum("count").alias("n"), F.count("*").alias("bins"))
+    n = {r["g"]: r["n"] for r in df.groupBy("g").count().withColumnRenamed("count", "n").collect()}
+    for r in h.collect():
+        assert r["n"] == n[r["g"]] and r["bins"] == 30
+
+
+def test_dedup_is_idempotent(spark):
+    from murmur.operators import clean
+    rnd = random.Random(8)
+    rows = [(str(rnd.randint(0, 20)), rnd.choice(["a", None]), "t", 1.0, rnd.randint(0, 3)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "id string, author string, title string, created_utc double, score long")
+    once = clean.dedup_posts(df.withColumn("o", F.monotonically_increasing_id()), order_by="o")
+    twice = clean.dedup_posts(once, order_by="o")
+    key = lambda r: tuple(str(x) for x in r)  # noqa: E731 - NULL-safe ordering
+    assert sorted(map(tuple, once.collect()), key=key) == sorted(map(tuple, twice.collect()), key=key)
+    assert once.count() == df.dropDuplicates(["id", "author", "title", "created_utc"]).count()
+
+
+@pytest.mark.parametrize("name", ["liquidity_features", "kalman_smoothing", "market_social_features",
+                                  "liquidity_features_blocked", "chronological_split"])
+def test_window_queries_never_plan_a_single_partition(spark, name):
+    from murmur.plans import catalog
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "SinglePartition" not in _plan(df)
