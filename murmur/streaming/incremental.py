@@ -18,7 +18,7 @@ from murmur.operators.scoring import ScorerFactory, irony_scores, item_model_sco
 
 def incremental_irony(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str,
                       key_cols: list[str], text_col: str = "text", path_glob: str = "*.parquet",
-                      factory: ScorerFactory | None = None, max_files_per_trigger: int = 1,
+                      factory: ScorerFactory | None = None, max_files_per_trigger: int = 32,
                       truncate_chars: int | None = None, timeout_s: float | None = None) -> DataFrame:
     """Score every not-yet-seen Parquet file under ``source_dir`` and append to ``sink_path``;
     returns the sink as a batch DataFrame. ``source_dir`` must be a directory."""
@@ -39,7 +39,7 @@ def incremental_irony(spark: SparkSession, source_dir: str, sink_path: str, chec
 def rescore_items(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str,
                   key_cols: list[str], text_col: str = "text", path_glob: str = "*.parquet",
                   model: ScorerFactory | None = None, irony: ScorerFactory | None = None,
-                  max_files_per_trigger: int = 1, max_chunks: int | None = None,
+                  max_files_per_trigger: int = 32, max_chunks: int | None = None,
                   timeout_s: float | None = None) -> DataFrame:
     """Incremental row-level re-scoring (model score + irony label/score) of new files.
 
