@@ -72,3 +72,37 @@ def test_features_match_bruteforce(spark, passes):
         for k in ("return", "volatility_7d", "illiquidity", "turnover_ratio", "sentiment_lag_1", "sentiment_lag_2"):
             assert math.isclose(r[k], e[k], rel_tol=1e-9, abs_tol=1e-12), (k, r[k], e[k])
         assert r["market_regime"] == e["market_regime"]
+
+
+def test_lexicon_scores_match_bruteforce(spark):
+    import re
+    import random as _r
+
+    from murmur import config
+    from murmur.operators import lexicon as lex
+
+    rnd = _r.Random(21)
+    entries = [("good", 1.9), ("bad", -2.5), ("hot", 1.5), ("cold", -1.3), ("ring", 0.2)]
+    words = [w for w, _ in entries] + ["not", "never", "the", "x", "ring", "cannot"]
+    texts = []
+    for i in range(300):
+        n = rnd.randint(0, 12)
+        sep = lambda: rnd.choice([" ", ", ", "-", "\n", "  "])
+        t = "".join(rnd.choice(words).upper() if rnd.random() < 0.2 else rnd.choice(words) + sep() for _ in range(n))
+        texts.append((i, t if rnd.random() > 0.05 else None))
+    df = spark.createDataFrame(texts, "item_id long, text string")
+    lx = spark.createDataFrame(entries, lex.LEXICON_SCHEMA)
+    got = {r["item_id"]: (r["vader"], r["textblob"]) for r in lex.score_items(df, lx).collect()}
+    val = dict(entries)
+    for i, t in texts:
+        toks = re.findall("[a-z]+", (t or "").lower())
+        s, pol = 0.0, []
+        for p, tok in enumerate(toks):
+            if tok not in val:
+                continue
+            neg = any(x in config.NEGATORS for x in toks[max(0, p - config.NEGATION_LOOKBACK):p])
+            s += val[tok] * (config.NEGATION_SCALAR if neg else 1.0)
+            pol.append(val[tok] / config.POLARITY_SCALE * (config.POLARITY_NEGATION if neg else 1.0))
+        v = s / math.sqrt(s * s + config.COMPOUND_ALPHA) if pol else 0.0
+        p = sum(pol) / len(pol) if pol else 0.0
+        assert math.isclose(got[i][0], v, abs_tol=1e-12) and math.isclose(got[i][1], p, abs_tol=1e-12), (t, got[i], v, p)
