@@ -28,11 +28,19 @@ def unpivot(df: DataFrame, columns: list[str], name: str = "variable", value: st
     return df.unpivot(keep, columns, name, value) if keep else df.unpivot([], columns, name, value)
 
 
+def pearson(a: str, b: str):
+    """Pearson correlation over the rows where both are present; NULL when either side is
+    constant (Spark's ``corr`` raises a division by zero under ANSI mode there)."""
+    x = F.when(F.col(b).isNotNull(), F.col(a))
+    y = F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every ordered column pair in one aggregation
     (pairwise-complete rows). Long form ``(row, col, corr)``."""
     pairs = list(product(columns, columns))
-    agg = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    agg = df.agg(*[pearson(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     stacked = agg.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)])).alias("s"))

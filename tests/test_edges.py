@@ -160,3 +160,13 @@ def test_r2_constant_target_is_null(spark):
     r = stats.regression_metrics(df).collect()[0]
     assert r["r2"] is None and r["mae"] == pytest.approx(0.5) and r["rmse"] == pytest.approx(0.5)
     assert not math.isnan(r["mae"])
+
+
+def test_correlation_with_a_constant_column_is_null(spark):
+    df = spark.createDataFrame([(1.0, 0.0, 2.0), (2.0, 0.0, None), (3.0, 0.0, 7.0), (4.0, 0.0, 1.0)],
+                               "a double, z double, b double")
+    got = {(r["row"], r["col"]): r["corr"] for r in stats.correlation_matrix(df, ["a", "z", "b"]).collect()}
+    assert got[("a", "z")] is None and got[("z", "z")] is None
+    assert got[("a", "a")] == pytest.approx(1.0)
+    import numpy as np
+    assert got[("a", "b")] == pytest.approx(np.corrcoef([1, 3, 4], [2, 7, 1])[0, 1])

@@ -48,3 +48,16 @@ def test_rescore_daily_replaces_column(spark, inputs):
     res = pipelines.rescore_daily(out["merged"], out["items"], factory)
     vals = {r["finbert_sentiment"] for r in res["merged"].select("finbert_sentiment").distinct().collect()}
     assert vals == {0.5}
+
+
+def test_cli_demo_run(tmp_path):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    res = subprocess.run([sys.executable, "-m", "murmur", "--demo-sf", SF, "--out", str(tmp_path), "--no-models",
+                          "--master", "local[2]"], cwd=root, capture_output=True, text=True, timeout=900)
+    assert res.returncode == 0, res.stderr[-3000:]
+    written = set(os.listdir(tmp_path))
+    assert {"features", "kappa", "daily_social", "posts_enriched", "daily_market", "sarcasm"} <= written
+    assert os.path.exists(tmp_path / "features" / "_SUCCESS")
