@@ -36,6 +36,8 @@ def daily_chunks(items: DataFrame, chunk_chars: int = config.CHUNK_CHARS, max_ch
     if max_chunks is not None:
         k1 = F.least(k1, F.lit(max_chunks - 1))
     useful = pre.where(end > F.col("_off"))
+    if max_chunks is not None:
+        useful = useful.where(F.col("_off") < F.lit(max_chunks * C))
     pieces = useful.select(date_col, "_off", "_t", "_group_total",
                            F.explode(F.sequence(k0, k1)).alias("chunk"),
                            end.alias("_end"))

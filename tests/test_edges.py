@@ -170,3 +170,10 @@ def test_correlation_with_a_constant_column_is_null(spark):
     assert got[("a", "a")] == pytest.approx(1.0)
     import numpy as np
     assert got[("a", "b")] == pytest.approx(np.corrcoef([1, 3, 4], [2, 7, 1])[0, 1])
+
+
+def test_capped_chunks_ignore_items_beyond_the_cap(spark):
+    items = spark.createDataFrame([(1, 0, i, "y" * 1000) for i in range(6)], "date int, kind int, ord int, text string")
+    got = {r["chunk"]: r["text"] for r in textchunks.daily_chunks(items, 1800, max_chunks=2).collect()}
+    joined = " ".join(["y" * 1000] * 6)
+    assert got == {0: joined[:1800], 1: joined[1800:3600]}
