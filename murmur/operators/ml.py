@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from murmur import config
 from murmur.operators.stats import regression_metrics, unpivot
 from murmur.operators.timeseries import chronological_split
+from murmur.session import default_parallelism
 
 MODEL_NAMES = {"linear_regression": "Linear Regression", "random_forest": "Random Forest",
                "gbt": "Gradient Boosted Trees"}
@@ -34,9 +35,11 @@ def model_predictions(features: DataFrame, feature_cols: list[str] | None = None
     if lagged_only:
         cols = [c for c in cols if c not in ("return", "volume")]
     split = chronological_split(features, [k for k in keys if k != "date"] or keys[:1], "date", test_fraction)
+    # the iterative learners launch jobs per round over the cached frame: give it one
+    # partition per core, not the shuffle partitioning left by the feature windows
     data = (split.select(*keys, "is_test", *[F.col(c).cast("double").alias(c) for c in cols],
                          (F.col(label) * F.lit(label_scale)).alias("_y"))
-            .na.drop().cache())
+            .na.drop().repartition(default_parallelism(features.sparkSession)).cache())
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     out = test
