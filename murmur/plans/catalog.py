@@ -823,3 +823,19 @@ def q_post_topics(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(relations.topic_col("title", DATA_TOPICS, DATA_TOPIC_DEFAULT).alias("topic"),
                      relations.relevance_col("title", DATA_KEYWORDS).alias("relevance")) \
         .agg(F.count(F.lit(1)).alias("posts"))
+
+
+@register("conversation_threads", """
+WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS id, role AS author FROM conversations WHERE turn = 0),
+r AS (SELECT concat_ws('-', conv_id, turn) AS id, role AS author,
+             '/r/chat/comments/' || CAST(conv_id AS VARCHAR) || '/turn_' || CAST(turn AS VARCHAR) || '/' AS permalink
+      FROM conversations WHERE turn > 0),
+c AS (SELECT id, author, nullif(regexp_extract(permalink, '/comments/([^/]+)/', 1), '') AS link_id FROM r)
+SELECT c.id AS id_comment, c.link_id, p.id AS id_post, c.author AS author_comment, p.author AS author_post,
+       p.id IS NOT NULL AS has_parent_post
+FROM c LEFT JOIN p ON c.link_id = p.id""")
+def q_conversation_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 + J1 + P11: replies find their thread through the permalink (no link id column)."""
+    posts, replies = tb.threads_from_conversations(tb.load(spark, sf, "conversations"))
+    rel = relations.relation(posts, replies)
+    return rel.select("id_comment", "link_id", "id_post", "author_comment", "author_post", "has_parent_post")

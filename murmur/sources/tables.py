@@ -112,3 +112,19 @@ def documents_as_items(documents: DataFrame) -> DataFrame:
 def label_scores(labels: DataFrame) -> DataFrame:
     """A third, human-label 'scorer' per document: quality - toxic in {-1, 0, 1}."""
     return labels.select("doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("label_score"))
+
+
+def threads_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations as threads: turn 0 opens a post, later turns are replies that carry
+    only a permalink ``/r/chat/comments/<conv_id>/turn_<n>/`` (no link id column)."""
+    posts = conversations.where(F.col("turn") == 0).select(
+        F.col("conv_id").cast("string").alias("id"), F.col("role").alias("author"),
+        F.col("text").alias("title"), F.lit(None).cast("double").alias("created_utc"),
+        F.length("text").cast("long").alias("score"))
+    replies = conversations.where(F.col("turn") > 0).select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("author"),
+        F.col("text").alias("body"), F.lit(None).cast("double").alias("created_utc"),
+        F.length("text").cast("long").alias("score"),
+        F.concat(F.lit("/r/chat/comments/"), F.col("conv_id").cast("string"), F.lit("/turn_"),
+                 F.col("turn").cast("string"), F.lit("/")).alias("permalink"))
+    return posts, replies
