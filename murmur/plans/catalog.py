@@ -15,9 +15,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmur.operators import clean, lexicon as lex, relations, rollups, timeseries as ts
-from murmur.session import ship_package
+from murmur import config as _cfg
+from murmur.functions.labels import five_class, three_class
+from murmur.operators import clean, lexicon as lex, ml, ordering, relations, rollups, scoring, stats, textchunks
+from murmur.operators import timeseries as ts
+from murmur.session import shared_scratch_path, ship_package
 from murmur.sources import tables as tb
+from murmur.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -373,8 +377,6 @@ def q_daily_social(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 # Market x social features (J6 + W9 with sentiment lags) and the statistics over them
 # ---------------------------------------------------------------------------------------
-from murmur.functions.labels import five_class, three_class  # noqa: E402
-from murmur.operators import ordering, stats  # noqa: E402
 
 MS_SQL = f"""
 WITH bars AS ({BARS_SQL}),
@@ -661,10 +663,6 @@ def q_top_comment_texts(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 # Day-level text and model scoring (A5/F5, T4, T6, R1) over whole documents
 # ---------------------------------------------------------------------------------------
-from murmur.operators import scoring, textchunks  # noqa: E402
-from murmur.session import shared_scratch_path  # noqa: E402
-from murmur.streaming import incremental  # noqa: E402
-from murmur import config as _cfg  # noqa: E402
 
 CHUNKS_SQL = f"""
 WITH items AS ({DOC_ITEMS_SQL}),
@@ -715,7 +713,6 @@ def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
 # Models (M1-M6, A14, A15): not SQL-expressible -> rows-only check; OLS is unit-tested
 # against a NumPy least-squares fit on a fixture.
 # ---------------------------------------------------------------------------------------
-from murmur.operators import ml  # noqa: E402
 
 
 def _model_features(spark, sf):

@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import functions as F
-
 from murmur.operators.scoring import ScorerFactory, irony_scores, item_model_scores
 
 
