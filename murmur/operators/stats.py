@@ -128,24 +128,33 @@ def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float
 def cohen_kappa(df: DataFrame, pairs: list[tuple[str, str]], name_fmt: str = "{a} vs {b}") -> DataFrame:
     """Cohen's kappa for each pair of label columns in one pass.
 
-    Unpivot pairs -> contingency counts (<= classes^2 rows per pair) -> observed and
-    expected agreement from the tiny table. NULL when expected agreement is 1."""
+    Unpivot pairs -> contingency counts (partial aggregation; <= classes^2 cells per pair)
+    -> per pair, the cell list (bounded by classes^2) gives observed agreement
+    sum(diagonal)/n and expected agreement sum_k(row_k * col_k)/n^2 without any join.
+    NULL when expected agreement is 1 (a single class on both sides)."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(name_fmt.format(a=a, b=b)).alias("comparison"), F.col(a).alias("la"), F.col(b).alias("lb"))
         for a, b in pairs])).alias("s")).select("s.*")
     cells = stacked.groupBy("comparison", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
-    tot = cells.groupBy("comparison").agg(F.sum("n").alias("total"),
-                                          F.sum(F.when(F.col("la") == F.col("lb"), F.col("n"))).alias("diag"))
-    ra = cells.groupBy("comparison", F.col("la").alias("label")).agg(F.sum("n").alias("na"))
-    rb = cells.groupBy("comparison", F.col("lb").alias("label")).agg(F.sum("n").alias("nb"))
-    marg = ra.join(rb, ["comparison", "label"], "inner").groupBy("comparison").agg(
-        F.sum(F.col("na") * F.col("nb")).alias("pe_num"))
-    k = tot.join(marg, "comparison", "left")
+    per = cells.groupBy("comparison").agg(
+        F.collect_list(F.struct("la", "lb", "n")).alias("cells"),
+        F.sum("n").alias("total"),
+        F.sum(F.when(F.col("la") == F.col("lb"), F.col("n")).otherwise(0)).alias("diag"))
+
+    def margin(side, k):
+        return F.aggregate(F.filter("cells", lambda c: c[side] == k), F.lit(0).cast("long"),
+                           lambda acc, c: acc + c["n"])
+
+    labels = F.array_distinct(F.concat(F.transform("cells", lambda c: c["la"]),
+                                       F.transform("cells", lambda c: c["lb"])))
+    pe_num = F.aggregate(labels, F.lit(0).cast("long"), lambda acc, k: acc + margin("la", k) * margin("lb", k))
     n = F.col("total").cast("double")
-    po = F.coalesce(F.col("diag"), F.lit(0)) / n
-    pe = F.coalesce(F.col("pe_num"), F.lit(0)) / (n * n)
+    po = F.col("diag") / n
+    pe = pe_num / (n * n)
+    k = per.select("comparison", "total", po.alias("po"), pe.alias("pe"))
     return k.select("comparison", F.col("total").cast("int").alias("sample_size"),
-                    F.when(pe == 1, F.lit(None).cast("double")).otherwise((po - pe) / (F.lit(1.0) - pe)).alias("kappa"))
+                    F.when(F.col("pe") == 1, F.lit(None).cast("double"))
+                    .otherwise((F.col("po") - F.col("pe")) / (F.lit(1.0) - F.col("pe"))).alias("kappa"))
 
 
 def regression_metrics(pred: DataFrame, label: str = "actual", prediction: str = "prediction",
