@@ -106,3 +106,20 @@ def test_lexicon_scores_match_bruteforce(spark):
         v = s / math.sqrt(s * s + config.COMPOUND_ALPHA) if pol else 0.0
         p = sum(pol) / len(pol) if pol else 0.0
         assert math.isclose(got[i][0], v, abs_tol=1e-12) and math.isclose(got[i][1], p, abs_tol=1e-12), (t, got[i], v, p)
+
+
+def test_regression_metrics_match_numpy(spark):
+    from murmur.operators import stats
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=39) * 1e-10
+    rows, expect = [], {}
+    for m, noise in (("a", 0.5), ("b", 2.0)):
+        p = y + rng.normal(size=39) * noise * 1e-10
+        rows += [(m, float(a), float(b)) for a, b in zip(y, p)]
+        e = y - p
+        expect[m] = (np.mean(np.abs(e)), np.sqrt(np.mean(e * e)), 1 - np.sum(e * e) / np.sum((y - y.mean()) ** 2))
+    df = spark.createDataFrame(rows, "model string, actual double, prediction double")
+    for r in stats.regression_metrics(df, group_cols=["model"]).collect():
+        mae, rmse, r2 = expect[r["model"]]
+        assert math.isclose(r["mae"], mae, rel_tol=1e-12) and math.isclose(r["rmse"], rmse, rel_tol=1e-12)
+        assert math.isclose(r["r2"], r2, rel_tol=1e-9)
