@@ -21,19 +21,19 @@ def available(df: DataFrame, columns: list[str]) -> list[str]:
 
 def dedup(df: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
     """One row per key tuple (NULLs equal each other); the whole row when no key
-    column exists. With ``order_by`` the kept row is the first by that column — done with
-    a ``min_by`` aggregate, so a hot duplicate group collapses map-side before the shuffle
-    instead of landing in one window task."""
+    column exists. With ``order_by`` (unique within a key group) the kept row is the first
+    by that column — a ``min_by`` aggregate, so a hot duplicate group collapses map-side
+    before the shuffle instead of landing in one window task."""
     keys = available(df, keys)
     if not keys:
         return df.dropDuplicates()
-    if order_by is None:
-        return df.dropDuplicates(keys)
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
-    kept = (df.groupBy(*keys)
-            .agg(F.min_by(F.struct(*rest), F.col(order_by)).alias("_kept")))
+    # without an order column keep the smallest remaining row: deterministic under
+    # recomputation, unlike dropDuplicates(keys)
+    pick = (F.min_by(F.struct(*rest), F.col(order_by)) if order_by is not None else F.min(F.struct(*rest)))
+    kept = df.groupBy(*keys).agg(pick.alias("_kept"))
     return kept.select(*keys, "_kept.*").select(*df.columns)
 
 
