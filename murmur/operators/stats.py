@@ -69,7 +69,8 @@ def top_frequencies(df: DataFrame, col: str, k: int = 10) -> DataFrame:
 def histogram(df: DataFrame, value_col: str, bins: int, group_cols: list[str] | None = None) -> DataFrame:
     """``bins`` equal-width bins over each group's [min, max]; the last bin is
     closed; min = max spreads the range to [v - 0.5, v + 0.5] (all rows in the middle bin).
-    Empty bins are listed with count 0. ``(*group, bin, lo, hi, count)``."""
+    Empty bins are listed with count 0. ``(*group, bin, lo, hi, count)``.
+    Two passes over ``df`` (ranges, then bins): checkpoint an expensive input first."""
     group_cols = list(group_cols or [])
     x = df.where(F.col(value_col).isNotNull())
     rng = x.groupBy(*group_cols).agg(F.min(value_col).alias("_mn"), F.max(value_col).alias("_mx"))

@@ -49,6 +49,14 @@ def register(name: str, sql: str | None):
 NUDGE = 1.000000000001
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small derived table that a two-pass operator reads twice
+    (reliable checkpoint into the cluster's checkpoint folder)."""
+    from murmur.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def rnd(c: str, digits: int = 6):
     return F.round(F.col(c) * F.lit(NUDGE), digits).alias(c)
 
@@ -452,7 +460,8 @@ SELECT g.bin, {r_sql('lo + g.bin * ((hi - lo) / 25)', 9)} AS lo, {r_sql('lo + (g
 FROM rg, (SELECT CAST(range AS INTEGER) AS bin FROM range(25)) g LEFT JOIN b ON g.bin = b.bin""")
 def q_sentiment_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """25 equal-width bins of daily mean sentiment (last bin closed, empty bins kept)."""
-    h = stats.histogram(_market_social(spark, sf), "avg_sentiment", 25)
+    feats = pinned(_market_social(spark, sf).select("avg_sentiment"))  # read twice: range, then bins
+    h = stats.histogram(feats, "avg_sentiment", 25)
     return h.select("bin", rnd("lo", 9), rnd("hi", 9), "count")
 
 
@@ -612,7 +621,8 @@ LEFT JOIN b ON b.scorer = rg.scorer AND b.bin = g.bin""")
 def q_scorer_histograms(spark: SparkSession, sf: str) -> DataFrame:
     """Three 30-bin histograms, each over its own range, from one unpivot + one aggregation."""
     s = _doc_scores(spark, sf)
-    long = stats.unpivot(s.select("vader", "textblob", "finbert"), ["vader", "textblob", "finbert"], "scorer", "v")
+    long = pinned(stats.unpivot(s.select("vader", "textblob", "finbert"), ["vader", "textblob", "finbert"],
+                                "scorer", "v"))  # read twice: ranges, then bins
     h = stats.histogram(long, "v", 30, ["scorer"])
     return h.select("scorer", "bin", rnd("lo", 9), rnd("hi", 9), "count")
 
@@ -805,7 +815,7 @@ SELECT symbol, date, volume FROM feat, q
 WHERE volume < q1 - 1.5 * (q3 - q1) OR volume > q3 + 1.5 * (q3 - q1)""")
 def q_volume_outliers(spark: SparkSession, sf: str) -> DataFrame:
     """The daily rows whose volume lies outside the 1.5 IQR fences."""
-    f = _market_social(spark, sf).select("symbol", "date", "volume")
+    f = pinned(_market_social(spark, sf).select("symbol", "date", "volume"))  # read twice
     return stats.outliers(f, "volume", stats.box_stats(f, "volume"))
 
 
