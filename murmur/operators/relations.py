@@ -29,7 +29,7 @@ def ensure_link_id(comments: DataFrame, parity: bool = False) -> DataFrame:
     return comments.withColumn("link_id", normalise_link_id(raw, parity))
 
 
-def relation(posts: DataFrame, comments: DataFrame, parity: bool = False) -> DataFrame:
+def relation(posts: DataFrame, comments: DataFrame, parity: bool = False, salt: int | None = None) -> DataFrame:
     """J1 + P11: every comment with its parent post (LEFT), overlapping names suffixed
     ``_comment`` / ``_post``; ``has_parent_post``.
 
@@ -44,7 +44,17 @@ def relation(posts: DataFrame, comments: DataFrame, parity: bool = False) -> Dat
     p2 = p.select(*[F.col(x).alias(f"{x}_post" if x in overlap else x) for x in p.columns])
     left_key = "link_id_comment" if "link_id" in overlap else "link_id"
     right_key = "id_post" if "id" in overlap else "id"
-    rel = c2.join(p2, c2[left_key] == p2[right_key], "left")
+    if salt:
+        # explicit salting for a hot post (when AQE's skew split is off or not triggered):
+        # each comment gets a deterministic salt in [0, salt), each post is copied once per
+        # salt value, and the join runs on (key, salt) — a hot key becomes `salt` tasks.
+        ckey = "id_comment" if "id" in overlap else "id"
+        c2 = c2.withColumn("_salt", F.pmod(F.xxhash64(F.col(ckey)), F.lit(salt)))
+        p2 = p2.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+        rel = c2.join(p2, (c2[left_key] == p2[right_key]) & (c2["_salt"] == p2["_salt"]), "left") \
+            .drop(c2["_salt"]).drop(p2["_salt"])
+    else:
+        rel = c2.join(p2, c2[left_key] == p2[right_key], "left")
     flag = F.col("title").isNotNull() if parity else F.col(right_key).isNotNull()
     return rel.withColumn("has_parent_post", flag)
 

@@ -200,3 +200,25 @@ def test_window_queries_never_plan_a_single_partition(spark, name):
     from murmur.plans import catalog
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "SinglePartition" not in _plan(df)
+
+
+def test_salted_relation_equals_plain(spark):
+    from murmur.operators import relations
+    rnd = random.Random(12)
+    posts = spark.createDataFrame([(str(i), f"u{i}", f"t{i}", 1.0, i) for i in range(20)],
+                                  "id string, author string, title string, created_utc double, score long")
+    comments = spark.createDataFrame(
+        [(f"c{j}", "v", "b", 2.0, 1, "t3_" + ("0" if rnd.random() < 0.5 else str(rnd.randint(0, 25))))
+         for j in range(400)], "id string, author string, body string, created_utc double, score long, link_id string")
+    key = lambda r: tuple(str(x) for x in r)
+    plain = sorted(map(tuple, relations.relation(posts, comments).collect()), key=key)
+    salted_df = relations.relation(posts, comments, salt=8)
+    assert sorted(map(tuple, salted_df.collect()), key=key) == plain
+    assert "_salt" not in salted_df.columns
+
+
+def test_filters_reach_the_scan(spark):
+    from murmur.plans import catalog
+    plan = _plan(catalog.QUERIES["conversation_threads"](spark, "/root/testdata/sf0.001"))
+    assert "PushedFilters: [IsNotNull(turn), EqualTo(turn,0)]" in plan
+    assert "PushedFilters: [IsNotNull(turn), GreaterThan(turn,0)]" in plan
