@@ -847,3 +847,43 @@ def q_conversation_threads(spark: SparkSession, sf: str) -> DataFrame:
     posts, replies = tb.threads_from_conversations(tb.load(spark, sf, "conversations"))
     rel = relations.relation(posts, replies)
     return rel.select("id_comment", "link_id", "id_post", "author_comment", "author_post", "has_parent_post")
+
+
+def _feature_pass_sql(src: str, tag: str) -> str:
+    """CTEs r<tag>, f<tag>, g<tag>, p<tag> computing one feature pass over CTE ``src``;
+    p<tag> keeps the complete rows (the pass's drop of incomplete rows)."""
+    return f"""
+r{tag} AS (SELECT symbol, date, open, high, low, close, volume,
+                  close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS ret FROM {src}),
+f{tag} AS (SELECT *,
+        CASE WHEN count(ret) OVER w7 = 7 THEN stddev_samp(ret) OVER w7 END AS volatility_7d,
+        abs(ret) / nullif(volume, 0) AS illiquidity,
+        CASE WHEN count(volume) OVER w30 = 30 THEN volume / nullif(avg(volume) OVER w30, 0) END AS turnover_ratio
+      FROM r{tag}
+      WINDOW w7 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+             w30 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+g{tag} AS (SELECT *, CASE WHEN volatility_7d > median(volatility_7d) OVER (PARTITION BY symbol)
+                          THEN 'High Volatility' ELSE 'Low Volatility' END AS market_regime FROM f{tag}),
+p{tag} AS (SELECT * FROM g{tag}
+           WHERE ret IS NOT NULL AND volatility_7d IS NOT NULL AND illiquidity IS NOT NULL
+             AND turnover_ratio IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL)"""
+
+
+@register("liquidity_features_two_pass", f"""
+WITH bars AS ({BARS_SQL}),{_feature_pass_sql('bars', '1')},{_feature_pass_sql('p1', '2')}
+SELECT symbol, date, close, volume, ret AS return, {r_sql('volatility_7d', 9)} AS volatility_7d,
+       illiquidity, turnover_ratio, market_regime
+FROM p2""")
+def q_liquidity_features_two_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """W9 applied twice, as the original main flow does (each pass recomputes returns,
+    windows and the median on the rows that survived the previous pass)."""
+    b = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
+    return _features_out(ts.features(b, sentiment=None, passes=2))
+
+
+@register("post_comment_relation_salted", ORACLE["post_comment_relation"])
+def q_post_comment_relation_salted(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 with explicit salting (16 salts): same rows as the plain join."""
+    rel = relations.relation(_posts(spark, sf), _comments(spark, sf, with_body=False), salt=16)
+    return rel.select("id_comment", "link_id", "id_post", "title", "author_comment", "author_post",
+                      "has_parent_post")
