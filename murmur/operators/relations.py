@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from murmur import config
 from murmur.functions.numeric import engagement
 from murmur.functions.text import link_id_from_permalink, normalise_link_id, relevance, topic
 
@@ -98,8 +97,6 @@ def with_counters(df: DataFrame, name: str, flag: str | None = None) -> tuple[Da
     return df.observe(obs, *metrics), obs
 
 
-DEFAULT_KEYWORDS = config.RELEVANCE_KEYWORDS
-
 # column forms re-exported for callers that group by them
 relevance_col = relevance
 topic_col = topic
