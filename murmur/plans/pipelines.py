@@ -43,8 +43,22 @@ def preprocess(inp: Inputs) -> dict[str, DataFrame]:
     enriched = relations.enrich_posts(relations.posts_with_counts(posts, counts), o.keywords, o.topics,
                                       o.topic_default, parity=o.parity)
     market = ts.kalman_features(inp.bars)
+    orphans = rel.where(~F.col("has_parent_post"))
     return {"posts": posts, "comments": comments, "relation": rel, "posts_enriched": enriched,
-            "orphans": rel.where(~F.col("has_parent_post")), "daily_market": market}
+            "orphans": orphans, "daily_market": market,
+            "quality_counters": quality_counters({"posts_after_dedup": posts, "comments_after_dedup": comments,
+                                                  "orphan_comments": orphans})}
+
+
+def quality_counters(stages: dict[str, DataFrame]) -> DataFrame:
+    """``(stage, rows)`` for each named frame — one-row aggregates unioned, computed
+    when the artifact is written (no driver round trip per stage)."""
+    frames = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows")
+              for name, df in stages.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def score_items(inp: Inputs, posts: DataFrame, comments: DataFrame) -> dict[str, DataFrame]:

@@ -22,6 +22,8 @@ def test_full_pipeline_artifacts(spark, inputs, monkeypatch):
     monkeypatch.setattr(ml.config, "RF_TREES", 5)
     out = pipelines.full(inputs, run_models=False)
     assert out["orphans"].count() == 0
+    counters = {r["stage"]: r["rows"] for r in out["quality_counters"].collect()}
+    assert counters == {"posts_after_dedup": 1500, "comments_after_dedup": 6000, "orphan_comments": 0}
     assert out["posts_enriched"].count() == tb.load(spark, SF, "orders").count()
     feats = out["features"]
     assert feats.count() > 0 and feats.where(F.col("finbert_sentiment") != 0).count() == 0
