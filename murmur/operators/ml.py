@@ -8,6 +8,8 @@ makes the normal equations singular); trees keep every column.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +29,7 @@ def model_predictions(features: DataFrame, feature_cols: list[str] | None = None
                       rf_trees: int = config.RF_TREES, rf_depth: int = config.RF_DEPTH,
                       gbt_rounds: int = config.GBT_ROUNDS, gbt_step: float = config.GBT_STEP,
                       gbt_depth: int = config.GBT_DEPTH, seed: int = config.MODEL_SEED,
-                      models=("linear_regression", "random_forest", "gbt")) -> DataFrame:
+                      models=("linear_regression", "random_forest", "gbt"), parallelism: int = 3) -> DataFrame:
     """M1-M6: fit on the first 80 % of each series, predict the last 20 %.
     Returns ``(*keys, actual, <model>...)`` for the test rows."""
     keys = list(keys)
@@ -42,26 +44,33 @@ def model_predictions(features: DataFrame, feature_cols: list[str] | None = None
             .na.drop().repartition(default_parallelism(features.sparkSession)).cache())
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
-    out = test
-    if "linear_regression" in models:
-        var = train.agg(*[F.var_samp(c).alias(c) for c in cols]).first()  # one row
-        ols_cols = [c for c in cols if var[c] not in (None, 0.0)]
-        va = VectorAssembler(inputCols=ols_cols, outputCol="_f_ols")
-        lr = LinearRegression(featuresCol="_f_ols", labelCol="_y", predictionCol="linear_regression",
-                              regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False)
-        fit = lr.fit(va.transform(train))
-        out = fit.transform(va.transform(out)).drop("_f_ols")
     va_all = VectorAssembler(inputCols=cols, outputCol="_f")
-    if "random_forest" in models:
-        rf = RandomForestRegressor(featuresCol="_f", labelCol="_y", predictionCol="random_forest",
-                                   numTrees=rf_trees, maxDepth=rf_depth, seed=seed, featureSubsetStrategy="all")
-        fit = rf.fit(va_all.transform(train))
-        out = fit.transform(va_all.transform(out)).drop("_f")
-    if "gbt" in models:
-        gbt = GBTRegressor(featuresCol="_f", labelCol="_y", predictionCol="gbt", maxIter=gbt_rounds,
-                           stepSize=gbt_step, maxDepth=gbt_depth, seed=seed)
-        fit = gbt.fit(va_all.transform(train))
-        out = fit.transform(va_all.transform(out)).drop("_f")
+
+    def fit(name):
+        if name == "linear_regression":
+            var = train.agg(*[F.var_samp(c).alias(c) for c in cols]).first()  # one row
+            ols_cols = [c for c in cols if var[c] not in (None, 0.0)]
+            va = VectorAssembler(inputCols=ols_cols, outputCol="_f_ols")
+            lr = LinearRegression(featuresCol="_f_ols", labelCol="_y", predictionCol=name,
+                                  regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False)
+            return va, lr.fit(va.transform(train))
+        if name == "random_forest":
+            est = RandomForestRegressor(featuresCol="_f", labelCol="_y", predictionCol=name,
+                                        numTrees=rf_trees, maxDepth=rf_depth, seed=seed,
+                                        featureSubsetStrategy="all")
+        else:
+            est = GBTRegressor(featuresCol="_f", labelCol="_y", predictionCol=name, maxIter=gbt_rounds,
+                               stepSize=gbt_step, maxDepth=gbt_depth, seed=seed)
+        return va_all, est.fit(va_all.transform(train))
+
+    # the three fits are independent: run them concurrently (as CrossValidator's
+    # `parallelism` does) so their per-round job overheads overlap
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(models)))) as pool:
+        fitted = dict(zip(models, pool.map(fit, models)))
+    out = test
+    for name in models:
+        va, model = fitted[name]
+        out = model.transform(va.transform(out)).drop(va.getOutputCol())
     scale = F.lit(label_scale)
     return out.select(*keys, (F.col("_y") / scale).alias("actual"),
                       *[(F.col(m) / scale).alias(m) for m in models])
