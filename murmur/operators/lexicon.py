@@ -84,7 +84,8 @@ def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str =
     # below drops the outer row of an empty text anyway.
     exploded = flagged.select(*id_cols, F.posexplode_outer("_z").alias("pos", "_t")).select(
         *id_cols, "pos", F.col("_t.term").alias("term"), F.col("_t.negated").alias("negated"))
-    lex = bounded_broadcast(lexicon.select("term", "valence").dropDuplicates(["term"]))
+    # one valence per term (a duplicated term keeps its largest valence, deterministically)
+    lex = bounded_broadcast(lexicon.groupBy("term").agg(F.max("valence").alias("valence")))
     return exploded.join(lex, "term", "inner")
 
 
