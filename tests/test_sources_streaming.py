@@ -104,3 +104,16 @@ def test_observed_counters(spark):
     observed, obs = relations.with_counters(df, "orphans", "has_parent_post")
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get == {"rows": 3, "not_has_parent_post": 2}
+
+
+def test_read_lexicon_and_load_text(spark):
+    from murmur.operators import lexicon as lex
+    d = _tmp()
+    with open(f"{d}/lex.tsv", "w") as fh:
+        fh.write("Good\t1.9\t0.5\t[2]\nbad\t-2.5\t0.7\t[1]\nbroken\tx\t0\t[]\n")
+    got = {r["term"]: r["valence"] for r in lex.read_lexicon(spark, f"{d}/lex.tsv").collect()}
+    assert got == {"good": 1.9, "bad": -2.5}
+    df = spark.createDataFrame([(1_700_000_000.0, "hi"), (None, "x"), (1_700_086_400.0, None)],
+                               "created_utc double, body string")
+    rows = files.load_text(df, "body").collect()
+    assert [(str(r["date"]), r["text"]) for r in rows] == [("2023-11-14", "hi")]
