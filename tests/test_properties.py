@@ -222,3 +222,25 @@ def test_filters_reach_the_scan(spark):
     plan = _plan(catalog.QUERIES["conversation_threads"](spark, "/root/testdata/sf0.001"))
     assert "PushedFilters: [IsNotNull(turn), EqualTo(turn,0)]" in plan
     assert "PushedFilters: [IsNotNull(turn), GreaterThan(turn,0)]" in plan
+
+
+def test_range_prefix_across_many_arrow_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(17)
+        rows = [(f"g{rnd.randint(0, 3)}", i, rnd.randint(1, 5)) for i in range(400)]
+        df = spark.createDataFrame(rows, "g string, o int, w long")
+        got = {(r["g"], r["o"]): r["_before"] for r in ordering.range_prefix(df, ["o"], ["g"], "w", num_partitions=3).collect()}
+        plain = {(r["g"], r["o"]): r["_before"]
+                 for r in ordering.range_prefix(df, ["o"], None, "w", num_partitions=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    acc = {}
+    for g, o, w in sorted(rows, key=lambda r: (r[0], r[1])):
+        assert got[(g, o)] == acc.get(g, 0)
+        acc[g] = acc.get(g, 0) + w
+    total = 0
+    for g, o, w in sorted(rows, key=lambda r: r[1]):
+        assert plain[(g, o)] == total
+        total += w
