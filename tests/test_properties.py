@@ -84,7 +84,17 @@ def test_exact_quantiles_match_numpy(spark):
             assert got[(g, p)] == pytest.approx(np.percentile(vals, p * 100), abs=1e-12)
 
 
-def test_daily_chunks_match_python_join(spark):
+@pytest.mark.parametrize("batch", ["10000", "5"])
+def test_daily_chunks_match_python_join(spark, batch):
+    old_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        _check_daily_chunks(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old_batch)
+
+
+def _check_daily_chunks(spark):
     rnd = random.Random(11)
     items = []
     for i in range(120):
