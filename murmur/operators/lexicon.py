@@ -37,7 +37,12 @@ DEMO_LEXICON = [
 
 
 def lexicon_frame(spark: SparkSession, entries=None) -> DataFrame:
-    return spark.createDataFrame(entries if entries is not None else DEMO_LEXICON, LEXICON_SCHEMA)
+    """A small in-memory lexicon as a local relation (built through Arrow, so scanning it
+    needs no Python worker)."""
+    import pandas as pd
+    rows = entries if entries is not None else DEMO_LEXICON
+    pdf = pd.DataFrame(rows, columns=["term", "valence"]).astype({"term": "object", "valence": "float64"})
+    return spark.createDataFrame(pdf, LEXICON_SCHEMA)
 
 
 def read_lexicon(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
