@@ -63,3 +63,42 @@ def test_cli_demo_run(tmp_path):
     written = set(os.listdir(tmp_path))
     assert {"features", "kappa", "daily_social", "posts_enriched", "daily_market", "sarcasm"} <= written
     assert os.path.exists(tmp_path / "features" / "_SUCCESS")
+
+
+def test_cli_on_raw_csv_inputs(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(0)
+    days = pd.date_range("2024-01-01", periods=80, freq="D")
+    epoch = [int(d.timestamp()) + 3600 for d in days]
+    posts = pd.DataFrame({"id": [f"p{i}" for i in range(80)], "author": "a",
+                          "title": [f"Tesla earnings day {i}\nsecond line" for i in range(80)],
+                          "created_utc": epoch, "score": rng.integers(0, 100, 80)})
+    comments = pd.DataFrame({"id": [f"c{i}" for i in range(160)], "author": "b",
+                             "body": ["good stock, not bad" if i % 2 else "bad price" for i in range(160)],
+                             "created_utc": [epoch[i // 2] + 60 for i in range(160)], "score": 1,
+                             "link_id": [f"t3_p{i // 2}" for i in range(160)]})
+    close = 100 + np.cumsum(rng.normal(0, 1, 80))
+    bars = pd.DataFrame({"Date": [d.strftime("%Y-%m-%d") for d in days], "Close": close, "High": close + 1,
+                         "Low": close - 1, "Open": close, "Volume": rng.integers(1_000, 5_000, 80)})
+    posts.to_csv(tmp_path / "posts.csv", index=False)
+    comments.to_csv(tmp_path / "comments.csv", index=False)
+    bars.to_csv(tmp_path / "bars.csv", index=False)
+    (tmp_path / "lex.tsv").write_text("good\t1.9\nbad\t-2.5\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tmp_path / "out"
+    res = subprocess.run([sys.executable, "-m", "murmur", "--posts", str(tmp_path / "posts.csv"),
+                          "--comments", str(tmp_path / "comments.csv"), "--bars", str(tmp_path / "bars.csv"),
+                          "--lexicon", str(tmp_path / "lex.tsv"), "--symbol", "TSLA", "--out", str(out),
+                          "--no-models", "--format", "csv", "--master", "local[2]"],
+                         cwd=root, capture_output=True, text=True, timeout=900)
+    assert res.returncode == 0, res.stderr[-3000:]
+    feats = pd.concat(pd.read_csv(f) for f in (out / "features").glob("part-*.csv"))
+    assert len(feats) == 80 - 29  # the 30-row turnover window is the last to fill
+    counters = pd.concat(pd.read_csv(f) for f in (out / "quality_counters").glob("part-*.csv"))
+    assert dict(zip(counters["stage"], counters["rows"])) == {
+        "posts_after_dedup": 80, "comments_after_dedup": 160, "orphan_comments": 0}
