@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, secrets, sharding, simhash, substring_dedup
+from . import decontaminate, langid, line_dedup, mixing, pii, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_extendible_sharding": sharding.op3_extendible_sharding,
+    "op4_fuzzy_line_dedup": line_dedup.op4_fuzzy_line_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_personal_data": pii.op7_personal_data,
     "op8_language_id": langid.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
