@@ -51,3 +51,9 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` of the rows at most, picked by a hash of ``key``: what a model is fitted on, small enough to broadcast."""
+    share = min(1.0, bound / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * share))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, pinned, table
+from .common import bounded, let, pinned, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -41,7 +41,7 @@ def buckets(w: Column, size: int) -> Column:
 def repeat_words(w: Column) -> Column:
     """Words that lie in 3-word windows found twice or more in the text, first included. The windows' hashes are
     sorted with their places; equal neighbours are repeats; a window covers up to the next repeat's start."""
-    hashed = F.transform(_rest(w, 2), lambda x, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), x).alias("h"), i.alias("i")))
+    hashes = F.transform(_rest(w, 2), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
 
     def places(s: Column) -> Column:
         same = lambda x, j: (F.get(s, j)["h"] == x["h"])
@@ -52,7 +52,12 @@ def repeat_words(w: Column) -> Column:
         gap = F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(3)), F.lit(3)))
         return F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(let(F.array_sort(hashed), places), covered)
+    def counted(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        some = let(let(placed, places), covered)
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), some).otherwise(F.lit(0).cast("long"))  # most texts repeat none
+
+    return let(hashes, counted)
 
 
 def base_counts(text: Column) -> Column:
@@ -69,15 +74,17 @@ def base_counts(text: Column) -> Column:
     ))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float, trusted_bound: int) -> DataFrame:
     """``(bucket, llr)`` for every bucket that occurs: the log ratio of the trusted and the raw multinomial, in whole
     millionths of a nat, so that sums do not depend on their order. Both are smoothed by ``alpha`` occurrences of
     which the target holds its overall share, so that what was seen rarely says little, in a corpus of any size.
 
-    Counts cover all documents. Labels meet documents by id; repeated label rows count once.
+    The raw counts cover all documents; the target is fitted on at most about ``trusted_bound`` trusted ones, whose
+    ids (8 bytes each) go to all tasks, so no text is moved. Repeated label rows count once.
     """
     trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1)), F.col("doc_id") == F.col("_id"), "left")
+    trusted = bounded(trusted, "_id", trusted_bound)
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_good", F.lit(1))), F.col("doc_id") == F.col("_id"), "left")
     grams = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), lambda w: buckets(w, size))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     counts = pinned(counts, "ngrams")  # at most ``size`` rows
@@ -91,7 +98,7 @@ def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float) -> DataF
 
 def quality(
     docs: DataFrame, labels: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = 1 << 18, alpha: float = 10.0,
-    threshold: float = -0.15, learn_from: DataFrame | None = None,
+    threshold: float = -0.15, trusted_bound: int = 50_000, learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep`` (``doc_id``), the base counts, ``base_failed, llr, kept``.
 
@@ -101,7 +108,7 @@ def quality(
     Null and empty texts have zero counts and fail the base rules. Null ids carry no label; repeated rows keep
     their rows and count as often as they stand. Without trusted rows all ratios have one smoothed target.
     """
-    ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha)  # at most ``size`` rows: 4 MB, whatever the corpus
+    ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha, trusted_bound)  # at most ``size`` rows: 4 MB, whatever the corpus
     names = keep or ["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *names, base_counts(F.col(text)).alias("_b"), F.col(text).alias("_t"))
     grams = rows.select("_row", *names, "_b.*", F.explode_outer(let(words(F.col("_t")), lambda w: buckets(w, size))).alias("bucket"))
