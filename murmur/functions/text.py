@@ -20,12 +20,6 @@ def stringify(c, parity: bool = False) -> Column:
     return F.coalesce(c, F.lit("nan")) if parity else c
 
 
-def truncate(c, chars: int | None) -> Column:
-    """P10. First ``chars`` code points; ``None`` keeps the whole text."""
-    c = _col(c)
-    return c if chars is None else F.substring(c, 1, chars)
-
-
 def relevance(c, keywords=None) -> Column:
     """F7. Number of keywords occurring as substrings of lower(text); NULL text scores 0."""
     keywords = keywords if keywords is not None else config.RELEVANCE_KEYWORDS
@@ -56,12 +50,9 @@ def normalise_link_id(c, parity: bool = False) -> Column:
     return F.regexp_replace(stringify(c, parity), r"^t3_", "")
 
 
-def chunk_array(c, chunk_chars: int = config.CHUNK_CHARS, max_chunks: int | None = None) -> Column:
-    """F5. Slice text into ``chunk_chars`` pieces; at least one (possibly empty) piece.
-    ``max_chunks=None`` keeps every piece (whole text)."""
+def chunk_array(c, chunk_chars: int = config.CHUNK_CHARS) -> Column:
+    """F5. Slice the whole text into ``chunk_chars`` pieces; at least one (possibly empty) piece.
+    One pass of a pattern, so the work grows with the text's length only."""
     text = F.coalesce(_col(c), F.lit(""))
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(chunk_chars)).cast("int"))
-    if max_chunks is not None:
-        n = F.least(n, F.lit(max_chunks))
-    return F.transform(F.sequence(F.lit(0), n - 1),
-                       lambda i: F.substring(text, i * chunk_chars + 1, chunk_chars))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(pieces)

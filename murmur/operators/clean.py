@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from murmur.functions.text import stringify, truncate
+from murmur.functions.text import stringify
 
 
 def add_date(df: DataFrame, epoch_col: str = "created_utc", keep_timestamp: bool = True) -> DataFrame:
@@ -50,8 +50,7 @@ def clean_items(df: DataFrame) -> DataFrame:
     return add_date(df, keep_timestamp=False).na.drop("any")
 
 
-def union_items(comments: DataFrame, posts: DataFrame, parity: bool = False,
-                truncate_chars: int | None = None, ord_col: str = "id") -> DataFrame:
+def union_items(comments: DataFrame, posts: DataFrame, parity: bool = False, ord_col: str = "id") -> DataFrame:
     """Comments then posts as ``(item_id, date, kind, ord, text, score)``.
 
     ``kind`` (0 comment, 1 post) and ``ord`` fix the concatenation order that the original
@@ -60,6 +59,6 @@ def union_items(comments: DataFrame, posts: DataFrame, parity: bool = False,
         return df.select(
             F.concat_ws(":", F.lit(str(kind)), F.col("id")).alias("item_id"),
             F.col("date"), F.lit(kind).alias("kind"), F.col(ord_col).alias("ord"),
-            truncate(stringify(text_col, parity), truncate_chars).alias("text"),
+            stringify(text_col, parity).alias("text"),
             F.col("score"))
     return side(comments, "body", 0).unionByName(side(posts, "title", 1))

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from murmur import config
-from murmur.functions.text import truncate
 from murmur.operators.joins import bounded_broadcast
 from murmur.operators.partitioning import spread
 
@@ -74,12 +73,13 @@ def _negated_flags(marks: Column, size: Column) -> Column:
 
 
 def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str = "text",
-                 truncate_chars: int | None = None, negators=None) -> DataFrame:
-    """One row per lexicon hit: ``(*id_cols, pos, term, valence, negated)``."""
+                 negators=None, how: str = "inner") -> DataFrame:
+    """One row per lexicon hit: ``(*id_cols, pos, term, valence, negated)``; with ``how="left"`` also the words
+    (and items) without one, valence NULL."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     negators = negators if negators is not None else config.NEGATORS
     src = spread(items.select(*id_cols, text_col))
-    toks = src.select(*id_cols, tokens(truncate(F.col(text_col), truncate_chars)).alias("_toks"))
+    toks = src.select(*id_cols, tokens(F.col(text_col)).alias("_toks"))
     marked = toks.select(*id_cols, "_toks", _negation_marks(F.col("_toks"), negators).alias("_marks"))
     flagged = marked.select(*id_cols, F.arrays_zip(F.col("_toks").alias("term"),
                                                    _negated_flags(F.col("_marks"), F.size("_toks")).alias("negated"))
@@ -91,24 +91,29 @@ def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str =
         *id_cols, "pos", F.col("_t.term").alias("term"), F.col("_t.negated").alias("negated"))
     # one valence per term (a duplicated term keeps its largest valence, deterministically)
     lex = bounded_broadcast(lexicon.groupBy("term").agg(F.max("valence").alias("valence")))
-    return exploded.join(lex, "term", "inner")
+    return exploded.join(lex, "term", how)
 
 
 def score_items(items: DataFrame, lexicon: DataFrame, id_cols="item_id", text_col: str = "text",
-                truncate_chars: int | None = None, keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None) -> DataFrame:
     """Both lexicon scores for every item (0 when no term hits).
 
     * ``vader`` (T1): s = sum(valence, x NEGATION_SCALAR when negated); s / sqrt(s^2 + alpha).
     * ``textblob`` (T2): mean over hits of valence / POLARITY_SCALE (x POLARITY_NEGATION when negated).
 
-    Returns ``id_cols + keep + [vader, textblob]`` (texts are not carried through the join)."""
+    Returns ``id_cols + keep + [vader, textblob]``, one row per row of ``items``."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     keep = keep or []
-    hits = lexicon_hits(items, lexicon, id_cols, text_col, truncate_chars)
-    per_item = _per_item(hits, id_cols)
-    scored = items.select(*id_cols, *keep).join(per_item, id_cols, "left")
-    return scored.select(*id_cols, *keep, F.coalesce("vader", F.lit(0.0)).alias("vader"),
-                         F.coalesce("textblob", F.lit(0.0)).alias("textblob"))
+    names = [*id_cols, *keep]
+    return _each_row(items, lexicon, names, text_col).select(*names, "vader", "textblob")
+
+
+def _each_row(items: DataFrame, lexicon: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    """``names, vader, textblob`` of each row in one scan: rows are told apart by a number given before the words
+    are exploded, so null and repeated ids keep their own scores; a row's words lie in one task and are summed there."""
+    rows = items.withColumn("_row", F.monotonically_increasing_id())
+    per = _per_item(lexicon_hits(rows, lexicon, ["_row", *names], text_col, how="left"), ["_row", *names])
+    return per.select(*names, F.coalesce("vader", F.lit(0.0)).alias("vader"), F.coalesce("textblob", F.lit(0.0)).alias("textblob"))
 
 
 def _per_item(hits: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -122,20 +127,10 @@ def _per_item(hits: DataFrame, id_cols: list[str]) -> DataFrame:
                       F.col("_p").alias("textblob"))
 
 
-def daily_scores(items: DataFrame, lexicon: DataFrame, date_col: str = "date", id_col: str = "item_id",
-                 truncate_chars: int | None = None, count_items: DataFrame | None = None) -> DataFrame:
-    """T3 + A2 without joining scores back to every item: an item without a lexicon hit
-    scores 0, so the day's mean = (sum over hit items) / (all items of the day). Hits are
-    reduced per item, then per day; the items side is a partial count per day.
-    ``count_items`` (same rows, text not needed) lets the count side skip whatever join
-    produced the texts."""
-    hits = lexicon_hits(items, lexicon, [id_col, date_col], truncate_chars=truncate_chars)
-    per_day = _per_item(hits, [id_col, date_col]).groupBy(date_col).agg(
-        F.sum("vader").alias("_sv"), F.sum("textblob").alias("_st"))
-    counts = (count_items if count_items is not None else items).groupBy(date_col).agg(F.count(F.lit(1)).alias("item_count"),
-                                         F.avg("score").alias("avg_score"))
-    j = counts.join(per_day, date_col, "left")
-    n = F.col("item_count").cast("double")
-    return j.select(date_col, (F.coalesce(F.col("_sv"), F.lit(0.0)) / n).alias("avg_sentiment"),
-                    (F.coalesce(F.col("_st"), F.lit(0.0)) / n).alias("textblob_sentiment"),
-                    "avg_score", "item_count")
+def daily_scores(items: DataFrame, lexicon: DataFrame, date_col: str = "date") -> DataFrame:
+    """T3 + A2 in one scan: every item keeps a row through the word stage (0 where no term hits), and the
+    day's means and counts are partial aggregations over those rows."""
+    per_day = _each_row(items, lexicon, [date_col, "score"], "text").groupBy(date_col).agg(
+        F.avg("vader").alias("avg_sentiment"), F.avg("textblob").alias("textblob_sentiment"),
+        F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("item_count"))
+    return per_day.select(date_col, "avg_sentiment", "textblob_sentiment", "avg_score", "item_count")

@@ -34,18 +34,15 @@ def neutral_factory() -> None:
 
 
 def _load(factory):
-    if factory is None:
-        return None
-    try:
-        return factory()
-    except Exception:  # noqa: BLE001 - unavailable model -> neutral fallback
-        return None
+    """The model, or None where none was asked for. An error of a factory or a model fails the task:
+    a score that could not be made is never returned as a neutral one."""
+    return None if factory is None else factory()
 
 
 def probability_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: ScorerFactory | None,
                        out_col: str = "model_score", batch_size: int = config.SCORER_BATCH) -> DataFrame:
     """One score per row: p(positive) - p(negative) from the injected model; 0.0 when
-    the model is unavailable or a batch fails."""
+    no model was asked for. A failing model fails the task."""
     src = df.select(*key_cols, text_col)
     src = spread(src)
     schema = T.StructType([src.schema[k] for k in key_cols] + [T.StructField(out_col, T.DoubleType())])
@@ -57,13 +54,10 @@ def probability_scores(df: DataFrame, key_cols: list[str], text_col: str, factor
             scores = np.zeros(len(texts))
             if model is not None:
                 for i in range(0, len(texts), batch_size):
-                    try:
-                        res = model(texts[i:i + batch_size])
-                        scores[i:i + batch_size] = [
-                            float(r.get("positive", 0.0)) - float(r.get("negative", 0.0))
-                            for r in ({str(k).lower(): v for k, v in d.items()} for d in res)]
-                    except Exception:  # noqa: BLE001
-                        scores[i:i + batch_size] = 0.0
+                    res = model(texts[i:i + batch_size])
+                    scores[i:i + batch_size] = [
+                        float(r.get("positive", 0.0)) - float(r.get("negative", 0.0))
+                        for r in ({str(k).lower(): v for k, v in d.items()} for d in res)]
             yield pdf[key_cols].assign(**{out_col: scores})
 
     ship_package(df.sparkSession)
@@ -79,19 +73,18 @@ def daily_model_scores(chunks: DataFrame, factory: ScorerFactory | None, date_co
 
 def item_model_scores(items: DataFrame, factory: ScorerFactory | None, key_cols=("item_id",),
                       text_col: str = "text", chunk_chars: int = config.CHUNK_CHARS,
-                      max_chunks: int | None = None, out_col: str = "finbert") -> DataFrame:
+                      out_col: str = "finbert") -> DataFrame:
     """T5: row-level model score; long texts are cut into chunks (F5) and averaged."""
     key_cols = list(key_cols)
-    ch = items.select(*key_cols, F.posexplode(chunk_array(text_col, chunk_chars, max_chunks)).alias("_k", "_chunk"))
+    ch = items.select(*key_cols, F.posexplode(chunk_array(text_col, chunk_chars)).alias("_k", "_chunk"))
     s = probability_scores(ch, key_cols + ["_k"], "_chunk", factory, "_cs")
     return s.groupBy(*key_cols).agg(F.avg("_cs").alias(out_col))
 
 
 def irony_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: ScorerFactory | None,
-                 truncate_chars: int | None = None, batch_size: int = config.SCORER_BATCH) -> DataFrame:
-    """``(keys, sarcasm_label, sarcasm_score)``; ('UNKNOWN', 0.0) when unavailable."""
-    text = F.col(text_col) if truncate_chars is None else F.substring(text_col, 1, truncate_chars)
-    src = df.select(*key_cols, text.alias("_text"))
+                 batch_size: int = config.SCORER_BATCH) -> DataFrame:
+    """``(keys, sarcasm_label, sarcasm_score)``; ('UNKNOWN', 0.0) when no model was asked for."""
+    src = df.select(*key_cols, F.col(text_col).alias("_text"))
     src = spread(src)
     schema = T.StructType([src.schema[k] for k in key_cols] + [
         T.StructField("sarcasm_label", T.StringType()), T.StructField("sarcasm_score", T.DoubleType())])
@@ -104,13 +97,46 @@ def irony_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: Sco
             scores = np.zeros(len(texts))
             if model is not None:
                 for i in range(0, len(texts), batch_size):
-                    try:
-                        res = model(texts[i:i + batch_size])
-                        labels[i:i + batch_size] = [str(r["label"]) for r in res]
-                        scores[i:i + batch_size] = [float(r["score"]) for r in res]
-                    except Exception:  # noqa: BLE001
-                        pass
+                    res = model(texts[i:i + batch_size])
+                    labels[i:i + batch_size] = [str(r["label"]) for r in res]
+                    scores[i:i + batch_size] = [float(r["score"]) for r in res]
             yield pdf[key_cols].assign(sarcasm_label=labels, sarcasm_score=scores)
 
     ship_package(df.sparkSession)
     return src.mapInPandas(run, schema)
+
+
+def rescored(df: DataFrame, text_col: str, model: ScorerFactory | None, irony: ScorerFactory | None,
+             chunk_chars: int = config.CHUNK_CHARS, batch_size: int = config.SCORER_BATCH) -> DataFrame:
+    """T5 and T6 of each row in one pass: ``df``'s columns (of the same names the old ones go) and
+    ``finbert, sarcasm_label, sarcasm_score``. Rows need no key: null and repeated ids keep their rows."""
+    names = ["finbert", "sarcasm_label", "sarcasm_score"]
+    src = df.drop(*names)
+    schema = T.StructType([*src.schema.fields, T.StructField(names[0], T.DoubleType()),
+                           T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
+
+    def run(batches):
+        score, judge = _load(model), _load(irony)
+        for pdf in batches:
+            texts = pdf[text_col].fillna("").astype(str).tolist()
+            mean, labels, sure = np.zeros(len(texts)), ["UNKNOWN"] * len(texts), np.zeros(len(texts))
+            if score is not None:
+                of, parts = [], []
+                for i, t in enumerate(texts):
+                    cut = [t[j:j + chunk_chars] for j in range(0, len(t), chunk_chars)] or [""]
+                    of += [i] * len(cut)
+                    parts += cut
+                got = []
+                for i in range(0, len(parts), batch_size):
+                    got += [{str(k).lower(): v for k, v in d.items()} for d in score(parts[i:i + batch_size])]
+                each = np.array([float(r.get("positive", 0.0)) - float(r.get("negative", 0.0)) for r in got])
+                mean = np.bincount(of, each, len(texts)) / np.bincount(of, minlength=len(texts))
+            if judge is not None:
+                for i in range(0, len(texts), batch_size):
+                    res = judge(texts[i:i + batch_size])
+                    labels[i:i + batch_size] = [str(r["label"]) for r in res]
+                    sure[i:i + batch_size] = [float(r["score"]) for r in res]
+            yield pdf.assign(**dict(zip(names, (mean, labels, sure), strict=True)))
+
+    ship_package(df.sparkSession)
+    return src.mapInPandas(run, schema)

@@ -148,13 +148,13 @@ def cohen_kappa(df: DataFrame, pairs: list[tuple[str, str]], name_fmt: str = "{a
 
     labels = F.array_distinct(F.concat(F.transform("cells", lambda c: c["la"]),
                                        F.transform("cells", lambda c: c["lb"])))
-    pe_num = F.aggregate(labels, F.lit(0).cast("long"), lambda acc, k: acc + margin("la", k) * margin("lb", k))
     n = F.col("total").cast("double")
+    part = lambda side, k: margin(side, k).cast("double") / n  # noqa: E731 - a product of counts may pass a bigint
+    pe = F.aggregate(labels, F.lit(0.0), lambda acc, k: acc + part("la", k) * part("lb", k))
     po = F.col("diag") / n
-    pe = pe_num / (n * n)
     k = per.select("comparison", "total", po.alias("po"), pe.alias("pe"))
-    return k.select("comparison", F.col("total").cast("int").alias("sample_size"),
-                    F.when(F.col("pe") == 1, F.lit(None).cast("double"))
+    return k.select("comparison", F.col("total").alias("sample_size"),
+                    F.when(F.abs(F.col("pe") - 1) < 1e-12, F.lit(None).cast("double"))
                     .otherwise((F.col("po") - F.col("pe")) / (F.lit(1.0) - F.col("pe"))).alias("kappa"))
 
 

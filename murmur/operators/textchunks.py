@@ -1,4 +1,4 @@
-"""The day's texts joined with a space, cut into fixed-size chunks — without
+"""The day's texts joined with a space, cut into fixed-size chunks — without
 ever building the day's string in one row.
 
 Each item's start offset inside its day's concatenation comes from the range-partitioned
@@ -9,46 +9,45 @@ re-assembled from at most ``chunk_chars`` characters of pieces: every group is b
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, functions as F
 
 from murmur import config
 from murmur.operators.ordering import range_prefix
 
 
-def daily_chunks(items: DataFrame, chunk_chars: int = config.CHUNK_CHARS, max_chunks: int | None = None,
+def daily_chunks(items: DataFrame, chunk_chars: int = config.CHUNK_CHARS,
                  date_col: str = "date", order_cols=("kind", "ord"), text_col: str = "text",
                  num_partitions: int | None = None) -> DataFrame:
     """``(date, chunk, text)``: chunk k holds characters [k*C, (k+1)*C) of the day's texts
-    joined by single spaces in ``order_cols`` order; a day with no characters has one empty
-    chunk. ``max_chunks`` keeps only the first chunks (the original's cost cap; None = all)."""
+    joined by single spaces in ``order_cols`` order (then by a hash of the text); a day with no
+    characters has one empty chunk. Null and repeated keys keep all their rows."""
     C = chunk_chars
-    keys = [date_col, *order_cols]          # must identify an item
-    base = items.select(*keys, F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("_t"))
+    keys = [date_col, *order_cols, "_x"]
+    base = items.select(date_col, *order_cols, F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")).alias("_t"))
+    base = base.withColumn("_x", F.xxhash64("_t"))
     # offsets are computed (and checkpointed) on a narrow projection; texts join them by key,
-    # so the texts are never written to the checkpoint
+    # so the texts are never written to the checkpoint. Rows that are equal throughout share one text.
     narrow = base.select(*keys, F.length("_t").cast("long").alias("_len"))
-    offsets = range_prefix(narrow, list(order_cols), [date_col], "_len", "_off", num_partitions)
-    pre = base.join(offsets, keys, "inner")
+    offsets = range_prefix(narrow, [*order_cols, "_x"], [date_col], "_len", "_off", num_partitions)
+    texts = base.dropDuplicates(keys).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_t")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    pre = offsets.join(texts, functools.reduce(operator.and_, same), "inner")
     total = F.col("_group_total") - 1                      # no separator after the last text
-    end = F.least(F.col("_off") + F.col("_len"), total)    # exclusive end inside the day
-    k0 = F.floor(F.col("_off") / C)
-    k1 = F.floor((end - 1) / C)
-    if max_chunks is not None:
-        k1 = F.least(k1, F.lit(max_chunks - 1))
-    useful = pre.where(end > F.col("_off"))
-    if max_chunks is not None:
-        useful = useful.where(F.col("_off") < F.lit(max_chunks * C))
-    pieces = useful.select(date_col, "_off", "_t", "_group_total",
-                           F.explode(F.sequence(k0, k1)).alias("chunk"),
-                           end.alias("_end"))
-    start = F.greatest(F.col("chunk") * C, F.col("_off"))
-    stop = F.least((F.col("chunk") + 1) * C, F.col("_end"))
-    piece = F.expr("substring(_t, cast(_s - _off + 1 as int), cast(_e - _s as int))")
-    pieces = (pieces.select("*", start.alias("_s"), stop.alias("_e")).where(F.col("_e") > F.col("_s"))
-              .select(date_col, "chunk", F.col("_s").alias("_start"), piece.alias("_piece")))
+    useful = pre.withColumn("_end", F.least(F.col("_off") + F.col("_len"), total)).where(F.col("_end") > F.col("_off"))
+    # one cut up to the next chunk's border, then whole chunks in one pass over the rest
+    head = (F.lit(C) - F.col("_off") % C).cast("int")
+    length = (F.col("_end") - F.col("_off")).cast("int")
+    own = F.substr(F.col("_t"), F.lit(1), length)
+    rest = F.regexp_extract_all(F.substr(own, head + 1), F.lit(f"(?s).{{1,{C}}}"), F.lit(0))
+    pieces = useful.select(date_col, "_off", F.posexplode(F.concat(F.array(F.substr(own, F.lit(1), head)), rest)).alias("_k", "_piece"))
+    chunk = F.floor(F.col("_off") / C) + F.col("_k")
+    pieces = pieces.select(date_col, chunk.alias("chunk"), F.greatest(chunk * C, F.col("_off")).alias("_start"), "_piece")
     chunks = pieces.groupBy(date_col, "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_piece"))),
                                  lambda s: s["_piece"]), "").alias("text"))
-    empty_days = (pre.where(F.col("_group_total") <= 1).select(date_col).distinct()
+    empty_days = (offsets.where(F.col("_group_total") <= 1).select(date_col).distinct()
                   .select(date_col, F.lit(0).cast("long").alias("chunk"), F.lit("").alias("text")))
     return chunks.select(date_col, F.col("chunk").cast("long").alias("chunk"), "text").unionByName(empty_days)

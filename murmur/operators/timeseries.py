@@ -110,6 +110,8 @@ def blocked_apply(df: DataFrame, keys: list[str], order: str, fn, block_rows: in
     Exact as long as every look-back chain is shorter than ``halo`` (here at most
     40 + 1 + 6 = 47 rows: Kalman horizon, return, 7-row volatility)."""
     from murmur.operators.ordering import range_prefix
+    if block_rows < halo:
+        raise ValueError(f"block_rows must be at least the halo of {halo} rows: only the block before lends rows")
     idx_col = index_col or "_idx"
     idx = range_prefix(df, [order], keys, None, idx_col).drop("_group_total")
     blk = F.floor(F.col(idx_col) / block_rows)

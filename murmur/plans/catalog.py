@@ -357,8 +357,7 @@ def _social_items(spark, sf, parity=False, with_body=True):
 
 
 def _daily_social(spark, sf):
-    return lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark),
-                            count_items=_social_items(spark, sf, with_body=False))
+    return lex.daily_scores(_social_items(spark, sf), lex.lexicon_frame(spark))
 
 
 def _scored_social_items(spark, sf):
@@ -550,7 +549,7 @@ rb AS (SELECT comparison, lb AS label, sum(n) AS nb FROM cells GROUP BY ALL),
 mg AS (SELECT comparison, sum(na * nb) AS pe_num FROM ra JOIN rb USING (comparison, label) GROUP BY 1),
 k AS (SELECT comparison, total, coalesce(diag, 0) / CAST(total AS DOUBLE) AS po,
              coalesce(pe_num, 0) / (CAST(total AS DOUBLE) * total) AS pe FROM tot LEFT JOIN mg USING (comparison))
-SELECT comparison, CAST(total AS INTEGER) AS sample_size,
+SELECT comparison, CAST(total AS BIGINT) AS sample_size,
        {r_sql('CASE WHEN pe = 1 THEN NULL ELSE (po - pe) / (1 - pe) END', 9)} AS kappa FROM k"""
 
 
@@ -588,6 +587,17 @@ def q_reliability_sample(spark: SparkSession, sf: str) -> DataFrame:
                     *[five_class(c).alias(f"{c}_label") for c in ("vader", "textblob", "finbert")])
 
 
+@register("reliability", f"""
+WITH ds AS ({DOC_SCORES_SQL})
+SELECT item_id, date, {r_sql('vader', 9)} AS vader, {r_sql('textblob', 9)} AS textblob, finbert,
+       {_sql5('vader')} AS vader_label, {_sql5('textblob')} AS textblob_label, {_sql5('finbert')} AS finbert_label
+FROM ds""")
+def q_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    """T7 + D2: every item with the three scores and their five-class labels."""
+    return _doc_scores(spark, sf).select("item_id", "date", rnd("vader", 9), rnd("textblob", 9), "finbert",
+                                         *[five_class(c).alias(f"{c}_label") for c in ("vader", "textblob", "finbert")])
+
+
 @register("label_counts", f"WITH ds AS ({DOC_SCORES_SQL})\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS scorer, {_sql5(c)} AS label, count(*) AS count FROM ds GROUP BY ALL"
     for c in ("vader", "textblob", "finbert")))

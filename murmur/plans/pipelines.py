@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from murmur import config
 from murmur.config import RunOptions
 from murmur.functions.labels import five_class, three_class
-from murmur.operators import clean, lexicon as lex, ml, ordering, relations, rollups, scoring, stats, textchunks
+from murmur.operators import clean, lexicon as lex, ml, relations, rollups, scoring, stats, textchunks
 from murmur.operators import timeseries as ts
 from murmur.operators.joins import replace_column, semi_prune
 
@@ -65,28 +65,22 @@ def score_items(inp: Inputs, posts: DataFrame, comments: DataFrame) -> dict[str,
     """U1 + T3 + A5/F5 + T4 + J3: items with rule/polarity scores and the day-level model
     score of each day's text."""
     o = inp.options
-    items = clean.union_items(comments, posts, parity=o.parity, truncate_chars=o.truncate_chars)
-    scored = lex.score_items(items, inp.lexicon, "item_id", keep=["date", "score"],
-                             truncate_chars=o.truncate_chars)
-    # the day-level model reads untruncated texts (the original joins the cut texts; the
-    # cut is a cost knob, off by default)
-    chunks = textchunks.daily_chunks(items, config.CHUNK_CHARS, o.max_chunks)
+    items = clean.union_items(comments, posts, parity=o.parity)
+    scored = lex.score_items(items, inp.lexicon, "item_id", keep=["date", "score"])
+    chunks = textchunks.daily_chunks(items, config.CHUNK_CHARS)
     daily_model = scoring.daily_model_scores(chunks, inp.day_model)
     scored = rollups.attach_daily(scored, daily_model.withColumnRenamed("finbert_sentiment", "finbert"), "finbert")
     return {"items": items, "scored_items": scored, "daily_text_chunks": chunks, "daily_model": daily_model}
 
 
-def validate_scorers(inp: Inputs, items: DataFrame, scored: DataFrame,
-                     sample: int = config.VALIDATION_SAMPLE) -> dict[str, DataFrame]:
-    """Reproducible sample, row-level model score, labels, kappa, irony."""
-    smp = ordering.seeded_sample(scored.drop("finbert"), "item_id", sample, config.SAMPLE_SEED)
-    smp_text = items.join(smp.select("item_id"), "item_id", "left_semi")
-    row_model = scoring.item_model_scores(smp_text, inp.item_model, max_chunks=inp.options.max_chunks)
-    smp = smp.join(row_model, "item_id", "left").withColumn("finbert", F.coalesce("finbert", F.lit(0.0)))
-    reliability = smp.select("*", *[five_class(c).alias(f"{c}_label") for c in config.SCORER_COLUMNS])
-    three = smp.select(*[three_class(c).alias(c) for c in config.SCORER_COLUMNS])
+def validate_scorers(inp: Inputs, items: DataFrame, scored: DataFrame) -> dict[str, DataFrame]:
+    """Row-level model score, labels, kappa and irony of every item."""
+    both = scoring.rescored(items, "text", inp.item_model, None).select(*items.columns, "finbert")
+    each = lex.score_items(both, inp.lexicon, "item_id", keep=["date", "score", "finbert"])
+    reliability = each.select("*", *[five_class(c).alias(f"{c}_label") for c in config.SCORER_COLUMNS])
+    three = each.select(*[three_class(c).alias(c) for c in config.SCORER_COLUMNS])
     kappa = stats.cohen_kappa(three, [("vader", "textblob"), ("vader", "finbert"), ("textblob", "finbert")])
-    irony = scoring.irony_scores(items, ["item_id"], "text", inp.irony_model, inp.options.truncate_chars)
+    irony = scoring.irony_scores(items, ["item_id"], "text", inp.irony_model)
     return {"reliability": reliability, "kappa": kappa, "sarcasm": irony,
             "scorer_correlation": stats.correlation_matrix(scored, config.SCORER_COLUMNS),
             "scorer_boxes": box_by_scorer(scored), "scorer_histograms": hist_by_scorer(scored)}
@@ -139,9 +133,8 @@ def rescore_daily(merged: DataFrame, items: DataFrame, factory: scoring.ScorerFa
                   options: RunOptions | None = None) -> dict[str, DataFrame]:
     """C4: rebuild the day-level model score for the dates present in ``merged`` only
     (semi-join below the scorer), replace the column, recompute features once."""
-    o = options or RunOptions()
     wanted = semi_prune(items, merged, ["date"])
-    chunks = textchunks.daily_chunks(wanted, config.CHUNK_CHARS, o.max_chunks)
+    chunks = textchunks.daily_chunks(wanted, config.CHUNK_CHARS)
     daily = scoring.daily_model_scores(chunks, factory)
     refreshed = replace_column(merged, daily, ["date"], "finbert_sentiment", 0.0)
     return {"merged": refreshed, "features": ts.features(refreshed.drop("chunks"), sentiment="avg_sentiment")}

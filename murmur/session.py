@@ -96,6 +96,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="murmur-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()

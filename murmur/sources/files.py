@@ -1,6 +1,6 @@
 """S1-S7 scans and K1-K3 sinks over raw files.
 
-All scans use explicit schemas (no inference). Text CSVs whose fields contain newlines need
+All scans read by header name and cast to explicit types (no inference). Text CSVs whose fields contain newlines need
 ``multiLine``; such files do not split, so :func:`land_as_parquet` converts them once and
 every later job reads the splittable Parquet copy.
 """
@@ -31,12 +31,25 @@ COMMENTS_SCHEMA = T.StructType([
 BAR_COLUMNS = ["Date", "Close", "High", "Low", "Open", "Volume"]
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of the header, as strings."""
+    return (spark.read.option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+
+
+def typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` found by header name, in any order and among others; a missing one is NULL,
+    and so is a value that its type cannot hold."""
+    at = {c.strip().lower(): c for c in reversed(raw.columns)}
+
+    def column(f: T.StructField):
+        if f.name.lower() not in at:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        c = F.col("`" + at[f.name.lower()].replace("`", "``") + "`")
+        # whole numbers are also written as 5.0
+        return (c.try_cast("double").try_cast(f.dataType) if isinstance(f.dataType, T.LongType) else c.try_cast(f.dataType)).alias(f.name)
+
+    return raw.select(*map(column, schema.fields))
 
 
 def normalise_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -50,12 +63,12 @@ def normalise_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def read_social(spark: SparkSession, posts_path: str, comments_path: str) -> tuple[DataFrame, DataFrame]:
     """S1. Posts and comments with fixed schemas; the comment link column may be
-    ``link_id`` or ``permalink`` (a missing one is read as NULL)."""
-    posts = normalise_nulls(_csv(spark, posts_path, POSTS_SCHEMA))
-    header = _csv(spark, comments_path).columns
-    present = [f for f in COMMENTS_SCHEMA.fields if f.name in header]
-    comments = normalise_nulls(_csv(spark, comments_path, T.StructType(present)))
-    return posts, comments
+    ``link_id`` or ``permalink`` (one that the file lacks is left out)."""
+    posts = typed(normalise_nulls(_csv(spark, posts_path)), POSTS_SCHEMA)
+    raw = normalise_nulls(_csv(spark, comments_path))
+    header = {c.strip().lower() for c in raw.columns}
+    links = [f for f in COMMENTS_SCHEMA.fields if f.name not in ("link_id", "permalink") or f.name in header]
+    return posts, typed(raw, T.StructType(links))
 
 
 def land_as_parquet(df: DataFrame, path: str) -> DataFrame:
@@ -77,7 +90,7 @@ def coerce_bars(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     # NaN is a value in Spark: turn it into NULL so drop/compare behave like pandas.
     out = out.select("symbol", "date", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
                                          for c in ["close", "high", "low", "open", "volume"]])
-    return out.na.drop("any")
+    return out.na.drop("any", subset=["date", "close", "high", "low", "open", "volume"])  # a file of one symbol names none
 
 
 def read_bars(spark: SparkSession, path: str, fallback_path: str | None = None,

@@ -11,24 +11,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.operators.scoring import ScorerFactory, irony_scores, item_model_scores
+from murmur.operators.scoring import ScorerFactory, irony_scores, rescored
 
 
 def incremental_irony(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str,
                       key_cols: list[str], text_col: str = "text", path_glob: str = "*.parquet",
-                      factory: ScorerFactory | None = None, max_files_per_trigger: int = 32,
-                      truncate_chars: int | None = None, timeout_s: float | None = None) -> DataFrame:
+                      factory: ScorerFactory | None = None, max_files_per_trigger: int = 32) -> DataFrame:
     """Score every not-yet-seen Parquet file under ``source_dir`` and append to ``sink_path``;
     returns the sink as a batch DataFrame. ``source_dir`` must be a directory."""
     schema = spark.read.option("pathGlobFilter", path_glob).parquet(source_dir).schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", path_glob)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    scored = irony_scores(stream, key_cols, text_col, factory, truncate_chars)
+    scored = irony_scores(stream, key_cols, text_col, factory)
     query = (scored.writeStream.format("parquet").option("checkpointLocation", checkpoint_path)
              .outputMode("append").trigger(availableNow=True).start(sink_path))
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
+    query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
     return spark.read.schema(scored.schema).parquet(sink_path)
@@ -37,28 +34,27 @@ def incremental_irony(spark: SparkSession, source_dir: str, sink_path: str, chec
 def rescore_items(spark: SparkSession, source_dir: str, sink_path: str, checkpoint_path: str,
                   key_cols: list[str], text_col: str = "text", path_glob: str = "*.parquet",
                   model: ScorerFactory | None = None, irony: ScorerFactory | None = None,
-                  max_files_per_trigger: int = 32, max_chunks: int | None = None,
-                  timeout_s: float | None = None) -> DataFrame:
+                  max_files_per_trigger: int = 32) -> DataFrame:
     """Incremental row-level re-scoring (model score + irony label/score) of new files.
 
-    Each micro-batch runs the batch operators through ``foreachBatch`` and overwrites its
+    Each micro-batch is scored in one pass, keeps all its columns and overwrites its
     own ``batch_id=<n>`` partition, so a batch replayed after a failure replaces its
     earlier output instead of duplicating it (exactly-once with the checkpoint)."""
+    if model is None and irony is None:
+        raise ValueError("rescoring needs a model or an irony model")
     schema = spark.read.option("pathGlobFilter", path_glob).parquet(source_dir).schema
+    missing = [c for c in (*key_cols, text_col) if c not in schema.names]
+    if missing:
+        raise ValueError(f"{source_dir} has no column {missing}")
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", path_glob)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*key_cols, text_col)
-        scored = (item_model_scores(rows, model, key_cols, text_col, max_chunks=max_chunks)
-                  .join(irony_scores(rows, key_cols, text_col, irony), key_cols, "inner"))
-        (scored.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}"))
+        rescored(batch, text_col, model, irony).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     query = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
              .trigger(availableNow=True).start())
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
+    query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
     return spark.read.parquet(sink_path).drop("batch_id")

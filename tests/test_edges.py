@@ -130,13 +130,12 @@ def test_histogram_edges(spark):
     assert sum(h2.values()) == 3 and h2[12] == 3 and len(h2) == 25
 
 
-@pytest.mark.parametrize("length,cap,expected", [(0, 2, 1), (1800, 2, 1), (1801, 2, 2), (9000, 2, 2),
-                                                 (9000, None, 5)])
-def test_chunk_counts(spark, length, cap, expected):
+@pytest.mark.parametrize("length,expected", [(0, 1), (1800, 1), (1801, 2), (9000, 5)])
+def test_chunk_counts(spark, length, expected):
     df = spark.createDataFrame([("x" * length,)], "t string")
-    assert df.select(F.size(text.chunk_array("t", 1800, cap)).alias("n")).collect()[0]["n"] == expected
+    assert df.select(F.size(text.chunk_array("t", 1800)).alias("n")).collect()[0]["n"] == expected
     items = spark.createDataFrame([(1, 0, 1, "x" * length)], "date int, kind int, ord int, text string")
-    assert textchunks.daily_chunks(items, max_chunks=cap).count() == expected
+    assert textchunks.daily_chunks(items).count() == expected
 
 
 @pytest.mark.parametrize("n,expected", [(10, 2), (11, 3), (193, 39)])
@@ -172,8 +171,27 @@ def test_correlation_with_a_constant_column_is_null(spark):
     assert got[("a", "b")] == pytest.approx(np.corrcoef([1, 3, 4], [2, 7, 1])[0, 1])
 
 
-def test_capped_chunks_ignore_items_beyond_the_cap(spark):
-    items = spark.createDataFrame([(1, 0, i, "y" * 1000) for i in range(6)], "date int, kind int, ord int, text string")
-    got = {r["chunk"]: r["text"] for r in textchunks.daily_chunks(items, 1800, max_chunks=2).collect()}
-    joined = " ".join(["y" * 1000] * 6)
-    assert got == {0: joined[:1800], 1: joined[1800:3600]}
+def test_repeated_and_null_keys_keep_their_texts(spark):
+    rows = [(1, 0, "a", "bad day"), (1, 0, "a", "good day"), (1, 0, None, "lost"), (1, 0, None, "lost")]
+    items = spark.createDataFrame(rows, "date int, kind int, ord string, text string")
+    got = textchunks.daily_chunks(items).collect()
+    assert len(got) == 1 and sorted(got[0]["text"].split()) == sorted("bad day good day lost lost".split())
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "term string, valence double")
+    from murmur.operators import lexicon as lex
+    scored = lex.score_items(items, lexicon, "ord").collect()
+    assert sorted(round(r["vader"], 3) for r in scored) == [-0.459, 0.0, 0.0, 0.459]
+    day = lex.daily_scores(items.withColumn("score", F.lit(1)), lexicon).collect()
+    assert day[0]["item_count"] == 4 and abs(day[0]["avg_sentiment"]) < 1e-12
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    items = spark.createDataFrame([(1, 0, i, "é" * 5000) for i in range(3)], "date int, kind int, ord int, text string")
+    got = {r["chunk"]: r["text"] for r in textchunks.daily_chunks(items, 1800).collect()}
+    joined = " ".join(["é" * 5000] * 3)
+    assert got == {k: joined[k * 1800:(k + 1) * 1800] for k in range(-(-len(joined) // 1800))}
+
+
+def test_small_blocks_are_refused(spark):
+    df = spark.createDataFrame([("S", i) for i in range(5)], "symbol string, date int")
+    with pytest.raises(ValueError):
+        ts.blocked_apply(df, ["symbol"], "date", lambda d, k: d, 10)

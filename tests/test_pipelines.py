@@ -29,9 +29,9 @@ def test_full_pipeline_artifacts(spark, inputs, monkeypatch):
     assert feats.count() > 0 and feats.where(F.col("finbert_sentiment") != 0).count() == 0
     k = {r["comparison"]: r for r in out["kappa"].collect()}
     assert set(k) == {"vader vs textblob", "vader vs finbert", "textblob vs finbert"}
-    assert all(r["sample_size"] == 100 for r in k.values())
+    assert all(r["sample_size"] == 7500 for r in k.values())
     assert out["sarcasm"].where(F.col("sarcasm_label") != "UNKNOWN").count() == 0
-    assert out["reliability"].count() == 100
+    assert out["reliability"].count() == 7500
 
 
 def test_parity_options_apply_features_twice(spark, inputs):

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from murmur.operators import scoring
@@ -59,7 +60,7 @@ def test_incremental_stream_is_exactly_once(spark):
     assert out.where(F.col("sarcasm_label") != "UNKNOWN").count() == 0
 
 
-def test_scorer_failures_fall_back_to_neutral(spark):
+def test_scorer_failures_fail_the_task(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad")], "k long, text string")
 
     def broken_factory():
@@ -72,9 +73,12 @@ def test_scorer_failures_fall_back_to_neutral(spark):
             return [{"POSITIVE": 0.9, "negative": 0.05, "neutral": 0.05} for _ in texts]
         return run
 
-    assert {r["s"] for r in scoring.probability_scores(df, ["k"], "text", broken_factory, "s").collect()} == {0.0}
-    got = {r["k"]: r["s"] for r in scoring.probability_scores(df, ["k"], "text", flaky_factory, "s", batch_size=1).collect()}
-    assert abs(got[1] - 0.85) < 1e-12 and got[2] == 0.0
+    assert {r["s"] for r in scoring.probability_scores(df, ["k"], "text", None, "s").collect()} == {0.0}
+    for factory, said in ((broken_factory, "no model"), (flaky_factory, "batch failed")):
+        with pytest.raises(Exception, match=said):
+            scoring.probability_scores(df, ["k"], "text", factory, "s", batch_size=1).collect()
+    got = scoring.probability_scores(df.where("k = 1"), ["k"], "text", flaky_factory, "s").collect()
+    assert abs(got[0]["s"] - 0.85) < 1e-12
     irony = scoring.irony_scores(df, ["k"], "text", lambda: (lambda t: [{"label": "irony", "score": 0.7}] * len(t)))
     assert {(r["sarcasm_label"], r["sarcasm_score"]) for r in irony.collect()} == {("irony", 0.7)}
 
@@ -98,6 +102,34 @@ def test_rescore_items_foreach_batch(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
 
 
+def test_rescore_items_needs_a_model_and_keeps_rows_and_columns(spark):
+    from murmur.streaming.incremental import rescore_items
+    src = _tmp()
+    spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (None, "c", "z")], "doc_id long, text string, more string") \
+        .coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(ValueError):
+        rescore_items(spark, src, _tmp() + "/sink", _tmp() + "/ckpt", ["doc_id"])
+    out = rescore_items(spark, src, _tmp() + "/sink", _tmp() + "/ckpt", ["doc_id"],
+                        irony=lambda: (lambda t: [{"label": x, "score": 0.5} for x in t]))
+    assert sorted((r["more"], r["sarcasm_label"]) for r in out.collect()) == [("x", "a"), ("y", "b"), ("z", "c")]
+
+
+def test_csv_is_read_by_header_name(spark):
+    d = _tmp()
+    with open(f"{d}/posts.csv", "w") as fh:
+        fh.write('title,extra,id,score,author,created_utc\n"he\nllo",q,p1,5.0,ann,1700000000\n')
+    with open(f"{d}/comments.csv", "w") as fh:
+        fh.write("subreddit,id,author,body,created_utc,score,link_id\nstocks,c1,bob,hi,1700000001,3,t3_p1\n")
+    posts, comments = files.read_social(spark, f"{d}/posts.csv", f"{d}/comments.csv")
+    assert posts.first().asDict() == {"id": "p1", "author": "ann", "title": "he\nllo", "created_utc": 1.7e9, "score": 5}
+    c = comments.first()
+    assert (c["author"], c["link_id"], c["score"]) == ("bob", "t3_p1", 3)
+    with open(f"{d}/bars.csv", "w") as fh:
+        fh.write("Volume,Date,Close,High,Low,Open\n10,2024-01-02,1,2,0.5,1.5\nx,2024-01-03,1,2,0.5,1.5\n")
+    bars = files.read_bars(spark, f"{d}/bars.csv").collect()
+    assert [(str(r["date"]), r["volume"], r["symbol"]) for r in bars] == [("2024-01-02", 10.0, None)]
+
+
 def test_observed_counters(spark):
     from murmur.operators import relations
     df = spark.createDataFrame([(True,), (False,), (False,)], "has_parent_post boolean")
