@@ -54,14 +54,11 @@ def fit_classifier(sample: DataFrame, dims: int, epochs: int) -> tuple[list[str]
                 pick = order[i : i + 256]
                 at = np.concatenate([np.arange(edges[j], edges[j + 1]) for j in pick])
                 row = np.repeat(np.arange(len(pick)), size[pick])
-                z = np.zeros((len(pick), len(names)))
-                np.add.at(z, row, w[flat[at]] * weight[at][:, None])
-                gap = _softmax(z + w[dims])
+                sums = lambda of, v, n: np.stack([np.bincount(of, x, n) for x in v.T], axis=1)
+                gap = _softmax(sums(row, w[flat[at]] * weight[at][:, None], len(pick)) + w[dims])
                 gap[np.arange(len(pick)), y[pick]] -= 1
                 used, place = np.unique(flat[at], return_inverse=True)
-                grad = np.zeros((len(used) + 1, len(names)))
-                np.add.at(grad, place, gap[row] * weight[at][:, None])
-                grad[-1] = gap.sum(axis=0)
+                grad = np.vstack([sums(place, gap[row] * weight[at][:, None], len(used)), gap.sum(axis=0)])
                 used = np.append(used, dims)
                 grad = grad / len(pick) + 1e-6 * w[used]
                 seen[used] += grad**2
