@@ -46,12 +46,23 @@ def train(docs: DataFrame, text: str, lang: str, buckets: int, alpha: float) ->
 
     def count(batches):
         for b in batches:
-            by = defaultdict(list)
+            total, held, size = {}, defaultdict(list), defaultdict(int)
+
+            def add(x):
+                new = np.bincount(np.concatenate(held.pop(x)), minlength=buckets)
+                total[x] = total[x] + new if x in total else new
+                size[x] = 0
+
             for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by[x].append(grams(t, buckets))
-            for x, parts in by.items():
-                g, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(c.astype(np.int64))], names=["lang", "g", "c"])
+                held[x].append(grams(t, buckets))
+                size[x] += len(held[x][-1])
+                if size[x] > 1 << 19:  # n-grams held at once: a few MB a language
+                    add(x)
+            for x in list(held):
+                add(x)
+            for x, c in total.items():
+                g = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(c[g].astype(np.int64))], names=["lang", "g", "c"])
 
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
     counts = rows.mapInArrow(count, "lang string, g int, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
