@@ -86,6 +86,20 @@ def posteriors(docs: DataFrame, text: str, model: tuple[list[str], np.ndarray],
     return judge(F.col(text).cast("binary"))
 
 
+def _descended(gaps: list[list[float]], eta: float, pull: float):
+    """A column function: the rate of a posterior after one projected step for each list of gaps."""
+    history = np.array(gaps)
+
+    @F.arrow_udf("double")
+    def rate(p: pa.Array) -> pa.Array:
+        x, r = np.asarray(p.flatten()).reshape(len(p), -1), np.ones(len(p))
+        for g in history:
+            r = np.maximum(0.0, r - eta * (x @ g + pull * (r - 1)))
+        return pa.array(r, pa.float64())
+
+    return rate
+
+
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], total: float | None, steps: int, pull: float) -> tuple[DataFrame, list]:
     """``rows`` (with ``tokens, p``) and ``rate``; and each domain's (before, target, after).
 
@@ -106,11 +120,7 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], to
         if max(map(abs, gap), default=0.0) < 1e-4:
             break
         gaps.append(gap)
-        history = F.array(*(F.array(*map(F.lit, g)) for g in gaps))
-        rate = F.aggregate(
-            history, F.lit(1.0),
-            lambda r, g: F.greatest(F.lit(0.0), r - eta * (sum((F.col("p")[i] * g[i] for i in range(k)), F.lit(0.0)) + pull * (r - 1))),
-        )
+        rate = _descended(gaps, eta, pull)(F.col("p"))
         now = sums(rate)
     return rows.withColumn("rate", rate), list(zip(domains, before, goal, now, strict=True))
 
