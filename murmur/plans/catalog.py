@@ -730,6 +730,72 @@ def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnRenamed("doc_id", "item_id")
 
 
+# The same operators with a scorer that looks at the text.
+def _share_sql(letter: str, text: str) -> str:
+    return f"CAST(length({text}) - length(replace({text}, '{letter}', '')) AS DOUBLE) / greatest(1, length({text}))"
+
+
+MEAN_SHARES = f"avg({_share_sql('e', 'text')} - {_share_sql('o', 'text')})"
+
+
+@register("daily_letter_scores", f"""
+SELECT date, {r_sql(MEAN_SHARES, 9)} AS score, count(*) AS chunks
+FROM ({CHUNKS_SQL}) GROUP BY date""")
+def q_daily_letter_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 + D3: every chunk of every day through a real batch scorer, averaged per day."""
+    out = scoring.daily_model_scores(_doc_chunks(spark, sf), scoring.letter_factory, out_col="score")
+    return out.select("date", rnd("score", 9), "chunks")
+
+
+@register("document_letter_scores", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, substring(t, CAST(k * {_cfg.CHUNK_CHARS} + 1 AS BIGINT), {_cfg.CHUNK_CHARS}) AS text
+      FROM (SELECT doc_id, t, unnest(range(0, greatest(1, CAST(ceil(length(t) / {_cfg.CHUNK_CHARS}) AS BIGINT)))) AS k FROM d))
+SELECT doc_id AS item_id, {r_sql(MEAN_SHARES, 9)} AS score
+FROM c GROUP BY doc_id""")
+def q_document_letter_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """T5 + D3: the mean chunk score of every whole document through a real batch scorer."""
+    items = tb.load(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")
+    return scoring.item_model_scores(items, scoring.letter_factory, out_col="score").select("item_id", rnd("score", 9))
+
+
+@register("item_letter_labels", f"""
+WITH s AS (SELECT doc_id, {_share_sql('e', 't')} AS e, {_share_sql('o', 't')} AS o
+           FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id AS item_id, CASE WHEN o > e THEN 'IRONIC' ELSE 'PLAIN' END AS sarcasm_label, greatest(e, o) AS sarcasm_score
+FROM s""")
+def q_item_letter_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Label and score of every whole document through a real batch scorer."""
+    docs = tb.load(spark, sf, "documents").withColumnRenamed("doc_id", "item_id")
+    return scoring.irony_scores(docs, ["item_id"], "text", scoring.letter_factory)
+
+
+# ---------------------------------------------------------------------------------------
+# Misses: many documents have no label, so labels are the parent side of the relation.
+# ---------------------------------------------------------------------------------------
+def _labels_and_documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    key = F.col("doc_id").cast("string")
+    posts = tb.load(spark, sf, "labels").select(key.alias("id"), F.col("quality").cast("string").alias("title"))
+    return posts, tb.load(spark, sf, "documents").select(key.alias("id"), key.alias("link_id"), "source")
+
+
+@register("document_label_relation", """
+SELECT CAST(d.doc_id AS VARCHAR) AS id_comment, CAST(l.doc_id AS VARCHAR) AS id_post, CAST(l.quality AS VARCHAR) AS title,
+       l.doc_id IS NOT NULL AS has_parent_post
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def q_document_label_relation(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + P11 where many rows have no parent."""
+    return relations.relation(*_labels_and_documents(spark, sf)).select("id_comment", "id_post", "title", "has_parent_post")
+
+
+@register("unlabelled_by_source", """
+SELECT d.source, count(*) AS orphans FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.source""")
+def q_unlabelled_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 + P12: the rows without a parent by the anti join, counted by source."""
+    return relations.orphans(*_labels_and_documents(spark, sf)).groupBy("source").agg(F.count(F.lit(1)).alias("orphans"))
+
+
 # ---------------------------------------------------------------------------------------
 # Models (M1-M6, A14, A15): not SQL-expressible -> rows-only check; OLS is unit-tested
 # against a NumPy least-squares fit on a fixture.
