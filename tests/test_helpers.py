@@ -14,11 +14,6 @@ def test_parity_stringify_and_permalink(spark):
     assert [(r["a"], r["b"], r["l"]) for r in rows] == [("nan", None, "xyz"), ("t", "t", None)]
 
 
-def test_truncate_counts_code_points(spark):
-    df = spark.createDataFrame([("😀" * 600,)], "t string")
-    assert df.select(F.length(text.truncate("t", 512)).alias("n")).first()["n"] == 512
-
-
 def test_union_items_keeps_kind_and_order(spark):
     c = spark.createDataFrame([("c1", "body", 1)], "id string, body string, score long").withColumn("date", F.lit(None).cast("date"))
     p = spark.createDataFrame([("p1", None, 2)], "id string, title string, score long").withColumn("date", F.lit(None).cast("date"))
