@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, let, pinned, table
+from .common import let, pinned, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UNIT = 1_000_000
+#: Bits of the table of trusted ids' hashes, as a power of two (at most 2^18 rows of 64 bits).
+CELLS = 24
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -74,18 +76,31 @@ def base_counts(text: Column) -> Column:
     ))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float, trusted_bound: int) -> DataFrame:
+def mark(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``text, good``: every row of ``docs``, ``good`` 1 if its id is one of ``trusted`` (``_id``, distinct), else 0.
+
+    The ids' hashes set bits of a table of ``1 << CELLS`` bits, which goes to all tasks. Texts whose bit is not set
+    (or whose id is null) are not trusted and stay where they are; the others meet all trusted ids in a shuffle join,
+    which decides. The fuller the bits, the more texts move; the result is the same.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << CELLS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), cell(c).bitwiseAND(F.lit(63)).cast("int"))
+    bits = trusted.groupBy(F.shiftright(cell("_id"), 6).alias("_w")).agg(F.bit_or(bit("_id")).alias("_bits"))
+    held = docs.select("doc_id", "text").join(F.broadcast(bits), F.shiftright(cell("doc_id"), 6) == F.col("_w"), "left")
+    maybe = F.col("doc_id").isNotNull() & (F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(bit("doc_id")) != 0)
+    sent = held.where(maybe).select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1)).hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    return sent.select("text", F.coalesce("_good", F.lit(0)).alias("good")).unionByName(held.where(~maybe).select("text", F.lit(0).alias("good")))
+
+
+def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float) -> DataFrame:
     """``(bucket, llr)`` for every bucket that occurs: the log ratio of the trusted and the raw multinomial, in whole
     millionths of a nat, so that sums do not depend on their order. Both are smoothed by ``alpha`` occurrences of
     which the target holds its overall share, so that what was seen rarely says little, in a corpus of any size.
 
-    The raw counts cover all documents; the target is fitted on at most about ``trusted_bound`` trusted ones, whose
-    ids (8 bytes each) go to all tasks, so no text is moved. Repeated label rows count once.
+    The raw counts cover all documents, the target all trusted ones. Repeated label rows count once.
     """
     trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    trusted = bounded(trusted, "_id", trusted_bound)
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_good", F.lit(1))), F.col("doc_id") == F.col("_id"), "left")
-    grams = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(let(words(F.col("text")), lambda w: buckets(w, size))).alias("bucket"))
+    grams = mark(docs, trusted).select("good", F.explode(let(words(F.col("text")), lambda w: buckets(w, size))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     counts = pinned(counts, "ngrams")  # at most ``size`` rows
     total = counts.agg(F.sum("raw").alias("raw_n"), F.sum("good").alias("good_n"))
@@ -98,7 +113,7 @@ def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float, trusted_
 
 def quality(
     docs: DataFrame, labels: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = 1 << 18, alpha: float = 10.0,
-    threshold: float = -0.15, trusted_bound: int = 50_000, learn_from: DataFrame | None = None,
+    threshold: float = -0.15, learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep`` (``doc_id``), the base counts, ``base_failed, llr, kept``.
 
@@ -108,7 +123,7 @@ def quality(
     Null and empty texts have zero counts and fail the base rules. Null ids carry no label; repeated rows keep
     their rows and count as often as they stand. Without trusted rows all ratios have one smoothed target.
     """
-    ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha, trusted_bound)  # at most ``size`` rows: 4 MB, whatever the corpus
+    ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha)  # at most ``size`` rows: 4 MB, whatever the corpus
     names = keep or ["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *names, base_counts(F.col(text)).alias("_b"), F.col(text).alias("_t"))
     grams = rows.select("_row", *names, "_b.*", F.explode_outer(let(words(F.col("_t")), lambda w: buckets(w, size))).alias("bucket"))

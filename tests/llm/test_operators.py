@@ -219,6 +219,18 @@ def test_quality(spark, odd, none):
     assert len(kept) == len(ODD) and not any(x["kept"] for x in kept) and quality.quality(none, labels).count() == 0
 
 
+def test_quality_counts_all_trusted_documents(spark, none):
+    n, alpha = 60_000, 10.0
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "good").otherwise("other").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "good"), (5, "good")], "doc_id long, text string"))  # no id; an id twice
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = {x["bucket"]: x["llr"] for x in quality.ratios(docs, labels.unionByName(labels), 1 << 18, alpha).collect()}
+    bucket = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(1 << 18))).first()[0] for w in ("good", "other")}
+    share = (n + 1) / (2 * n + 2)
+    want = {"good": (n + 1 + alpha * share) / ((n + 2 + alpha) * share), "other": alpha * share / ((n + alpha) * share)}
+    assert got == {bucket[w]: round(float(np.log(x)) * 1_000_000) for w, x in want.items()}
+
+
 # ------------------------------------------------------------------ 6
 
 
