@@ -20,7 +20,7 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "ip|host|server|address"),
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", "card|visa|credit|payment|expir"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "tel|phone|call|fax|mobile"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "iban|bank|account|konto|compte|cuenta"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", "iban|bank|account|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social security"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -65,6 +65,24 @@ def mod97(value: Column) -> Column:
     return F.aggregate(code, F.lit(0), lambda a, c: F.when(c < 58, a * 10 + c - 48).otherwise(a * 100 + c - 55) % 97) == 1
 
 
+def ibans(text: Column, heads: Column) -> Column:
+    """Spans of the account numbers that begin at ``heads`` (country and check digits, from ``matches``): of each head's run
+    of capitals and digits with single spaces, the longest prefix of 15 to 34 characters that ends with a piece
+    and leaves 1 modulo 97. Of overlapping ones the first."""
+    def longest(x: Column) -> Column:
+        seen = F.substr(text, x["start"].cast("int") + 1, F.lit(68))  # 34 characters, 33 spaces and what follows
+        return let(seen, lambda s: let(F.regexp_extract(s, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0), lambda run: F.aggregate(
+            F.when(run != "", F.sequence(F.lit(15), F.length(run))).otherwise(F.array().cast("array<int>")),
+            F.lit(""),
+            lambda best, n: let(F.substr(run, F.lit(1), n), lambda p: F.when(
+                (F.substr(p, n, F.lit(1)) != " ") & ~F.substr(s, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & _confirmed("iban", p), p).otherwise(best)),
+        )))
+
+    found = F.transform(heads, lambda x: let(longest(x), lambda v: F.struct(x["start"].alias("start"), (x["start"] + F.length(v)).alias("end"), v.alias("value"))))
+    step = lambda acc, x: F.when(x["start"] < F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.filter(found, lambda x: x["value"] != ""), F.array().cast(SPAN), step)
+
+
 def _confirmed(kind: str, x: Column) -> Column:
     """Whether a match stands: the checksum or the bounds of its kind."""
     n = F.length(_digits(x))
@@ -101,7 +119,9 @@ def _of_kind(kind: str, text: Column, threshold: float) -> Column:
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, CONTEXT).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(score, 3).alias("score"))
 
-    kept = F.transform(F.filter(matches(text, pattern), lambda x: _confirmed(kind, x["value"])), scored)
+    spans = matches(text, pattern)
+    spans = ibans(text, spans) if kind == "iban" else F.filter(spans, lambda x: _confirmed(kind, x["value"]))
+    kept = F.transform(spans, scored)
     return kept if kind in BASE else F.filter(kept, lambda x: x["score"] >= threshold)
 
 
