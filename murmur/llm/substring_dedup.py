@@ -221,7 +221,7 @@ def _find_segments(window: int, anchor: int):
 def _cut_segments(window: int):
     def cut(batches):
         for b in batches:
-            out = [[], [], [], [], [], []]
+            out = [[] for _ in range(7)]
             for t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = space_words(t)
                 for g in segs:
@@ -229,14 +229,14 @@ def _cut_segments(window: int):
                     if g["hot"]:
                         for j in range(n):
                             line = b" ".join(words[s + j : s + j + window])
-                            for x, v in zip(out, (xxhash.xxh64_intdigest(line) >> 1, g["ah"], g["sh"], j, g["mult"], line), strict=True):
+                            for x, v in zip(out, (xxhash.xxh64_intdigest(line) >> 1, g["ah"], g["sh"], j, g["mult"], line, True), strict=True):
                                 x.append(v)
                     else:
                         line = b" ".join(words[s : s + n + window - 1])
-                        for x, v in zip(out, (g["ah"], g["ah"], g["sh"], 0, g["mult"], line), strict=True):
+                        for x, v in zip(out, (g["ah"], g["ah"], g["sh"], 0, g["mult"], line, False), strict=True):
                             x.append(v)
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["k", "ah", "sh", "off", "mult", "words"])
+            kinds = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["k", "ah", "sh", "off", "mult", "words", "hot"])
 
     return cut
 
@@ -250,7 +250,7 @@ def _search_shard(window: int):
         found = repeated([w.split() for w in words], mult[one], window)
         r, a, z = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
         r = one[r] if len(r) else r
-        return pa.table({"ah": ah[r], "sh": sh[r], "a": a + off[r], "z": z + off[r]})
+        return pa.table({"ah": ah[r], "sh": sh[r], "a": a + off[r], "z": z + off[r], "hot": t.column("hot").take(pa.array(r))})
 
     return search
 
@@ -291,8 +291,8 @@ def substring_dedup(
 
     A word goes if it lies in a window of ``window`` words that starts in two places or more, all
     judged on the input; every occurrence goes. An anchor with more than ``hot_segments`` different
-    segments is no single group: its segments are cut into windows, each dealt by its own words, so equal ones
-    still meet, and a shard holds about ``shard_words`` words whatever is common.
+    segments is no single group: its segments are cut into windows; equal windows are summed (within tasks first) into one
+    with their number, which is dealt by its own words, so a shard holds about ``shard_words`` words whatever is common.
 
     Null texts have no words and keep nothing (SHA-256 of the empty text). Null ids, repeated ids
     and repeated rows each keep their row; rows that are equal throughout repeat each other.
@@ -308,10 +308,20 @@ def substring_dedup(
     marked = one.join(hot, "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     by_doc = marked.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("s", "n", "ah", "sh", "mult", "hot")).alias("segs"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
-    cut = rows.join(by_doc, same).select("t", "segs").mapInArrow(_cut_segments(window), "k long, ah long, sh long, off long, mult long, words binary")
+    cut = rows.join(by_doc, same).select("t", "segs").mapInArrow(_cut_segments(window), "k long, ah long, sh long, off long, mult long, words binary, hot boolean")
     words = marked.agg(F.sum(F.when(F.col("hot"), F.col("n") * window).otherwise(F.col("n") + window - 1))).first()[0] or 0
     shard = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-words // shard_words)))).alias("shard")
-    found = cut.select("*", shard).groupBy("shard").applyInArrow(_search_shard(window), "ah long, sh long, a long, z long")
+    # equal document rows send a window more than once: each place counts once, then equal windows become one row
+    places = cut.where("hot").groupBy("k", "words", "ah", "sh", "off").agg(F.max("mult").alias("mult"))
+    places = pinned(places.withColumn("wh", F.xxhash64("words")), "windows")
+    summed = places.groupBy("k", "words", "wh").agg(F.sum("mult").alias("mult"))
+    summed = summed.select("k", F.col("k").alias("ah"), F.col("wh").alias("sh"), F.lit(0).cast("long").alias("off"), "mult", "words", F.lit(True).alias("hot"))
+    dealt = cut.where("NOT hot").unionByName(summed)
+    found = dealt.select("*", shard).groupBy("shard").applyInArrow(_search_shard(window), "ah long, sh long, a long, z long, hot boolean")
+    found = pinned(found, "found")
+    again = found.where("hot").select(F.col("ah").alias("k"), F.col("sh").alias("wh"))
+    again = places.join(again, ["k", "wh"]).select("ah", "sh", F.col("off").alias("a"), (F.col("off") + 1).alias("z"))
+    found = found.where("NOT hot").drop("hot").unionByName(again)
     spans = occ.join(found, ["ah", "sh"]).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
         F.collect_list(F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("z")).alias("z"))).alias("spans")
     )
