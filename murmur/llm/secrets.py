@@ -75,31 +75,41 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str
     )
 
 
-def ownership(found: DataFrame, example_owners: int) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
     """``hash, n_repos, n_owners, example``: over rows ``hash, owner, repo``. Pairs are made distinct before they are
-    counted, so a value that stands in a third of all rows is summed within tasks first. Nulls count as one owner."""
+    counted, so a value that stands in a third of all rows is summed within tasks first. Nulls count as one owner.
+    A value is an example if ``example_owners`` owners or ``example_repos`` repositories or more hold it."""
     by_owner = found.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.sum("one").alias("n_owners"))
     by_repo = found.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.sum("one").alias("n_repos"))
-    return by_owner.join(by_repo, "hash").withColumn("example", F.col("n_owners") >= example_owners)
+    return by_owner.join(by_repo, "hash").withColumn("example", (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos))
 
 
 def secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3,
+    example_repos: int = 100,
 ) -> DataFrame:
-    """One row per document row: the columns of ``scan`` without the candidates, and ``n_live, n_example``: how many
-    of its candidates look owner-specific and how many are copies that ``example_owners`` owners or more hold.
+    """One row per document row: the columns of ``scan``, and ``n_live, n_example``: how many of its candidates look
+    owner-specific and how many are copies that ``example_owners`` owners or ``example_repos`` repositories or more hold.
+    ``candidates`` holds each candidate's ``start, end, kind, n_repos, n_owners, verdict`` (live or example), by start.
 
     Null texts are empty; null ids, repeated ids and repeated rows keep their rows; null owners are one owner.
     """
     rows = pinned(scan(docs, doc_id, text, repo, owner).withColumn("rid", F.when(F.size("candidates") > 0, F.uuid())), "secrets")
-    hits = rows.where("rid IS NOT NULL").select("rid", "owner", "repo", F.explode("candidates.hash").alias("hash"))
-    judged = hits.select("rid", "hash").join(ownership(hits, example_owners).select("hash", "example"), "hash").groupBy("rid").agg(
-        F.sum((~F.col("example")).cast("long")).alias("n_live"), F.sum(F.col("example").cast("long")).alias("n_example")
+    hits = rows.where("rid IS NOT NULL").select("rid", "owner", "repo", F.explode("candidates").alias("c")).select("rid", "owner", "repo", "c.*")
+    verdict = F.when(F.col("example"), "example").otherwise("live").alias("verdict")
+    each = F.struct("start", "end", "kind", "n_repos", "n_owners", verdict)
+    judged = hits.join(ownership(hits, example_owners, example_repos), "hash").groupBy("rid").agg(
+        F.sum((~F.col("example")).cast("long")).alias("n_live"), F.sum(F.col("example").cast("long")).alias("n_example"),
+        F.array_sort(F.collect_list(each)).alias("candidates"),
     )
     keep = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    without = rows.where("rid IS NULL").select(*keep, F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    return without.unionByName(rows.where("rid IS NOT NULL").join(judged, "rid").select(*keep, "n_live", "n_example"))
+    zero, nothing = F.lit(0).cast("long"), F.array().cast(judged.schema["candidates"].dataType)
+    without = rows.where("rid IS NULL").select(*keep, zero.alias("n_live"), zero.alias("n_example"), nothing.alias("candidates"))
+    return without.unionByName(rows.where("rid IS NOT NULL").drop("candidates").join(judged, "rid").select(*keep, "n_live", "n_example", "candidates"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
+    out = secrets(table(spark, sf_dir, "documents"))
+    fields = ("kind", "start", "end", "n_repos", "n_owners", "verdict")
+    joined = F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", *(x[f].cast("string") for f in fields))), ",")
+    return out.withColumn("candidates", joined)
