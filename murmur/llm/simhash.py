@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pinned, space_words, table
@@ -155,6 +155,19 @@ def links(distinct: DataFrame, distance: int = 3, limit: int = 4096) -> DataFram
     return found.unionByName(more.select("a", "b"))
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, *extra: Column) -> DataFrame:
+    """``doc_id, extra, fp, component_id, part``: as ``simhash_components``, and the fingerprint that names the component."""
+    rows = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), *extra, F.col(text).alias("t")), "t", shingle)
+    rows = pinned(rows.drop("t").withColumnRenamed("_fp", "fp"), "fingerprints")
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(own.select("fp"), distance), "a", "b", "simhash")
+    linked = found.withColumnRenamed("node", "fp").join(own, "fp", "left")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
+    known = linked.join(roots, "root").select("fp", "root", "component")
+    label = own.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("part"))
+    return rows.join(label, "fp")
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row per document row: ``doc_id, fp, component_id`` (smallest doc_id of the fingerprints linked by chains).
 
@@ -162,14 +175,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fingerprint zero, linked like any other. Null ids are kept; they never name a component unless
     all its ids are null. Repeated rows each get a row.
     """
-    rows = pinned(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t", shingle).select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
-    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(own.select("fp"), distance), "a", "b", "simhash")
-    linked = found.withColumnRenamed("node", "fp").join(own, "fp", "left")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    known = linked.join(roots, "root").select("fp", "component")
-    label = own.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs, doc_id, text, shingle, distance).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,10 +184,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, whole: the smallest id (of equal ids, one row).
-
-    Rows with a null id in a component of null ids only: one stays; in any other they go.
+    """One document of each component, whole: the smallest id (of equal ids, the least hash of the text). Null ids
+    come last, so one stays only in a component of null ids. Of rows equal in id and text, one stays.
     """
-    keep = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows = _labelled(docs, "doc_id", "text", 3, 3, F.xxhash64("text").alias("th"))
+    least = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
+    keep = least.select(F.col("k.doc_id").alias("_keep"), F.col("k.th").alias("_kept"))
+    own = docs.withColumn("_th", F.xxhash64("text"))
+    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_keep"]) & (own["_th"] == keep["_kept"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
