@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, mixing, pii, quality, secrets, sharding, simhash, substring_dedup
+from . import decontaminate, langid, line_dedup, merkle, mixing, pii, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE = {
     "op1_benchmark_decontamination": decontaminate.ORACLE,
     "op3_extendible_sharding": sharding.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
