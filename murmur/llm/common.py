@@ -53,7 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` of the rows at most, picked by a hash of ``key``: what a model is fitted on, small enough to broadcast."""
-    share = min(1.0, bound / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * share))
+def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row for each key of ``rows``, null keys equal; ``size`` says how many of
+    the ``total`` rows hold it). Keys of one in ``share`` of all rows or more, so ``share`` keys at most, are broadcast; what
+    goes through the shuffle has no larger group than that."""
+    named = groups.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in groups.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    drop = [f"_k{i}" for i in range(len(keys))]
+    hot = F.col(size) * share >= total
+    often = F.broadcast(named.where(hot))
+    rest = rows.join(often, same, "left_anti").join(named.where(~hot), same)
+    return rows.join(often, same).unionByName(rest).drop(*drop, size)
