@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, merkle, mixing, pii, quality, secrets, sharding, simhash, substring_dedup, vector_codes
+from . import decontaminate, langid, line_dedup, merkle, mixing, pii, quality, secrets, sharding, simhash, substring_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_mixing": mixing.op10_mixing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_url_filter": url_filter.op12_url_filter,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
@@ -24,5 +25,6 @@ ORACLE = {
     "op3_extendible_sharding": sharding.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_url_filter": url_filter.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }
