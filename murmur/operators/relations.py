@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from murmur.functions.numeric import engagement
 from murmur.functions.text import link_id_from_permalink, normalise_link_id, relevance, topic
+from murmur.operators.clean import dedup
 
 
 def unique_by(df: DataFrame, key: str) -> DataFrame:
-    """One row per key, deterministically (the smallest remaining row), collapsed map-side:
-    a recomputation after an executor loss picks the same row."""
-    rest = [c for c in df.columns if c != key]
-    if not rest:
-        return df.dropDuplicates([key])
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
+    """One row per key, deterministically (the first in file order, without an ordinal the smallest remaining
+    row), collapsed map-side: a recomputation after an executor loss picks the same row."""
+    return dedup(df, [key])
 
 
 def ensure_link_id(comments: DataFrame, parity: bool = False) -> DataFrame:

@@ -963,3 +963,6 @@ def q_post_comment_relation_salted(spark: SparkSession, sf: str) -> DataFrame:
     rel = relations.relation(_posts(spark, sf), _comments(spark, sf, with_body=False), salt=16)
     return rel.select("id_comment", "link_id", "id_post", "title", "author_comment", "author_post",
                       "has_parent_post")
+
+
+from murmur.plans import deliveries  # noqa: E402,F401 - registers its queries

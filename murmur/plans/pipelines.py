@@ -67,7 +67,7 @@ def score_items(inp: Inputs, posts: DataFrame, comments: DataFrame) -> dict[str,
     o = inp.options
     items = clean.union_items(comments, posts, parity=o.parity)
     scored = lex.score_items(items, inp.lexicon, "item_id", keep=["date", "score"])
-    chunks = textchunks.daily_chunks(items, config.CHUNK_CHARS)
+    chunks = textchunks.daily_chunks(items, config.CHUNK_CHARS, order_cols=clean.item_order(items))
     daily_model = scoring.daily_model_scores(chunks, inp.day_model)
     scored = rollups.attach_daily(scored, daily_model.withColumnRenamed("finbert_sentiment", "finbert"), "finbert")
     return {"items": items, "scored_items": scored, "daily_text_chunks": chunks, "daily_model": daily_model}
@@ -134,7 +134,7 @@ def rescore_daily(merged: DataFrame, items: DataFrame, factory: scoring.ScorerFa
     """C4: rebuild the day-level model score for the dates present in ``merged`` only
     (semi-join below the scorer), replace the column, recompute features once."""
     wanted = semi_prune(items, merged, ["date"])
-    chunks = textchunks.daily_chunks(wanted, config.CHUNK_CHARS)
+    chunks = textchunks.daily_chunks(wanted, config.CHUNK_CHARS, order_cols=clean.item_order(wanted))
     daily = scoring.daily_model_scores(chunks, factory)
     refreshed = replace_column(merged, daily, ["date"], "finbert_sentiment", 0.0)
     return {"merged": refreshed, "features": ts.features(refreshed.drop("chunks"), sentiment="avg_sentiment")}

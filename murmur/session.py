@@ -105,5 +105,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 def shared_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="murmur-scratch-")
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

@@ -1,13 +1,18 @@
 """S1-S7 scans and K1-K3 sinks over raw files.
 
 All scans read by header name and cast to explicit types (no inference). Text CSVs whose fields contain newlines need
-``multiLine``; such files do not split, so :func:`land_as_parquet` converts them once and
-every later job reads the splittable Parquet copy.
+``multiLine``; such files do not split, so :func:`ingest` parses them once, counts what it cannot read,
+and every later job reads the splittable Parquet copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from murmur.session import shared_scratch_path
 
 # pandas reads all of these as missing; Spark CSV knows one nullValue, so normalise after.
 NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "<NA>", "#N/A", "-NaN", "-nan"]
@@ -31,82 +36,140 @@ COMMENTS_SCHEMA = T.StructType([
 BAR_COLUMNS = ["Date", "Close", "High", "Low", "Open", "Volume"]
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of the header, as strings."""
+#: Where a row stands in its input: files by path, then the block of the file, then the row within it.
+ORDINAL = ["ord_file", "ord_block", "ord_row"]
+CORRUPT = "_corrupt_record"
+
+
+def with_ordinal(scan: DataFrame) -> DataFrame:
+    """A file scan with the three columns of ``ORDINAL``. Ordering by them is file order: rows of one block are read by one
+    task in order, so their ids ascend whatever else the task reads. Take it from the scan itself, before any shuffle."""
+    return scan.withColumns({"ord_file": F.col("_metadata.file_path"), "ord_block": F.col("_metadata.file_block_start"),
+                             "ord_row": F.monotonically_increasing_id()})
+
+
+def _reader(spark: SparkSession):
     return (spark.read.option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
 
 
-def typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of ``schema`` found by header name, in any order and among others; a missing one is NULL,
-    and so is a value that its type cannot hold."""
-    at = {c.strip().lower(): c for c in reversed(raw.columns)}
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of the header, as strings, and the raw text of rows that do not fit it. Files of one
+    folder must share a header: one that differs is an error, not a column mix-up."""
+    header = _reader(spark).csv(path).schema
+    if not header.fields:
+        return _reader(spark).csv(path)
+    schema = T.StructType([*header.fields, T.StructField(CORRUPT, T.StringType())])
+    return _reader(spark).schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False).csv(path)
+
 
-    def column(f: T.StructField):
-        if f.name.lower() not in at:
-            return F.lit(None).cast(f.dataType).alias(f.name)
-        c = F.col("`" + at[f.name.lower()].replace("`", "``") + "`")
-        # whole numbers are also written as 5.0
-        return (c.try_cast("double").try_cast(f.dataType) if isinstance(f.dataType, T.LongType) else c.try_cast(f.dataType)).alias(f.name)
+def _by_name(columns: list[str], name: str) -> Column | None:
+    """The column of a header, whatever its place, case and padding; the first of equal ones."""
+    at = {c.strip().lower(): c for c in reversed(columns)}
+    return F.col("`" + at[name.lower()].replace("`", "``") + "`") if name.lower() in at else None
 
-    return raw.select(*map(column, schema.fields))
 
+def _cast(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.LongType):  # whole numbers are also written as 5.0
+        return c.try_cast("double").try_cast(kind)
+    if isinstance(kind, T.DoubleType):  # NaN is a value in Spark: NULL drops and compares as a missing one
+        return F.nanvl(c.try_cast(kind), F.lit(None).cast(kind))
+    return c.try_cast(kind)
 
-def normalise_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+
+def typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` found by header name, in any order and among others; a missing one is NULL,
+    and so is a value that its type cannot hold. The ordinal stays."""
+    columns = [(f, _by_name(raw.columns, f.name)) for f in schema.fields]
+    cast = [(F.lit(None).cast(f.dataType) if c is None else _cast(c, f.dataType)).alias(f.name) for f, c in columns]
+    return raw.select(*cast, *(c for c in ORDINAL if c in raw.columns))
+
+
+def normalise_nulls(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Map every pandas null spelling in string columns to NULL (one projection)."""
     strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    cols = [c for c in (columns or df.columns) if c in strings]
+    cols = [c for c in (columns or df.columns) if c in strings and c not in exclude]
+    named = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
     return df.select(*[
-        F.when(F.trim(F.col(c)).isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-        if c in cols else F.col(c) for c in df.columns])
-
-
-def read_social(spark: SparkSession, posts_path: str, comments_path: str) -> tuple[DataFrame, DataFrame]:
-    """S1. Posts and comments with fixed schemas; the comment link column may be
+        F.when(F.trim(named[c]).isin(NULL_TOKENS), F.lit(None).cast("string")).otherwise(named[c]).alias(c)
+        if c in cols else named[c] for c in df.columns])
+
+
+@dataclass
+class Ingested:
+    """A landed CSV: ``rows`` typed and in file order by their ordinal, ``rejects`` (the quarantine: ordinal, ``reasons`` and the
+    ``record`` as read), ``counts`` seen while landing: ``rows``, ``malformed``, and ``bad_<column>`` (a value that its type cannot hold)
+    and ``missing_<column>`` (of a required one)."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    counts: dict[str, int] = field(default_factory=dict)
+
+
+def ingest(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = (), landing: str | None = None) -> Ingested:
+    """S1-S4 at scale. The CSV is parsed once, into Parquet in ``landing`` (by default a new folder in the shared scratch): all
+    later reads split and prune. A row that does not fit the header, or lacks a readable required value, is not in ``rows``;
+    any other unreadable value is NULL there. Either way the row is in the quarantine with its reasons, so nothing
+    disappears uncounted: ``rows`` + rejects that are left out = rows of the files."""
+    landing = landing or shared_scratch_path(spark, "landing")
+    raw = normalise_nulls(with_ordinal(_csv(spark, path)), exclude=(CORRUPT, *ORDINAL))
+    if CORRUPT not in raw.columns:
+        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+    found = [(f, _by_name([c for c in raw.columns if c not in (CORRUPT, *ORDINAL)], f.name)) for f in schema.fields]
+    malformed = F.col(CORRUPT).isNotNull()
+    bad = {f"bad_{f.name}": ~malformed & c.isNotNull() & _cast(c, f.dataType).isNull() for f, c in found if c is not None and not isinstance(f.dataType, T.StringType)}
+    missing = {f"missing_{f.name}": ~malformed & (F.lit(True) if c is None else c.isNull()) for f, c in found if f.name in required}
+    seen = Observation(f"landing-{uuid.uuid4().hex}")
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(malformed).alias("malformed")]
+    raw.observe(seen, *counts, *(F.count_if(c).alias(n) for n, c in (bad | missing).items())).write.mode("overwrite").parquet(landing)
+    got, landed = seen.get, spark.read.schema(raw.schema).parquet(landing)
+    reasons = F.array_compact(F.array(F.when(malformed, F.lit("malformed")), *(F.when(c, F.lit(n)) for n, c in (bad | missing).items())))
+    others = [c for c in raw.columns if c not in (CORRUPT, *ORDINAL)]
+    record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in others))))
+    rejects = landed.select(*ORDINAL, reasons.alias("reasons"), record.alias("record")).where(F.size("reasons") > 0)
+    out = [malformed, *(c for n, c in (bad | missing).items() if n.partition("_")[2] in required)]
+    return Ingested(typed(landed.where(~reduce(lambda a, b: a | b, out)), schema), rejects, got)
+
+
+def read_social(spark: SparkSession, posts_path: str, comments_path: str, landing: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1. Posts and comments with fixed schemas and their ordinals; the comment link column may be
     ``link_id`` or ``permalink`` (one that the file lacks is left out)."""
-    posts = typed(normalise_nulls(_csv(spark, posts_path)), POSTS_SCHEMA)
-    raw = normalise_nulls(_csv(spark, comments_path))
-    header = {c.strip().lower() for c in raw.columns}
+    at = (lambda name: f"{landing}/{name}") if landing else (lambda name: None)
+    posts = ingest(spark, posts_path, POSTS_SCHEMA, landing=at("posts"))
+    header = {c.strip().lower() for c in _reader(spark).csv(comments_path).columns}
     links = [f for f in COMMENTS_SCHEMA.fields if f.name not in ("link_id", "permalink") or f.name in header]
-    return posts, typed(raw, T.StructType(links))
+    comments = ingest(spark, comments_path, T.StructType(links), landing=at("comments"))
+    return posts.rows, comments.rows
 
 
-def land_as_parquet(df: DataFrame, path: str) -> DataFrame:
-    """S1 at scale: multiLine CSV is read once and landed as Parquet; return the Parquet scan."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+BARS_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()),
+                            *(T.StructField(c.lower(), T.DoubleType()) for c in BAR_COLUMNS[1:])])
+BAR_VALUES = tuple(c.lower() for c in BAR_COLUMNS)
 
 
 def coerce_bars(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     """S2. Raw string bars -> typed bars; bad numbers, bad dates and the extra ticker header
     row become NULL via ``try_cast`` and the row is dropped (P2-P4)."""
-    cols = {c.lower(): c for c in raw.columns}
-    sym = F.col(cols["symbol"]) if "symbol" in cols else F.lit(symbol)
-    out = raw.select(
-        sym.cast("string").alias("symbol"),
-        F.expr(f"try_cast(`{cols['date']}` as date)").alias("date"),
-        *[F.expr(f"try_cast(`{cols[c.lower()]}` as double)").alias(c.lower()) for c in BAR_COLUMNS[1:]],
-    )
-    # NaN is a value in Spark: turn it into NULL so drop/compare behave like pandas.
-    out = out.select("symbol", "date", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
-                                         for c in ["close", "high", "low", "open", "volume"]])
-    return out.na.drop("any", subset=["date", "close", "high", "low", "open", "volume"])  # a file of one symbol names none
+    out = typed(raw, BARS_SCHEMA).withColumn("symbol", F.coalesce("symbol", F.lit(symbol)))  # a file of one symbol names none
+    return out.na.drop("any", subset=list(BAR_VALUES)).select(*BARS_SCHEMA.names)
+
+
+def ingest_bars(spark: SparkSession, path: str, fallback_path: str | None = None, symbol: str | None = None,
+                landing: str | None = None) -> Ingested:
+    """S2+S3. Bars with all values readable, the others in the quarantine; when the file is empty, lacks ``Date`` or has no
+    non-null date, the pruned fallback table (S5: symbol and the bar columns) is read in its place."""
+    got = ingest(spark, path, BARS_SCHEMA, BAR_VALUES, landing)
+    # a date that is there and unreadable is bad, not missing
+    if fallback_path and got.counts["missing_date"] + got.counts["malformed"] == got.counts["rows"]:
+        got = ingest(spark, fallback_path, BARS_SCHEMA, BAR_VALUES, f"{landing}-fallback" if landing else None)
+    rows = got.rows.withColumn("symbol", F.coalesce("symbol", F.lit(symbol))).select(*BARS_SCHEMA.names)
+    return Ingested(rows, got.rejects, got.counts)
 
 
 def read_bars(spark: SparkSession, path: str, fallback_path: str | None = None,
-              symbol: str | None = None) -> DataFrame:
-    """S2+S3. Read bars; when the file is empty, lacks ``Date`` or has no non-null date,
-    read the pruned fallback table (S5: only the bar columns)."""
-    raw = _csv(spark, path)
-    lower = [c.lower() for c in raw.columns]
-    use_fallback = "date" not in lower
-    if not use_fallback:
-        date_col = raw.columns[lower.index("date")]
-        # one bounded action: does any non-null date exist?
-        use_fallback = raw.where(F.col(date_col).isNotNull()).limit(1).count() == 0
-    if use_fallback and fallback_path:
-        raw = _csv(spark, fallback_path).select(*BAR_COLUMNS)
-    return coerce_bars(raw, symbol)
+              symbol: str | None = None, landing: str | None = None) -> DataFrame:
+    """The rows of :func:`ingest_bars`."""
+    return ingest_bars(spark, path, fallback_path, symbol, landing).rows
 
 
 def has_rows(df: DataFrame, n: int = 2) -> bool:
@@ -130,6 +193,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", "\"").csv(path)  # quotes doubled, as the readers expect
     else:
         w.format(fmt).save(path)
