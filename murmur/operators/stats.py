@@ -48,16 +48,24 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None) -> DataFrame:
-    """A10: count, mean, sample std, min, exact quartiles, max per group."""
+    """A10: count, mean, sample std, min, exact quartiles, max per group. The input is read once: all of it comes
+    from the stored table of distinct values with their counts. A group without a value has no row (ungrouped: a row of NULLs)."""
     group_cols = list(group_cols or [])
-    base = df.groupBy(*group_cols).agg(
-        F.count(value_col).alias("count"), F.avg(value_col).alias("mean"),
-        F.stddev_samp(value_col).alias("std"), F.min(value_col).alias("min"),
-        F.max(value_col).alias("max"))
-    q = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], group_cols)
+    ranked = ranked_values(df, value_col, group_cols)
+    v, n = F.col(value_col), F.col("_cnt")
+    base = ranked.groupBy(*group_cols).agg(
+        F.sum(n).alias("count"), F.try_divide(F.sum(v * n), F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    # squares of the distances from the mean, not of the values: no cancellation
+    away = with_group_rows(ranked, base.select(*group_cols, "mean"), group_cols).groupBy(*group_cols).agg(
+        F.sqrt(F.try_divide(F.sum((v - F.col("mean")) * (v - F.col("mean")) * n), F.nullif(F.sum(n) - 1, F.lit(0)))).alias("std"))
+    q = exact_quantiles(None, value_col, [0.25, 0.5, 0.75], group_cols, ranked=ranked)
     wide = q.groupBy(*group_cols).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
     wide = wide.withColumnsRenamed({"0.25": "q25", "0.5": "q50", "0.75": "q75"})
-    return base.join(wide, group_cols, "left") if group_cols else with_row(base, wide)
+    if not group_cols:
+        out = with_row(with_row(base, away), wide).withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    else:
+        out = base.join(away, group_cols).join(wide, group_cols, "left")
+    return out.select(*group_cols, "count", "mean", "std", "min", "max", "q25", "q50", "q75")
 
 
 def top_frequencies(df: DataFrame, col: str, k: int = 10) -> DataFrame:
@@ -119,10 +127,11 @@ def outliers(df: DataFrame, value_col: str, boxes: DataFrame, group_cols: list[s
         .drop("fence_lo", "fence_hi")
 
 
-def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
+def binned_scatter(df: DataFrame, x: str, y: str, x_width: float, y_width: float,
+                   group_cols: list[str] | None = None) -> DataFrame:
     """E7 at scale: a scatter plot as 2-D binned counts."""
     return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-            .groupBy(F.floor(F.col(x) / x_width).alias("x_bin"), F.floor(F.col(y) / y_width).alias("y_bin"))
+            .groupBy(*(group_cols or []), F.floor(F.col(x) / x_width).alias("x_bin"), F.floor(F.col(y) / y_width).alias("y_bin"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 

@@ -7,6 +7,8 @@ and every later job reads the splittable Parquet copy.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
@@ -106,6 +108,15 @@ class Ingested:
     counts: dict[str, int] = field(default_factory=dict)
 
 
+def _flaws(columns: list[str], schema: T.StructType, required: tuple[str, ...]) -> dict[str, Column]:
+    """What can be wrong with a raw row, by name."""
+    found = [(f, _by_name([c for c in columns if c not in (CORRUPT, *ORDINAL)], f.name)) for f in schema.fields]
+    malformed = F.col(CORRUPT).isNotNull()
+    bad = {f"bad_{f.name}": ~malformed & c.isNotNull() & _cast(c, f.dataType).isNull() for f, c in found if c is not None and not isinstance(f.dataType, T.StringType)}
+    missing = {f"missing_{f.name}": ~malformed & (F.lit(True) if c is None else c.isNull()) for f, c in found if f.name in required}
+    return {"malformed": malformed} | bad | missing
+
+
 def ingest(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = (), landing: str | None = None) -> Ingested:
     """S1-S4 at scale. The CSV is parsed once, into Parquet in ``landing`` (by default a new folder in the shared scratch): all
     later reads split and prune. A row that does not fit the header, or lacks a readable required value, is not in ``rows``;
@@ -115,20 +126,32 @@ def ingest(spark: SparkSession, path: str, schema: T.StructType, required: tuple
     raw = normalise_nulls(with_ordinal(_csv(spark, path)), exclude=(CORRUPT, *ORDINAL))
     if CORRUPT not in raw.columns:
         raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
-    found = [(f, _by_name([c for c in raw.columns if c not in (CORRUPT, *ORDINAL)], f.name)) for f in schema.fields]
-    malformed = F.col(CORRUPT).isNotNull()
-    bad = {f"bad_{f.name}": ~malformed & c.isNotNull() & _cast(c, f.dataType).isNull() for f, c in found if c is not None and not isinstance(f.dataType, T.StringType)}
-    missing = {f"missing_{f.name}": ~malformed & (F.lit(True) if c is None else c.isNull()) for f, c in found if f.name in required}
     seen = Observation(f"landing-{uuid.uuid4().hex}")
-    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(malformed).alias("malformed")]
-    raw.observe(seen, *counts, *(F.count_if(c).alias(n) for n, c in (bad | missing).items())).write.mode("overwrite").parquet(landing)
-    got, landed = seen.get, spark.read.schema(raw.schema).parquet(landing)
-    reasons = F.array_compact(F.array(F.when(malformed, F.lit("malformed")), *(F.when(c, F.lit(n)) for n, c in (bad | missing).items())))
+    counts = [F.count_if(c).alias(n) for n, c in _flaws(raw.columns, schema, required).items()]
+    raw.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.mode("overwrite").parquet(landing)
+    return landed(spark, landing, schema, required, seen.get)
+
+
+def landed(spark: SparkSession, landing: str, schema: T.StructType, required: tuple[str, ...] = (), counts: dict[str, int] | None = None) -> Ingested:
+    """What :func:`ingest` put into ``landing``, without parsing anything again."""
+    raw = spark.read.parquet(landing)
+    flaws = _flaws(raw.columns, schema, required)
     others = [c for c in raw.columns if c not in (CORRUPT, *ORDINAL)]
     record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in others))))
-    rejects = landed.select(*ORDINAL, reasons.alias("reasons"), record.alias("record")).where(F.size("reasons") > 0)
-    out = [malformed, *(c for n, c in (bad | missing).items() if n.partition("_")[2] in required)]
-    return Ingested(typed(landed.where(~reduce(lambda a, b: a | b, out)), schema), rejects, got)
+    reasons = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flaws.items())))
+    rejects = raw.select(*ORDINAL, reasons.alias("reasons"), record.alias("record")).where(F.size("reasons") > 0)
+    out = [c for n, c in flaws.items() if n == "malformed" or n.partition("_")[2] in required]
+    return Ingested(typed(raw.where(~reduce(lambda a, b: a | b, out)), schema), rejects, dict(counts or {}))
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    return _reader(spark).csv(path).columns
+
+
+def comments_schema(header: list[str]) -> T.StructType:
+    """The columns of comments with those link columns that a file has."""
+    names = {c.strip().lower() for c in header}
+    return T.StructType([f for f in COMMENTS_SCHEMA.fields if f.name not in ("link_id", "permalink") or f.name in names])
 
 
 def read_social(spark: SparkSession, posts_path: str, comments_path: str, landing: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,9 +159,7 @@ def read_social(spark: SparkSession, posts_path: str, comments_path: str, landin
     ``link_id`` or ``permalink`` (one that the file lacks is left out)."""
     at = (lambda name: f"{landing}/{name}") if landing else (lambda name: None)
     posts = ingest(spark, posts_path, POSTS_SCHEMA, landing=at("posts"))
-    header = {c.strip().lower() for c in _reader(spark).csv(comments_path).columns}
-    links = [f for f in COMMENTS_SCHEMA.fields if f.name not in ("link_id", "permalink") or f.name in header]
-    comments = ingest(spark, comments_path, T.StructType(links), landing=at("comments"))
+    comments = ingest(spark, comments_path, comments_schema(header_of(spark, comments_path)), landing=at("comments"))
     return posts.rows, comments.rows
 
 
@@ -150,8 +171,7 @@ BAR_VALUES = tuple(c.lower() for c in BAR_COLUMNS)
 def coerce_bars(raw: DataFrame, symbol: str | None = None) -> DataFrame:
     """S2. Raw string bars -> typed bars; bad numbers, bad dates and the extra ticker header
     row become NULL via ``try_cast`` and the row is dropped (P2-P4)."""
-    out = typed(raw, BARS_SCHEMA).withColumn("symbol", F.coalesce("symbol", F.lit(symbol)))  # a file of one symbol names none
-    return out.na.drop("any", subset=list(BAR_VALUES)).select(*BARS_SCHEMA.names)
+    return named_bars(typed(raw, BARS_SCHEMA), symbol).na.drop("any", subset=list(BAR_VALUES))
 
 
 def ingest_bars(spark: SparkSession, path: str, fallback_path: str | None = None, symbol: str | None = None,
@@ -161,9 +181,13 @@ def ingest_bars(spark: SparkSession, path: str, fallback_path: str | None = None
     got = ingest(spark, path, BARS_SCHEMA, BAR_VALUES, landing)
     # a date that is there and unreadable is bad, not missing
     if fallback_path and got.counts["missing_date"] + got.counts["malformed"] == got.counts["rows"]:
-        got = ingest(spark, fallback_path, BARS_SCHEMA, BAR_VALUES, f"{landing}-fallback" if landing else None)
-    rows = got.rows.withColumn("symbol", F.coalesce("symbol", F.lit(symbol))).select(*BARS_SCHEMA.names)
-    return Ingested(rows, got.rejects, got.counts)
+        got = ingest(spark, fallback_path, BARS_SCHEMA, BAR_VALUES, landing)
+    return Ingested(named_bars(got.rows, symbol), got.rejects, got.counts)
+
+
+def named_bars(rows: DataFrame, symbol: str | None) -> DataFrame:
+    """Bars of a file that names no symbol get ``symbol``."""
+    return rows.withColumn("symbol", F.coalesce("symbol", F.lit(symbol))).select(*BARS_SCHEMA.names)
 
 
 def read_bars(spark: SparkSession, path: str, fallback_path: str | None = None,
@@ -196,3 +220,74 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.option("header", True).option("escape", "\"").csv(path)  # quotes doubled, as the readers expect
     else:
         w.format(fmt).save(path)
+
+
+# Small files beside the tables (markers, manifests), through the file system that the path names.
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small file; None where there is none."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> bool:
+    """Write a small file beside its place and rename it there, so no reader sees half of it. Without ``replace``
+    a file that is there stays, and the answer is False."""
+    fs, at = _file_system(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_part-{uuid.uuid4().hex}")
+    stream = fs.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if replace and fs.exists(at):
+        fs.delete(at, False)
+    # the rename is what decides between two writers: of one target only one succeeds
+    done = not fs.exists(at) and fs.rename(part, at)
+    if not done:
+        fs.delete(part, False)
+    return done
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none where there is no folder."""
+    fs, at = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def schema_of(text: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(text))
+
+
+def fingerprint(spark: SparkSession, paths: list[str], *others) -> str:
+    """A digest of the files behind ``paths`` (globs; name, length and time of change of every file) and of ``others``."""
+    seen = []
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        for found in fs.globStatus(at) or []:
+            listing = fs.listFiles(found.getPath(), True) if found.isDirectory() else None
+            status = [found] if listing is None else []
+            while listing is not None and listing.hasNext():
+                status.append(listing.next())
+            seen += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status]
+    return hashlib.sha256(json.dumps([sorted(seen), [repr(o) for o in others]]).encode()).hexdigest()

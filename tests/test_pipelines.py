@@ -50,6 +50,16 @@ def test_rescore_daily_replaces_column(spark, inputs):
     res = pipelines.rescore_daily(out["merged"], out["items"], factory)
     vals = {r["finbert_sentiment"] for r in res["merged"].select("finbert_sentiment").distinct().collect()}
     assert vals == {0.5}
+    line = res["summary"].first()
+    assert (line["scorer"], line["count"], line["non_zero"], line["mean"], line["q50"]) == ("finbert_sentiment", res["merged"].count(), line["count"], 0.5, 0.5)
+
+
+def test_rescoring_from_raw_files_drops_missing_texts_and_keeps_repeated_ones(spark):
+    posts = spark.createDataFrame([("p", 0.0, "t"), ("p", 0.0, "t"), ("q", None, "u"), ("r", 86400.0, None)], "id string, created_utc double, title string")
+    comments = spark.createDataFrame([("c", 0.0, "hi"), (None, 0.0, "hi")], "id string, created_utc double, body string")
+    items = pipelines.raw_daily_items(comments, posts)
+    from murmur.operators import textchunks
+    assert [tuple(r) for r in textchunks.daily_chunks(items).select("chunk", "text").collect()] == [(0, "hi hi t t")]
 
 
 def test_cli_demo_run(tmp_path):
