@@ -719,17 +719,6 @@ def q_item_irony(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.irony_scores(docs, ["item_id"], "text", scoring.neutral_factory)
 
 
-@register("incremental_irony", """
-SELECT doc_id AS item_id, 'UNKNOWN' AS sarcasm_label, CAST(0 AS DOUBLE) AS sarcasm_score FROM documents""")
-def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
-    """The irony job as an availableNow stream over the documents file, exactly-once
-    into a Parquet sink under the shared checkpoint folder."""
-    out = incremental.incremental_irony(
-        spark, sf, shared_scratch_path(spark, "irony-sink"), shared_scratch_path(spark, "irony-ckpt"),
-        key_cols=["doc_id"], path_glob="documents.parquet", factory=scoring.neutral_factory)
-    return out.withColumnRenamed("doc_id", "item_id")
-
-
 # The same operators with a scorer that looks at the text.
 def _share_sql(letter: str, text: str) -> str:
     return f"CAST(length({text}) - length(replace({text}, '{letter}', '')) AS DOUBLE) / greatest(1, length({text}))"
@@ -770,6 +759,16 @@ def q_item_letter_labels(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.irony_scores(docs, ["item_id"], "text", scoring.letter_factory)
 
 
+@register("incremental_irony", ORACLE["item_letter_labels"])
+def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
+    """The irony job as an availableNow stream over the documents file, exactly-once
+    into a versioned table under the shared checkpoint folder."""
+    out = incremental.incremental_irony(
+        spark, sf, shared_scratch_path(spark, "irony-sink"), shared_scratch_path(spark, "irony-ckpt"),
+        key_cols=["doc_id"], path_glob="documents.parquet", factory=scoring.letter_factory)
+    return out.withColumnRenamed("doc_id", "item_id")
+
+
 # ---------------------------------------------------------------------------------------
 # Misses: many documents have no label, so labels are the parent side of the relation.
 # ---------------------------------------------------------------------------------------

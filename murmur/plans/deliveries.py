@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from murmur.operators import clean, lexicon as lex
+from murmur.operators import clean, lexicon as lex, scoring
 from murmur.plans import pipelines
 from murmur.plans.artifacts import ArtifactGraph
 from murmur.plans.catalog import ORACLE, register
 from murmur.session import shared_scratch_path
-from murmur.sources import files, tables as tb
+from murmur.sources import files, tables as tb, versions
+from murmur.streaming import incremental
 
 
 def _order_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,3 +161,47 @@ def q_resumed_flow(spark: SparkSession, sf: str) -> DataFrame:
     counts = pipelines.quality_counters(stored)
     flags = spark.createDataFrame(list(written.items()), "stage string, written_again boolean")
     return counts.join(flags, "stage").select(F.col("stage").alias("artifact"), "rows", "written_again")
+
+
+def _deliver_documents(docs: DataFrame, folder: str) -> None:
+    docs.repartition(4, "doc_id").write.mode("append").parquet(folder)
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    """The same documents with another text: every label and score would differ."""
+    return docs.withColumn("text", F.concat(F.lit("oooo eee"), F.coalesce("text", F.lit(""))))
+
+
+@register("stream_deliveries", f"""
+SELECT item_id, sarcasm_label, sarcasm_score, 3 AS published FROM ({ORACLE['item_letter_labels']})""")
+def q_stream_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Four files at each of three starts of one query. The second start delivers new documents and every fourth old
+    one again with a changed text, the third only changed ones; the state store keeps the first text's label."""
+    docs = tb.load(spark, sf, "documents").select("doc_id", "text")
+    source, sink, state = (shared_scratch_path(spark, n) for n in ("documents", "labels", "state"))
+    late = F.col("doc_id") % 3 == 2
+    again = _changed(docs.where("doc_id % 4 = 0"))
+    published = []
+    for delivery in (docs.where(~late), docs.where(late).unionByName(again.where(~late)), again):
+        _deliver_documents(delivery, source)
+        out = incremental.incremental_irony(spark, source, sink, state, ["doc_id"], factory=scoring.letter_factory,
+                                            max_files_per_trigger=3, remember="30 days")
+        published = versions.versions(spark, sink)
+    return out.withColumnRenamed("doc_id", "item_id").withColumn("published", F.lit(len(published)))
+
+
+@register("versioned_scores", f"""
+WITH labels AS ({ORACLE['item_letter_labels']})
+SELECT version, sarcasm_label, count(*) AS items, round(sum(sarcasm_score), 6) AS score
+FROM labels, (VALUES (1), (2)) v(version) WHERE version = 2 OR item_id % 2 = 0 GROUP BY version, sarcasm_label""")
+def q_versioned_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: half the documents are scored and published; then the checkpoint is lost and the whole source is scored by a new
+    query in several batches. The first version stays readable as it was, the newest holds nothing of it."""
+    docs = tb.load(spark, sf, "documents").select("doc_id", "text")
+    source, sink = (shared_scratch_path(spark, n) for n in ("documents", "labels"))
+    for half in (0, 1):
+        _deliver_documents(docs.where(F.col("doc_id") % 2 == half), source)
+        incremental.incremental_irony(spark, source, sink, shared_scratch_path(spark, "state"), ["doc_id"],
+                                      factory=scoring.letter_factory, max_files_per_trigger=2)
+    both = versions.read(spark, sink, 1).withColumn("version", F.lit(1)).unionByName(versions.read(spark, sink).withColumn("version", F.lit(2)))
+    return both.groupBy("version", "sarcasm_label").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("sarcasm_score"), 6).alias("score"))
