@@ -2,17 +2,20 @@
 
 The label (Amihud illiquidity, ~1e-10 on real data) is multiplied by ``label_scale``
 before fitting and divided after, so tree impurity gains do not underflow; ``scale=1``
-reproduces the original. Constant feature columns are dropped for OLS (a constant column
-makes the normal equations singular); trees keep every column.
+reproduces the original. Least squares (M2) is one aggregation: the covariances of all columns, from which the
+driver solves a system as large as the number of features; trees are Spark ML's.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, functions as F
 
 from murmur import config
 from murmur.operators.stats import regression_metrics, unpivot
@@ -23,6 +26,47 @@ MODEL_NAMES = {"linear_regression": "Linear Regression", "random_forest": "Rando
                "gbt": "Gradient Boosted Trees"}
 
 
+@dataclass(frozen=True)
+class LeastSquares:
+    """``intercept + sum(coefficient * column)``; ``rows`` took part in the fit, ``r2`` is None for a constant label."""
+
+    intercept: float | None
+    coefficients: dict[str, float]
+    rows: int
+    r2: float | None
+
+    def predict(self) -> Column:
+        terms = [F.lit(b) * F.col(c) for c, b in self.coefficients.items() if b]
+        return reduce(lambda a, b: a + b, terms, F.lit(self.intercept).cast("double"))
+
+
+def least_squares(df: DataFrame, columns: list[str], label: str) -> LeastSquares:
+    """M2: ordinary least squares from the normal equations. One aggregation over ``df`` gives the Gram matrix of the
+    centred columns (means and covariances, merged across tasks without cancellation): (k + 1)(k + 2) / 2 numbers
+    whatever the rows. Rows with a NULL among the columns take no part. The system is solved in
+    correlations; a constant column gets 0, and of columns that determine each other the solution of least norm is taken."""
+    names = [*columns, label]
+    rows = df.select(*(F.col(c).cast("double").alias(str(i)) for i, c in enumerate(names))).na.drop()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    got = rows.agg(F.count(F.lit(1)), *(F.avg(str(i)) for i in range(len(names))), *(F.covar_pop(str(i), str(j)) for i, j in pairs)).first()
+    n, means = got[0], got[1 : 1 + len(names)]
+    if not n:
+        return LeastSquares(None, dict.fromkeys(columns, 0.0), 0, None)
+    gram = np.zeros((len(names), len(names)))
+    for (i, j), v in zip(pairs, got[1 + len(names):], strict=True):
+        gram[i, j] = gram[j, i] = v
+    scale = np.sqrt(np.diag(gram))
+    # a spread that is rounding of the column's mean is no spread
+    used = [i for i in range(len(columns)) if scale[i] > 1e-14 * abs(means[i])]
+    beta = np.zeros(len(columns))
+    if used and scale[-1] > 0:
+        corr = gram[np.ix_([*used, -1], [*used, -1])] / np.outer(scale[[*used, -1]], scale[[*used, -1]])
+        solved = np.linalg.lstsq(corr[:-1, :-1], corr[:-1, -1], rcond=1e-12)[0]
+        beta[used] = solved * scale[-1] / scale[used]
+    r2 = float(beta @ gram[:-1, -1] / gram[-1, -1]) if scale[-1] > 0 else None
+    return LeastSquares(float(means[-1] - beta @ np.array(means[:-1])), dict(zip(columns, map(float, beta))), n, r2)
+
+
 def model_predictions(features: DataFrame, feature_cols: list[str] | None = None, label: str = "illiquidity",
                       keys=("symbol", "date"), test_fraction: float = config.TEST_FRACTION,
                       label_scale: float = 1e9, lagged_only: bool = False,
@@ -48,12 +92,7 @@ def model_predictions(features: DataFrame, feature_cols: list[str] | None = None
 
     def fit(name):
         if name == "linear_regression":
-            var = train.agg(*[F.var_samp(c).alias(c) for c in cols]).first()  # one row
-            ols_cols = [c for c in cols if var[c] not in (None, 0.0)]
-            va = VectorAssembler(inputCols=ols_cols, outputCol="_f_ols")
-            lr = LinearRegression(featuresCol="_f_ols", labelCol="_y", predictionCol=name,
-                                  regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False)
-            return va, lr.fit(va.transform(train))
+            return least_squares(train, cols, "_y")
         if name == "random_forest":
             est = RandomForestRegressor(featuresCol="_f", labelCol="_y", predictionCol=name,
                                         numTrees=rf_trees, maxDepth=rf_depth, seed=seed,
@@ -69,6 +108,9 @@ def model_predictions(features: DataFrame, feature_cols: list[str] | None = None
         fitted = dict(zip(models, pool.map(fit, models)))
     out = test
     for name in models:
+        if isinstance(fitted[name], LeastSquares):
+            out = out.withColumn(name, fitted[name].predict())
+            continue
         va, model = fitted[name]
         out = model.transform(va.transform(out)).drop(va.getOutputCol())
     scale = F.lit(label_scale)

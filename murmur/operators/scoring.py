@@ -1,9 +1,8 @@
 """Pluggable batch model scoring.
 
 A *scorer factory* is a zero-argument callable returning a batch scorer, or ``None`` when
-the model is unavailable. It is called once per task (the model is built next to the
-data, never on the driver); a failing load latches the task into the neutral fallback,
-as the original pipeline does offline:
+the model is unavailable. It is called once per Python worker (the model is built next to the
+data, never on the driver, and kept for the worker's later tasks); a failing load fails the task:
 
 * class-probability scorer: ``list[str] -> list[dict[label, prob]]``; the item score is
   p(positive) - p(negative) (D3), averaged over the text's chunks;
@@ -15,9 +14,11 @@ key + score and everything else stays in the JVM.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from murmur import config
@@ -42,10 +43,28 @@ def letter_factory():
     return score
 
 
-def _load(factory):
-    """The model, or None where none was asked for. An error of a factory or a model fails the task:
-    a score that could not be made is never returned as a neutral one."""
-    return None if factory is None else factory()
+#: Models of this Python worker by the digest of their factory, the one used longest ago first. A worker serves many tasks
+#: one after another, so a model is loaded once per worker and factory, not once per task.
+_LOADED: dict[str, Callable] = {}
+MODELS_KEPT = 4
+
+
+def _keyed(factory: ScorerFactory | None):
+    """On the driver: what a task needs to find or load the model. Factories that pickle alike are the same model."""
+    return None if factory is None else (hashlib.sha256(cloudpickle.dumps(factory)).hexdigest(), factory)
+
+
+def _load(keyed):
+    """In a task: the worker's model, or None where none was asked for. An error of a factory or a model fails the task
+    (and is not kept: the next task tries again): a score that could not be made is never returned as a neutral one."""
+    if keyed is None:
+        return None
+    key, factory = keyed
+    model = _LOADED.pop(key, None) or factory()
+    while len(_LOADED) >= MODELS_KEPT:
+        _LOADED.pop(next(iter(_LOADED)))
+    _LOADED[key] = model
+    return model
 
 
 def probability_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: ScorerFactory | None,
@@ -55,9 +74,10 @@ def probability_scores(df: DataFrame, key_cols: list[str], text_col: str, factor
     src = df.select(*key_cols, text_col)
     src = spread(src)
     schema = T.StructType([src.schema[k] for k in key_cols] + [T.StructField(out_col, T.DoubleType())])
+    wanted = _keyed(factory)
 
     def run(batches):
-        model = _load(factory)
+        model = _load(wanted)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             scores = np.zeros(len(texts))
@@ -97,9 +117,10 @@ def irony_scores(df: DataFrame, key_cols: list[str], text_col: str, factory: Sco
     src = spread(src)
     schema = T.StructType([src.schema[k] for k in key_cols] + [
         T.StructField("sarcasm_label", T.StringType()), T.StructField("sarcasm_score", T.DoubleType())])
+    wanted = _keyed(factory)
 
     def run(batches):
-        model = _load(factory)
+        model = _load(wanted)
         for pdf in batches:
             texts = pdf["_text"].fillna("").astype(str).tolist()
             labels = ["UNKNOWN"] * len(texts)
@@ -124,8 +145,10 @@ def rescored(df: DataFrame, text_col: str, model: ScorerFactory | None, irony: S
     schema = T.StructType([*src.schema.fields, T.StructField(names[0], T.DoubleType()),
                            T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
 
+    wanted = _keyed(model), _keyed(irony)
+
     def run(batches):
-        score, judge = _load(model), _load(irony)
+        score, judge = (_load(w) for w in wanted)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             mean, labels, sure = np.zeros(len(texts)), ["UNKNOWN"] * len(texts), np.zeros(len(texts))

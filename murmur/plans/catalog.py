@@ -828,6 +828,22 @@ def q_model_results(spark: SparkSession, sf: str) -> DataFrame:
 # Blocked windows (very long series): same answers as the plain windows, checked by the
 # same SQL. 500-row blocks, 48-row halo.
 # ---------------------------------------------------------------------------------------
+@register("least_squares", f"""
+WITH f AS (SELECT illiquidity * 1e9 AS y, "return" AS a, volume AS b FROM ({ORACLE['liquidity_features']})),
+c AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb,
+        covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, covar_pop(y, y) AS yy, count(*) AS n FROM f),
+s AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c)
+SELECT 'intercept' AS term, {r_sql('my - ca * ma - cb * mb', 6)} AS value FROM s
+UNION ALL SELECT 'return', {r_sql('ca', 6)} FROM s UNION ALL SELECT 'volume', {r_sql('cb', 6)} FROM s
+UNION ALL SELECT 'r2', {r_sql('(ca * ay + cb * byy) / yy', 6)} FROM s UNION ALL SELECT 'rows', CAST(n AS DOUBLE) FROM s""")
+def q_least_squares(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: least squares of the scaled illiquidity on return and volume, against Cramer's rule."""
+    features = QUERIES["liquidity_features"](spark, sf).withColumn("y", F.col("illiquidity") * 1e9)
+    fit = ml.least_squares(features, ["return", "volume"], "y")
+    values = [("intercept", fit.intercept), *fit.coefficients.items(), ("r2", fit.r2), ("rows", float(fit.rows))]
+    return spark.createDataFrame(values, "term string, value double").select("term", rnd("value", 6))
+
+
 @register("liquidity_features_blocked", ORACLE["liquidity_features"])
 def q_liquidity_features_blocked(spark: SparkSession, sf: str) -> DataFrame:
     """W9 as blocked windows: per-(symbol, block) windows + halo, distributed median."""
