@@ -91,8 +91,10 @@ def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | N
         F.coalesce(F.sum("_ptotal").over(gw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff"),
         F.sum("_ptotal").over(Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1)))
         .alias("_group_total"))
-    # offs holds at most (#partitions + #groups) rows
-    out = local.join(bounded_broadcast(offs), ["_pid", *group_cols], "inner")
+    # offs holds at most (#partitions + #groups) rows; NULL is a group like any other
+    offs = offs.withColumnsRenamed({c: f"_o_{c}" for c in ["_pid", *group_cols]})
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) if c in group_cols else F.col(c) == F.col(f"_o_{c}") for c in ["_pid", *group_cols]]
+    out = local.join(bounded_broadcast(offs), same, "inner").drop(*(f"_o_{c}" for c in ["_pid", *group_cols]))
     out = out.withColumn(out_col, (F.col("_local") + F.col("_poff")).cast(acc_type))
     drop = ["_pid", "_local", "_poff"] + (["_w1"] if weight_col is None else [])
     return out.drop(*drop)

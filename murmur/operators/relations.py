@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from murmur.functions.numeric import engagement
@@ -26,6 +28,42 @@ def ensure_link_id(comments: DataFrame, parity: bool = False) -> DataFrame:
     return comments.withColumn("link_id", normalise_link_id(raw, parity))
 
 
+#: A link id is hot from one in so many comments on; the sketch tracks more values than can be hot.
+HOT_SHARE, TRACKED = 500, 8192
+
+
+def hot_links(links: DataFrame, column: str = "link_id", share: int = HOT_SHARE) -> list[str]:
+    """The values that hold one in ``share`` of all rows or more (so ``share`` of them at most), by a mergeable
+    frequent-items sketch in one aggregation; its counts are off by a few in ``TRACKED`` of the rows."""
+    got = links.agg(F.count(column).alias("n"), F.expr(f"approx_top_k({column}, {share}, {TRACKED})").alias("top")).first()
+    return sorted(x["item"] for x in got["top"] or [] if x["item"] is not None and x["count"] * share >= got["n"])
+
+
+def relation_of_skewed(posts: DataFrame, comments: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """:func:`relation` (default mode) for links that hold much of all comments, whatever the session's settings. Comments
+    without a link have no parent and meet no join; the posts of hot links, ``share`` rows at most, are broadcast to
+    their comments where these lie; what is left is shuffled and has no key of one in ``share`` rows."""
+    c = ensure_link_id(comments)
+    p = unique_by(posts, "id")
+    hot = hot_links(c.select("link_id"), share=share)
+    is_hot = lambda name: F.col(name).isin(hot) if hot else F.lit(False)
+    some = c.where(F.col("link_id").isNotNull())
+    nobody = p.where(F.lit(False))
+    return functools.reduce(DataFrame.unionByName, (
+        _linked(some.where(~is_hot("link_id")), p),
+        _linked(some.where(is_hot("link_id")), F.broadcast(p.where(is_hot("id")))),
+        _linked(c.where(F.col("link_id").isNull()), F.broadcast(nobody))))
+
+
+def _linked(c: DataFrame, p: DataFrame) -> DataFrame:
+    overlap = set(c.columns) & set(p.columns)
+    c2 = c.select(*[F.col(x).alias(f"{x}_comment" if x in overlap else x) for x in c.columns])
+    p2 = p.select(*[F.col(x).alias(f"{x}_post" if x in overlap else x) for x in p.columns])
+    left = "link_id_comment" if "link_id" in overlap else "link_id"
+    rel = c2.join(p2, c2[left] == p2["id_post"], "left")
+    return rel.withColumn("has_parent_post", F.col("id_post").isNotNull())
+
+
 def relation(posts: DataFrame, comments: DataFrame, parity: bool = False, salt: int | None = None) -> DataFrame:
     """J1 + P11: every comment with its parent post (LEFT), overlapping names suffixed
     ``_comment`` / ``_post``; ``has_parent_post``.

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmur import config
 from murmur.functions.numeric import safe_ratio
+from murmur.session import ensure_checkpoint_dir
 
 PHI = (1.0 + math.sqrt(5.0)) / 2.0
 _R = -1.0 / (PHI * PHI)            # psi / phi
@@ -47,10 +48,13 @@ def rolling_mean(c: str, w, n: int) -> Column:
 
 def features(df: DataFrame, keys="symbol", order="date", price="close", volume="volume",
              sentiment: str | None = "avg_sentiment", drop_incomplete: bool = True,
-             passes: int = 1, block_rows: int | None = None) -> DataFrame:
+             passes: int = 1, block_rows: int | None = None, median: str = "exact") -> DataFrame:
     """Return, 7-row volatility, Amihud illiquidity, 30-row turnover, sentiment lags,
     volatility regime against the per-symbol median; then drop incomplete rows (P4).
 
+    ``median="sketch"`` takes the median from a mergeable quantile sketch (:func:`sketched_median`): no task holds a
+    symbol's values.
+
     ``passes=2`` reproduces the original main flow, which applies the bundle twice.
     ``block_rows`` switches to blocked windows for very long series (see
     :func:`blocked_apply`); results are identical."""
@@ -58,9 +62,9 @@ def features(df: DataFrame, keys="symbol", order="date", price="close", volume="
     out = df
     for _ in range(max(1, passes)):
         if block_rows:
-            out = _features_blocked(out, keys, order, price, volume, sentiment, drop_incomplete, block_rows)
+            out = _features_blocked(out, keys, order, price, volume, sentiment, drop_incomplete, block_rows, median)
         else:
-            out = _features_once(out, keys, order, price, volume, sentiment, drop_incomplete)
+            out = _features_once(out, keys, order, price, volume, sentiment, drop_incomplete, median)
     return out
 
 
@@ -89,13 +93,37 @@ def _regime(vol: Column, med: Column) -> Column:
     return F.when(vol > med, F.lit("High Volatility")).otherwise(F.lit("Low Volatility"))
 
 
-def _features_blocked(df, keys, order, price, volume, sentiment, drop_incomplete, block_rows):
+#: Size of the quantile sketch: ranks are off by 1.33 % of the rows at most, with 99 % confidence, whatever their number.
+SKETCH_K, RANK_ERROR = 200, 0.0133
+
+
+def sketched_median(df: DataFrame, value: str, keys: list[str], k: int = SKETCH_K) -> DataFrame:
+    """A7 at scale: ``keys, _med, _med_rows``: a value whose rank is within ``RANK_ERROR`` (for the default ``k``) of the
+    middle. Tasks send a sketch of bounded size per key on; sketches merge."""
+    sketch = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_double(value, F.lit(k)).alias("_kll"))
+    return sketch.select(*keys, F.kll_sketch_get_quantile_double("_kll", F.lit(0.5)).alias("_med"), F.kll_sketch_get_n_double("_kll").alias("_med_rows"))
+
+
+def _with_regime(df, medians, keys):
+    """Each row's regime by its key's median; NULL keys are a key. One row a key: AQE broadcasts it from its measured size."""
+    renamed = medians.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), "_med")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    out = df.join(renamed, same, "left").withColumn("market_regime", _regime(F.col("volatility_7d"), F.col("_med")))
+    return out.drop("_med", *(f"_k{i}" for i in range(len(keys))))
+
+
+def _features_blocked(df, keys, order, price, volume, sentiment, drop_incomplete, block_rows, median="exact"):
     from murmur.operators.ordering import exact_quantiles
     win = blocked_apply(df, keys, order[0],
                         lambda d, pk: _window_features(d, pk, order, price, volume, sentiment), block_rows)
-    med = exact_quantiles(win, "volatility_7d", [0.5], keys).select(*keys, F.col("value").alias("_med"))
-    out = win.join(med, keys, "left").withColumn("market_regime", _regime(F.col("volatility_7d"), F.col("_med")))
-    out = out.drop("_med")
+    # the windows are computed once; the median and the rows both read the stored result
+    ensure_checkpoint_dir(df.sparkSession)
+    win = win.checkpoint(eager=True)
+    if median == "sketch":
+        med = sketched_median(win, "volatility_7d", keys)
+    else:
+        med = exact_quantiles(win, "volatility_7d", [0.5], keys).select(*keys, F.col("value").alias("_med"))
+    out = _with_regime(win, med, keys)
     return out.na.drop("any") if drop_incomplete else out
 
 
@@ -124,8 +152,11 @@ def blocked_apply(df: DataFrame, keys: list[str], order: str, fn, block_rows: in
     return out if index_col else out.drop(idx_col)
 
 
-def _features_once(df, keys, order, price, volume, sentiment, drop_incomplete):
+def _features_once(df, keys, order, price, volume, sentiment, drop_incomplete, median="exact"):
     step2 = _window_features(df, keys, order, price, volume, sentiment)
+    if median == "sketch":
+        step3 = _with_regime(step2, sketched_median(step2, "volatility_7d", keys), keys)
+        return step3.na.drop("any") if drop_incomplete else step3
     # A7 + W6: exact median per symbol over the same window partitioning (no new exchange).
     med = F.median("volatility_7d").over(Window.partitionBy(*keys))
     step3 = step2.withColumn("market_regime", _regime(F.col("volatility_7d"), med))

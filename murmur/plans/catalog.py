@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmur import config as _cfg
 from murmur.functions.labels import five_class, three_class
-from murmur.operators import clean, lexicon as lex, ml, ordering, relations, rollups, scoring, stats, textchunks
+from murmur.operators import affine, clean, lexicon as lex, ml, ordering, relations, rollups, scoring, stats, textchunks
 from murmur.operators import timeseries as ts
 from murmur.session import shared_scratch_path, ship_package
 from murmur.sources import tables as tb
@@ -980,4 +980,56 @@ def q_post_comment_relation_salted(spark: SparkSession, sf: str) -> DataFrame:
                       "has_parent_post")
 
 
+_HOT_COMMENTS = f"""
+SELECT * REPLACE (CASE WHEN CAST(link_id AS BIGINT) % 7 = 0 THEN NULL WHEN CAST(link_id AS BIGINT) % 3 = 0
+                       THEN (SELECT CAST(min(o_orderkey) AS VARCHAR) FROM orders) ELSE link_id END AS link_id) FROM ({COMMENTS_SQL})"""
+
+
+@register("post_comment_relation_skewed", ORACLE["post_comment_relation"].replace(COMMENTS_SQL, _HOT_COMMENTS))
+def q_post_comment_relation_skewed(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 with a third of all comments on one post and a seventh on none."""
+    posts, comments = _posts(spark, sf), _comments(spark, sf, with_body=False)
+    one = F.concat(F.lit("t3_"), F.lit(posts.agg(F.min(F.col("id").cast("long"))).first()[0]).cast("string"))
+    key = F.regexp_replace("link_id", "^t3_", "").cast("long")
+    skewed = comments.withColumn("link_id", F.when(key % 7 == 0, None).when(key % 3 == 0, one).otherwise(F.col("link_id")))
+    rel = relations.relation_of_skewed(posts, skewed)
+    return rel.select("id_comment", "link_id", "id_post", "title", "author_comment", "author_post",
+                      "has_parent_post")
+
+
+@register("median_sketch", f"""
+SELECT symbol, count(*) AS rows, true AS within FROM ({ORACLE['liquidity_features']}) GROUP BY symbol""")
+def q_median_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 by the mergeable sketch: the rank of each symbol's sketched median is within the stated error of the middle."""
+    rows = pinned(ts.features(tb.bars_from_lineitem(tb.load(spark, sf, "lineitem")), sentiment=None))
+    med = ts.sketched_median(rows, "volatility_7d", ["symbol"])
+    below = rows.join(med, "symbol").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg((F.col("volatility_7d") < F.col("_med")).cast("int")).alias("lo"),
+        F.avg((F.col("volatility_7d") <= F.col("_med")).cast("int")).alias("hi"))
+    error = F.lit(ts.RANK_ERROR)
+    return below.select("symbol", "rows", ((F.col("lo") <= 0.5 + error) & (F.col("hi") >= 0.5 - error)).alias("within"))
+
+
+GAPS_Q, GAPS_R = 0.3, 2.0
+
+
+@register("kalman_gaps", f"""
+WITH RECURSIVE bars AS (SELECT symbol, date, CASE WHEN dayofyear(date) % 9 < 2 THEN NULL ELSE close END AS close FROM ({BARS_SQL})),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS t FROM bars
+      WHERE date >= (SELECT min(date) FROM bars f WHERE f.symbol = bars.symbol AND f.close IS NOT NULL)),
+k AS (SELECT symbol, t, close AS x, CAST({GAPS_R} / (1 + {GAPS_R}) AS DOUBLE) AS p FROM b WHERE t = 1
+      UNION ALL
+      SELECT b.symbol, b.t, CASE WHEN close IS NULL THEN x ELSE x + (p + {GAPS_Q}) / (p + {GAPS_Q} + {GAPS_R}) * (close - x) END,
+        CASE WHEN close IS NULL THEN p + {GAPS_Q} ELSE {GAPS_R} * (p + {GAPS_Q}) / (p + {GAPS_Q} + {GAPS_R}) END
+      FROM k JOIN b ON b.symbol = k.symbol AND b.t = k.t + 1)
+SELECT symbol, date, {r_sql('x', 6)} AS kalman_close
+FROM bars LEFT JOIN (SELECT symbol, date, x FROM b JOIN k USING (symbol, t)) USING (symbol, date)""")
+def q_kalman_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """W7 as an associative scan over range partitions: closes missing for two days in nine, other noises than 1."""
+    bars = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
+    bars = bars.withColumn("close", F.when(F.dayofyear("date") % 9 < 2, None).otherwise(F.col("close")))
+    out = affine.kalman_scan(bars, transition_noise=GAPS_Q, observation_noise=GAPS_R, num_partitions=11)
+    return out.select("symbol", "date", rnd("kalman_close", 6))
+
+
 from murmur.plans import deliveries  # noqa: E402,F401 - registers its queries
