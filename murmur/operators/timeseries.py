@@ -215,15 +215,20 @@ def kalman_features(df: DataFrame, keys="symbol", order="date", value="close",
 
 
 def chronological_split(df: DataFrame, keys="symbol", order="date",
-                        test_fraction: float = config.TEST_FRACTION) -> DataFrame:
+                        test_fraction: float = config.TEST_FRACTION, ranged: bool = False) -> DataFrame:
     """Per series, the last ceil(f*n) rows are test rows (``is_test``); no shuffle of rows
-    across series, exact unlike ``randomSplit``."""
+    across series, exact unlike ``randomSplit``. ``ranged`` numbers the rows by range partitions, for series that are no
+    single task's work; ``keys`` + ``order`` should then be unique."""
     keys, order = _list(keys), _list(order)
+    n_test = lambda n: F.ceil(n * F.lit(test_fraction))  # noqa: E731 - same double arithmetic as the original split
+    if ranged:
+        from murmur.operators.ordering import range_prefix
+        n = F.col("_group_total")
+        return (range_prefix(df, order, keys, None, "_before").withColumn("is_test", F.col("_before") >= n - n_test(n))
+                .drop("_before", "_group_total"))
     w = _w(keys, order)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rn = F.row_number().over(w)
-    n_test = F.ceil(n * F.lit(test_fraction))  # same double arithmetic as the original split
-    return df.withColumn("is_test", rn > n - n_test)
+    return df.withColumn("is_test", F.row_number().over(w) > n - n_test(n))
 
 
 def lag_points(features_df: DataFrame, x: str = "sentiment_lag_1", y: str = "illiquidity") -> DataFrame:

@@ -499,7 +499,16 @@ SELECT symbol, count(*) FILTER (WHERE rn <= n - ceil(n * 0.2)) AS n_train,
 FROM s GROUP BY symbol""")
 def q_chronological_split(spark: SparkSession, sf: str) -> DataFrame:
     """Per-symbol chronological 80/20 split (test = last ceil(0.2 n) rows)."""
-    s = ts.chronological_split(_market_social(spark, sf))
+    return _split_summary(ts.chronological_split(_market_social(spark, sf)))
+
+
+@register("chronological_split_ranged", ORACLE["chronological_split"])
+def q_chronological_split_ranged(spark: SparkSession, sf: str) -> DataFrame:
+    """O5 for long series: the same split, its rows numbered over range partitions."""
+    return _split_summary(ts.chronological_split(_market_social(spark, sf), ranged=True))
+
+
+def _split_summary(s: DataFrame) -> DataFrame:
     return s.groupBy("symbol").agg(F.count_if(~F.col("is_test")).alias("n_train"),
                                    F.count_if(F.col("is_test")).alias("n_test"),
                                    F.min(F.when(F.col("is_test"), F.col("date"))).alias("first_test_date"))
@@ -1032,4 +1041,60 @@ def q_kalman_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "date", rnd("kalman_close", 6))
 
 
+# ---------------------------------------------------------------------------------------
+# The day-level score through its joins, and a predictor that SQL can compute
+# ---------------------------------------------------------------------------------------
+_DAY_SCORES_SQL = f"SELECT date, {MEAN_SHARES} AS day_score FROM ({CHUNKS_SQL}) GROUP BY date"
+
+
+@register("daily_scored_social", f"""
+WITH scored AS ({lexicon_scores_sql(DOC_ITEMS_SQL, ', items.date, items.score')}), d AS ({_DAY_SCORES_SQL}),
+items AS (SELECT s.*, d.day_score FROM scored s LEFT JOIN d USING (date))
+SELECT date, {r_sql('avg(vader)', 9)} AS avg_sentiment, {r_sql('avg(score)', 6)} AS avg_score, count(*) AS item_count,
+       {r_sql('avg(items.day_score)', 9)} AS item_day_score, {r_sql('any_value(d.day_score)', 9)} AS finbert_sentiment
+FROM items JOIN d USING (date) GROUP BY date""")
+def q_daily_scored_social(spark: SparkSession, sf: str) -> DataFrame:
+    """A day score that moves with the text, joined to the items, averaged again per day, and joined to the day."""
+    items = tb.documents_as_items(tb.load(spark, sf, "documents"))
+    daily = scoring.daily_model_scores(textchunks.daily_chunks(items), scoring.letter_factory)
+    scored = lex.score_items(items, lex.lexicon_frame(spark), "item_id", keep=["date", "score"])
+    scored = rollups.attach_daily(scored, daily.withColumnRenamed("finbert_sentiment", "finbert"), "finbert")
+    days = rollups.daily_social(scored).withColumnRenamed("finbert_sentiment", "item_day_score")
+    return rollups.social_table(days, daily, None).select("date", rnd("avg_sentiment", 9), rnd("avg_score", 6), "item_count", rnd("item_day_score", 9), rnd("finbert_sentiment", 9))
+
+
+@register("rescored_market", f"""
+WITH bars AS ({EVENT_BARS_SQL}), d AS ({_DAY_SCORES_SQL.replace(CHUNKS_SQL, CHUNKS_SQL.replace(DOC_ITEMS_SQL, f"SELECT * FROM ({DOC_ITEMS_SQL}) WHERE day(date) % 4 <> 0"))}),
+m AS (SELECT symbol, date, {r_sql('coalesce(day_score, 0)', 9)} AS finbert_sentiment FROM bars LEFT JOIN d USING (date))
+SELECT *, (SELECT count(*) FROM m WHERE finbert_sentiment <> 0) AS non_zero FROM m""")
+def q_rescored_market(spark: SparkSession, sf: str) -> DataFrame:
+    """A stale day score replaced for the dates of the market table; days without a text get 0."""
+    merged = tb.bars_from_events(tb.load(spark, sf, "events")).withColumn("finbert_sentiment", F.lit(-1.0))
+    items = tb.documents_as_items(tb.load(spark, sf, "documents")).where(F.dayofmonth("date") % 4 != 0)
+    out = pipelines.rescore_daily(merged.withColumn("avg_sentiment", F.lit(0.0)), items, scoring.letter_factory)
+    some = out["summary"].select("non_zero").first()[0]
+    return out["merged"].select("symbol", "date", rnd("finbert_sentiment", 9)).withColumn("non_zero", F.lit(some))
+
+
+@register("least_squares_results", f"""
+WITH f AS (SELECT symbol, date, illiquidity * 1e9 AS y, "return" AS a, volume AS b,
+             row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM ({ORACLE['liquidity_features']})),
+c AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb,
+        covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM f WHERE rn <= n - ceil(n * 0.2)),
+s AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c),
+p AS (SELECT y AS actual, my - ca * ma - cb * mb + ca * a + cb * b AS predicted, y AS constant FROM f, s WHERE rn > n - ceil(n * 0.2)),
+l AS (SELECT 'linear_regression' AS model, actual, predicted FROM p UNION ALL SELECT 'no_change', actual, actual FROM p)
+SELECT model, {r_sql('avg(abs(actual - predicted))', 6)} AS mae, {r_sql('sqrt(avg((actual - predicted) ** 2))', 6)} AS rmse,
+       {r_sql('1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*))', 6)} AS r2
+FROM l GROUP BY model""")
+def q_least_squares_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Least squares on the first 80 % of each series, judged on the last 20 %, beside the perfect one."""
+    features = QUERIES["liquidity_features"](spark, sf).withColumn("y", F.col("illiquidity") * 1e9)
+    split = pinned(ts.chronological_split(features))
+    fit = ml.least_squares(split.where(~F.col("is_test")), ["return", "volume"], "y")
+    preds = split.where("is_test").select(F.col("y").alias("actual"), fit.predict().alias("linear_regression"), F.col("y").alias("no_change"))
+    return ml.model_results(preds, ("linear_regression", "no_change")).select("model", rnd("mae", 6), rnd("rmse", 6), rnd("r2", 6))
+
+
+from murmur.plans import pipelines  # noqa: E402 - its modules need none of the above
 from murmur.plans import deliveries  # noqa: E402,F401 - registers its queries
