@@ -20,7 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode categories L* stands in the text (fractions, exponents and other numbers are none)."""
+    return LETTER.search(text) is not None or not text.isascii() and any(map(str.isalpha, text))
+
+
 #: ASCII bytes that are no letters become spaces.
 KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SIZES = (3, 4)
@@ -134,7 +141,7 @@ def identify(
             predict_cache.of, predict_cache.log = p, np.log(p)
         pred, score, sets = [], [], []
         for t in texts.to_pylist():
-            if not t or not names or not LETTER.search(t):
+            if not t or not names or not has_letter(t):
                 pred.append("und"), score.append(0.0), sets.append([])
                 continue
             mix = infer(grams(t, buckets), p, predict_cache.log, penalty)
