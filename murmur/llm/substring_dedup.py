@@ -244,7 +244,7 @@ def _cut_segments(window: int):
 def _search_shard(window: int):
     def search(t: pa.Table) -> pa.Table:
         ah, sh, off, mult = (t.column(c).to_numpy() for c in ("ah", "sh", "off", "mult"))
-        order = np.lexsort((off, sh, ah))  # equal document rows send a segment more than once
+        order = np.lexsort((off, sh, ah))  # a replayed batch may send a segment more than once
         one = order[np.append(True, (np.diff(ah[order]) != 0) | (np.diff(sh[order]) != 0) | (np.diff(off[order]) != 0))]
         words = t.column("words").take(pa.array(one)).to_pylist()
         found = repeated([w.split() for w in words], mult[one], window)
@@ -306,12 +306,14 @@ def substring_dedup(
     one = pinned(one.select("ah", "sh", "mult", "r.*"), "distinct")
     hot = one.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > hot_segments).select("ah", F.lit(True).alias("hot"))
     marked = one.join(hot, "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = marked.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("s", "n", "ah", "sh", "mult", "hot")).alias("segs"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
-    cut = rows.join(by_doc, same).select("t", "segs").mapInArrow(_cut_segments(window), "k long, ah long, sh long, off long, mult long, words binary, hot boolean")
+    # rows equal in id and text are one text here, however many they are; the key is never null, so grouping and join share a shuffle
+    key = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("")).alias("dk")
+    by_doc = marked.groupBy(key, "th").agg(F.collect_list(F.struct("s", "n", "ah", "sh", "mult", "hot")).alias("segs"))
+    texts = rows.groupBy(key, "th").agg(F.first("t").alias("t"))
+    cut = texts.join(by_doc, ["dk", "th"]).select("t", "segs").mapInArrow(_cut_segments(window), "k long, ah long, sh long, off long, mult long, words binary, hot boolean")
     words = marked.agg(F.sum(F.when(F.col("hot"), F.col("n") * window).otherwise(F.col("n") + window - 1))).first()[0] or 0
     shard = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-words // shard_words)))).alias("shard")
-    # equal document rows send a window more than once: each place counts once, then equal windows become one row
+    # each place counts once, then equal windows become one row
     places = cut.where("hot").groupBy("k", "words", "ah", "sh", "off").agg(F.max("mult").alias("mult"))
     places = pinned(places.withColumn("wh", F.xxhash64("words")), "windows")
     summed = places.groupBy("k", "words", "wh").agg(F.sum("mult").alias("mult"))
@@ -322,8 +324,9 @@ def substring_dedup(
     again = found.where("hot").select(F.col("ah").alias("k"), F.col("sh").alias("wh"))
     again = places.join(again, ["k", "wh"]).select("ah", "sh", F.col("off").alias("a"), (F.col("off") + 1).alias("z"))
     found = found.where("NOT hot").drop("hot").unionByName(again)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
     spans = occ.join(found, ["ah", "sh"]).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-        F.collect_list(F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("z")).alias("z"))).alias("spans")
+        F.collect_set(F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("z")).alias("z"))).alias("spans")
     )
     out = rows.join(spans, same, "left").select("doc_id", "t", "spans")
     return out.mapInArrow(_remove(window, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", F.col("kept").cast("string"))
