@@ -838,19 +838,19 @@ def q_model_results(spark: SparkSession, sf: str) -> DataFrame:
 # same SQL. 500-row blocks, 48-row halo.
 # ---------------------------------------------------------------------------------------
 @register("least_squares", f"""
-WITH f AS (SELECT illiquidity * 1e9 AS y, "return" AS a, volume AS b FROM ({ORACLE['liquidity_features']})),
+WITH f AS (SELECT illiquidity AS y, "return" AS a, volume AS b FROM ({ORACLE['liquidity_features']})),
 c AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb,
         covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, covar_pop(y, y) AS yy, count(*) AS n FROM f),
 s AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c)
-SELECT 'intercept' AS term, {r_sql('my - ca * ma - cb * mb', 6)} AS value FROM s
-UNION ALL SELECT 'return', {r_sql('ca', 6)} FROM s UNION ALL SELECT 'volume', {r_sql('cb', 6)} FROM s
-UNION ALL SELECT 'r2', {r_sql('(ca * ay + cb * byy) / yy', 6)} FROM s UNION ALL SELECT 'rows', CAST(n AS DOUBLE) FROM s""")
+SELECT 'intercept' AS term, {r_sql('my - ca * ma - cb * mb', 9)} AS value FROM s
+UNION ALL SELECT 'return', {r_sql('ca', 9)} FROM s UNION ALL SELECT 'volume', {r_sql('cb', 9)} FROM s
+UNION ALL SELECT 'r2', {r_sql('(ca * ay + cb * byy) / yy', 9)} FROM s UNION ALL SELECT 'rows', CAST(n AS DOUBLE) FROM s""")
 def q_least_squares(spark: SparkSession, sf: str) -> DataFrame:
-    """M2: least squares of the scaled illiquidity on return and volume, against Cramer's rule."""
-    features = QUERIES["liquidity_features"](spark, sf).withColumn("y", F.col("illiquidity") * 1e9)
-    fit = ml.least_squares(features, ["return", "volume"], "y")
+    """M2: least squares of the illiquidity on return and volume, against Cramer's rule."""
+    features = QUERIES["liquidity_features"](spark, sf)
+    fit = ml.least_squares(features, ["return", "volume"], "illiquidity")
     values = [("intercept", fit.intercept), *fit.coefficients.items(), ("r2", fit.r2), ("rows", float(fit.rows))]
-    return spark.createDataFrame(values, "term string, value double").select("term", rnd("value", 6))
+    return spark.createDataFrame(values, "term string, value double").select("term", rnd("value", 9))
 
 
 @register("liquidity_features_blocked", ORACLE["liquidity_features"])
@@ -1077,23 +1077,23 @@ def q_rescored_market(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("least_squares_results", f"""
-WITH f AS (SELECT symbol, date, illiquidity * 1e9 AS y, "return" AS a, volume AS b,
+WITH f AS (SELECT symbol, date, illiquidity AS y, "return" AS a, volume AS b,
              row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM ({ORACLE['liquidity_features']})),
 c AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb,
         covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM f WHERE rn <= n - ceil(n * 0.2)),
 s AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c),
-p AS (SELECT y AS actual, my - ca * ma - cb * mb + ca * a + cb * b AS predicted, y AS constant FROM f, s WHERE rn > n - ceil(n * 0.2)),
+p AS (SELECT y AS actual, my - ca * ma - cb * mb + ca * a + cb * b AS predicted FROM f, s WHERE rn > n - ceil(n * 0.2)),
 l AS (SELECT 'linear_regression' AS model, actual, predicted FROM p UNION ALL SELECT 'no_change', actual, actual FROM p)
-SELECT model, {r_sql('avg(abs(actual - predicted))', 6)} AS mae, {r_sql('sqrt(avg((actual - predicted) ** 2))', 6)} AS rmse,
-       {r_sql('1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*))', 6)} AS r2
+SELECT model, {r_sql('avg(abs(actual - predicted))', 9)} AS mae, {r_sql('sqrt(avg((actual - predicted) ** 2))', 9)} AS rmse,
+       {r_sql('1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*))', 9)} AS r2
 FROM l GROUP BY model""")
 def q_least_squares_results(spark: SparkSession, sf: str) -> DataFrame:
     """Least squares on the first 80 % of each series, judged on the last 20 %, beside the perfect one."""
-    features = QUERIES["liquidity_features"](spark, sf).withColumn("y", F.col("illiquidity") * 1e9)
+    features = QUERIES["liquidity_features"](spark, sf).withColumn("y", F.col("illiquidity"))
     split = pinned(ts.chronological_split(features))
     fit = ml.least_squares(split.where(~F.col("is_test")), ["return", "volume"], "y")
     preds = split.where("is_test").select(F.col("y").alias("actual"), fit.predict().alias("linear_regression"), F.col("y").alias("no_change"))
-    return ml.model_results(preds, ("linear_regression", "no_change")).select("model", rnd("mae", 6), rnd("rmse", 6), rnd("r2", 6))
+    return ml.model_results(preds, ("linear_regression", "no_change")).select("model", rnd("mae", 9), rnd("rmse", 9), rnd("r2", 9))
 
 
 from murmur.plans import pipelines  # noqa: E402 - its modules need none of the above
