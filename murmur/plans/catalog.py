@@ -844,7 +844,7 @@ c AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, co
 s AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c)
 SELECT 'intercept' AS term, {r_sql('my - ca * ma - cb * mb', 9)} AS value FROM s
 UNION ALL SELECT 'return', {r_sql('ca', 9)} FROM s UNION ALL SELECT 'volume', {r_sql('cb', 9)} FROM s
-UNION ALL SELECT 'r2', {r_sql('(ca * ay + cb * byy) / yy', 9)} FROM s UNION ALL SELECT 'rows', CAST(n AS DOUBLE) FROM s""")
+UNION ALL SELECT 'r2', {r_sql('(ca * ay + cb * byy) / yy', 9)} FROM s UNION ALL SELECT 'rows', {r_sql('CAST(n AS DOUBLE)', 9)} FROM s""")
 def q_least_squares(spark: SparkSession, sf: str) -> DataFrame:
     """M2: least squares of the illiquidity on return and volume, against Cramer's rule."""
     features = QUERIES["liquidity_features"](spark, sf)
