@@ -168,11 +168,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, whole, drawn at their rates: one stays if a hash of its id, spread over [0, 1), is below its rate.
+    """The documents, whole, drawn at their rates: one stays if a hash of its id and text, spread over [0, 1), is below its rate.
 
-    A rate above 1 keeps the document once: the stage before left one of each group of copies, and this one adds none.
+    Rows equal in id and text share their rate and their draw; rows of one id, or without one, that differ in text are drawn
+    apart. A rate above 1 keeps the document once: the stage before left one of each group of copies, and this one adds none.
     """
-    rows, _ = mix(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("draw")), 11) / F.lit(float(1 << 53))
-    keep = rows.where(draw < F.col("rate")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    rows, _ = mix(docs.withColumn("_th", F.xxhash64("text")), table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"), keep=["doc_id", "_th"])
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "_th", F.lit("draw")), 11) / F.lit(float(1 << 53))
+    keep = rows.where(draw < F.col("rate")).select(F.col("doc_id").alias("_keep"), F.col("_th").alias("_text_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(keep["_keep"]) & (F.xxhash64(docs["text"]) == keep["_text_hash"])
+    return docs.join(keep, same, "left_semi")
