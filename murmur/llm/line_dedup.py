@@ -1,20 +1,27 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions only.
+"""Fuzzy line dedup by MinHash.
 
 A line's signature is the least value of each of ``bands * rows`` hash functions over all its overlapping character
 shingles. Lines that agree in all rows of a band are candidates. Candidates are verified by the exact Jaccard
 similarity of the same shingles, and linked ones are joined by distributed union-find; one line of each component is kept.
+Signatures and similarities are computed in Arrow batches; Spark deals, joins and groups the lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, pinned, table
+from .common import join_by_size, pinned, table
 from .components import components
 
-#: Leaders of a bucket in the second round; a bucket with more lines than ``FULL`` after it is dealt anew.
+#: Leaders of a bucket in the second round; a bucket with more lines than ``FULL`` after it is dealt anew by prefix tokens.
 LEADERS, FULL = 8, 2000
+#: Characters that are hashed at once, and shingles that are held as sets at once.
+BLOCK, HELD = 1 << 15, 1 << 20
 SPACE = " \t\n\x0b\x0c\r"
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -24,23 +31,121 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def band_keys(uniq: DataFrame, k: int, bands: int, rows: int, seed: int = 0) -> DataFrame:
-    """``id, keys``: the keys of the bands of each line (``id, line``, ids unique), by the hash functions from ``seed`` on. A shingle
-    is a row of its own, so the least values are plain aggregates in generated code; they stay in the partition that the ids were dealt to."""
-    each = uniq.select("id", F.explode(shingles(F.col("line"), k)).alias("s"))
-    hashed = each.select("id", F.xxhash64("s").alias("h"))
-    signed = hashed.groupBy("id").agg(*(F.min(F.xxhash64("h", F.lit(seed + i))).alias(f"m{i}") for i in range(bands * rows)))
-    return signed.select("id", F.array(*(F.xxhash64(F.lit(seed + b), *(f"m{b * rows + i}" for i in range(rows))) for b in range(bands))).alias("keys"))
-
-
-def shingles(line: Column, k: int) -> Column:
-    """All overlapping runs of k characters, each once; a shorter line is its own."""
-    return F.when(F.length(line) < k, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))))
-
-
-def similar(a: Column, b: Column, percent: int) -> Column:
-    """Whether the Jaccard similarity of two arrays of distinct shingles is ``percent`` or more, in whole numbers."""
-    return let(F.size(F.array_intersect(a, b)), lambda both: both * 100 >= (F.size(a) + F.size(b) - both) * percent)
+def _codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A mixed 64-bit code for each run of k characters of the joined lines, and where each line's own runs begin and end.
+    A shorter line is filled up to one run."""
+    lines = [x.ljust(k, "\0") for x in lines]
+    flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    code = np.zeros(len(flat) - k + 1, np.uint64)
+    for j in range(k):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + flat[j : len(flat) - k + 1 + j]
+    for shift in (32, 29):
+        code = (code ^ (code >> np.uint64(shift))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return code ^ (code >> np.uint64(32)), begin, begin + size - k + 1
+
+
+def _blocks(lines: list[str], k: int) -> Iterator[list[str]]:
+    """Runs of the lines of about ``BLOCK`` characters; a longer line is a block of its own."""
+    block, held = [], 0
+    for x in lines:
+        if block and held + len(x) > BLOCK:
+            yield block
+            block, held = [], 0
+        block.append(x)
+        held += max(k, len(x))
+    if block:
+        yield block
+
+
+def band_keys(uniq: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """``id, keys``: the keys of the bands of each line (``id, line``, ids unique)."""
+    factors = np.random.default_rng(0).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
+
+    def signed(lines: list[str]) -> np.ndarray:
+        code, begin, end = _codes(lines, k)
+        cuts = np.stack([begin, end], axis=1).ravel()[:-1]  # between a line's last run and the next line's first are runs of both
+        least = [np.minimum.reduceat(code * f, cuts)[::2] for f in factors]
+        keys = np.zeros((len(lines), bands), np.uint64)
+        for i, m in enumerate(least):
+            band = keys[:, i // rows]
+            keys[:, i // rows] = (band ^ (band >> np.uint64(31)) ^ m) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows)
+        return keys.view(np.int64)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column("line").to_pylist()
+            got = [signed(x) for x in _blocks(lines, k)]
+            keys = np.concatenate(got) if got else np.zeros((0, bands), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "keys"])
+
+    return uniq.select("id", "line").mapInArrow(sign, "id long, keys array<long>")
+
+
+def shingles(line: str, k: int) -> set[str]:
+    """All overlapping runs of k characters; a shorter line is its own."""
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
+def n_shingles(line: Column, k: int) -> Column:
+    """The number of different shingles of a line."""
+
+    @F.arrow_udf("long")
+    def count(lines: pa.Array) -> pa.Array:
+        return pa.array([len(shingles(x, k)) for x in lines.to_pylist()], pa.int64())
+
+    return count(line)
+
+
+def similar(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int) -> Column:
+    """Whether the Jaccard similarity of the shingles of two lines (``na`` and ``nb`` different ones) is ``percent`` or more, in
+    whole numbers. A pair ends as soon as too few shingles are left to be shared."""
+
+    @F.arrow_udf("boolean")
+    def judge(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        sets, held, out = {}, 0, []
+        for x, y, n, m in zip(a.to_pylist(), b.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True):
+            pair = []
+            for line, size in ((x, n), (y, m)):
+                if line not in sets:
+                    if held + size > HELD:
+                        sets, held = {}, 0
+                    sets[line] = shingles(line, k)
+                    held += size
+                pair.append(sets[line])
+            less, more = sorted(pair, key=len)
+            need = -(-percent * (n + m) // (100 + percent))  # both * 100 >= (n + m - both) * percent
+            miss = len(less) - need
+            for s in less:
+                if miss < 0:
+                    break
+                if s not in more:
+                    miss -= 1
+            out.append(miss >= 0)
+        return pa.array(out, pa.bool_())
+
+    return judge(a, b, na, nb)
+
+
+def prefix_tokens(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``id, token``: the rarest shingles (as codes; counted over ``texts``: ``id, line``, ids unique) of each line, so many that two
+    lines of a similarity of ``percent`` share one: of n, all but those that the least possible intersection leaves over."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                code, begin, end = _codes([line], k)
+                own = np.unique(code[begin[0] : end[0]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row, np.int64)), pa.array(own)], names=["id", "token"])
+
+    each = pinned(texts.select("id", "line").mapInArrow(tokens, "id long, token long"), "tokens")
+    often = pinned(each.groupBy("token").agg(F.count("*").alias("n")).withColumn("often", F.col("n")), "often")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ordered = join_by_size(each, often, ["token"], "n", total).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
+    size = F.size("t")
+    return ordered.select("id", F.explode(F.slice("t", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)).alias("t")).select("id", "t.token")
 
 
 def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) -> DataFrame:
@@ -49,8 +154,9 @@ def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) ->
     In each round some of a bucket's lines lead: they are held against all its other lines that are not yet in their
     component, linked ones included, and then leave. First the least and the greatest id lead, then about ``LEADERS`` lines, and four
     times as many in each further round. A bucket ends when its remaining lines are in one component, whatever other
-    buckets do; so each pair of a bucket is compared or already connected. Buckets that keep over ``FULL`` lines after the first
-    two rounds are dealt anew by ``bands`` further bands each, once, before the rounds go on.
+    buckets do; so each pair of a bucket is compared or already connected. The lines of buckets that keep over ``FULL`` lines after
+    the first two rounds are dealt anew, once, by their prefix tokens, before the rounds go on: similar lines share a token, so no
+    pair is lost, whatever ``FULL`` is.
     """
     uniq = found.select("id", "line").dropDuplicates(["id"])  # copies meet in tasks first
     keyed = pinned(band_keys(uniq, k, bands, rows), "signatures").select("id", F.explode("keys").alias("key"))
@@ -61,13 +167,13 @@ def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) ->
     two = ends.where("n = 2").select("lo", "hi")
     wanted = led.select("id").unionByName(two.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct()
     texts = found.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    texts = pinned(texts.withColumn("n", F.size(shingles(F.col("line"), k))), "lines")
+    texts = pinned(texts.withColumn("n", n_shingles(F.col("line"), k)), "lines")
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
 
     def held(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         sides = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)  # no others can be similar
-        ok = let(shingles(F.col("la"), k), lambda x: let(shingles(F.col("lb"), k), lambda y: similar(x, y, percent)))
+        ok = similar(F.col("la"), F.col("lb"), F.col("na"), F.col("nb"), k, percent)
         return pinned(sides.select("a", "b", ok.alias("ok")).where("ok").select("a", "b"), "held")
 
     every = held(led.select(F.col("id").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).unionByName(two.toDF("x", "y")))
@@ -82,8 +188,9 @@ def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) ->
             return every
         if leaders > LEADERS and not dealt:
             dealt, big = True, rest.where(F.col("n") > FULL)
-            further = band_keys(texts.join(big.select("id").distinct(), "id", "left_semi").select("id", "line"), k, bands, rows, bands * rows)
-            again = big.join(further, "id").select("id", "part", F.explode("keys").alias("f"), "key").select(F.xxhash64("key", "f").alias("key"), "id", "part")
+            big = big.select("id", "part").distinct()
+            again = prefix_tokens(texts.join(big, "id", "left_semi"), k, percent).join(big, "id")
+            again = again.select(F.xxhash64("token", F.lit("token")).alias("key"), "id", "part")
             again = again.join(again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
             rest = pinned(rest.where(F.col("n") <= FULL).unionByName(again.select("key", "id", "part", "n")), "dealt")
         # a line leads by its own hash, so no bucket is sorted; all lead where there are few
