@@ -48,14 +48,14 @@ def repeat_words(w: Column) -> Column:
     def places(s: Column) -> Column:
         same = lambda x, j: (F.get(s, j)["h"] == x["h"])
         marked = F.filter(s, lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
-        return F.array_sort(F.transform(marked, lambda x: x["i"]))
+        return F.sort_array(F.transform(marked, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         gap = F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(3)), F.lit(3)))
         return F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def counted(h: Column) -> Column:
-        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         some = let(let(placed, places), covered)
         return F.when(F.size(F.array_distinct(h)) < F.size(h), some).otherwise(F.lit(0).cast("long"))  # most texts repeat none
 
@@ -65,12 +65,11 @@ def repeat_words(w: Column) -> Column:
 def base_counts(text: Column) -> Column:
     """Struct of ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``; zeros for null."""
     full = F.coalesce(text, F.lit(""))
-    length = F.length(full).cast("long")
     lines = F.filter(F.split(full, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return let(words(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(full, SPACE, "")).cast("long").alias("word_chars"),
-        (length - F.length(F.translate(full, SYMBOLS, ""))).alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.when(full.rlike(f"[{SYMBOLS}]"), F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(w).alias("n_repeat_words"),
     ))
@@ -123,14 +122,16 @@ def quality(
     Null and empty texts have zero counts and fail the base rules. Null ids carry no label; repeated rows keep
     their rows and count as often as they stand. Without trusted rows all ratios have one smoothed target.
     """
-    ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha)  # at most ``size`` rows: 4 MB, whatever the corpus
+    ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha)
+    # the ratios by bucket become one constant array of ``size`` numbers (2 MB, whatever the corpus), looked up by place
+    placed = docs.sparkSession.range(size).join(ratio, F.col("id") == F.col("bucket"), "left")
+    placed = placed.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("llr", F.lit(0).cast("long")).alias("llr")))).alias("all"))
+    by_bucket = F.split(F.lit(placed.select(F.array_join(F.col("all.llr").cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
     names = keep or ["doc_id"]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *names, base_counts(F.col(text)).alias("_b"), F.col(text).alias("_t"))
-    grams = rows.select("_row", *names, "_b.*", F.explode_outer(let(words(F.col("_t")), lambda w: buckets(w, size))).alias("bucket"))
-    # a row's n-grams lie in one task: its sum is complete before the shuffle, which moves a few numbers a document
-    sums = grams.join(F.broadcast(ratio), "bucket", "left").groupBy("_row", *names, *BASE).agg(
-        F.coalesce(F.sum("llr"), F.lit(0)).alias("s"), F.count("bucket").alias("n")
-    )
+    grams = let(words(F.col(text)), lambda w: let(buckets(w, size), lambda g: F.struct(
+        F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, x)).alias("s"), F.size(g).cast("long").alias("n")
+    )))
+    sums = docs.select(*names, base_counts(F.col(text)).alias("_b"), grams.alias("_g")).select(*names, "_b.*", "_g.*")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     passed = F.col("s") >= F.col("n") * round(threshold * UNIT)
     mean = (F.col("s") / F.greatest(F.col("n"), F.lit(1)) / UNIT).alias("llr")
