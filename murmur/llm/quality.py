@@ -33,17 +33,22 @@ def _rest(w: Column, n: int) -> Column:
     return F.slice(w, F.lit(n + 1), F.greatest(F.size(w) - n, F.lit(0)))
 
 
-def buckets(w: Column, size: int) -> Column:
-    """Buckets of all words, then of all pairs of neighbours (``w`` must be a lambda's variable or a column)."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int"))
-    two = F.transform(_rest(w, 1), lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(size)).cast("int"))
+def hashes(w: Column) -> Column:
+    """A 64-bit hash of each word; n-grams are hashed from these, so a word's characters are read once."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def buckets(h: Column, size: int) -> Column:
+    """Buckets of all words, then of all pairs of neighbours, by the words' hashes (``h`` must be a lambda's variable or a column)."""
+    one = F.transform(h, lambda x: F.pmod(x, F.lit(size)).cast("int"))
+    two = F.transform(_rest(h, 1), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(size)).cast("int"))
     return F.concat(one, two)
 
 
-def repeat_words(w: Column) -> Column:
-    """Words that lie in 3-word windows found twice or more in the text, first included. The windows' hashes are
+def repeat_words(h: Column) -> Column:
+    """Words (given by their hashes) that lie in 3-word windows found twice or more in the text, first included. The windows' hashes are
     sorted with their places; equal neighbours are repeats; a window covers up to the next repeat's start."""
-    hashes = F.transform(_rest(w, 2), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
+    windows = F.transform(_rest(h, 2), lambda x, i: F.xxhash64(F.get(h, i), F.get(h, i + 1), x))
 
     def places(s: Column) -> Column:
         same = lambda x, j: (F.get(s, j)["h"] == x["h"])
@@ -59,20 +64,20 @@ def repeat_words(w: Column) -> Column:
         some = let(let(placed, places), covered)
         return F.when(F.size(F.array_distinct(h)) < F.size(h), some).otherwise(F.lit(0).cast("long"))  # most texts repeat none
 
-    return let(hashes, counted)
+    return let(windows, counted)
 
 
-def base_counts(text: Column) -> Column:
-    """Struct of ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``; zeros for null."""
+def base_counts(text: Column, w: Column, h: Column) -> list[Column]:
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of a text, its words and their hashes; zeros for null."""
     full = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(full, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    return let(words(text), lambda w: F.struct(
+    return [
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.when(full.rlike(f"[{SYMBOLS}]"), F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(w).alias("n_repeat_words"),
-    ))
+        repeat_words(h).alias("n_repeat_words"),
+    ]
 
 
 def mark(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def ratios(docs: DataFrame, labels: DataFrame, size: int, alpha: float) -> DataF
     The raw counts cover all documents, the target all trusted ones. Repeated label rows count once.
     """
     trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    grams = mark(docs, trusted).select("good", F.explode(let(words(F.col("text")), lambda w: buckets(w, size))).alias("bucket"))
+    grams = mark(docs, trusted).select("good", F.explode(let(hashes(words(F.col("text"))), lambda h: buckets(h, size))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     counts = pinned(counts, "ngrams")  # at most ``size`` rows
     total = counts.agg(F.sum("raw").alias("raw_n"), F.sum("good").alias("good_n"))
@@ -128,10 +133,12 @@ def quality(
     placed = placed.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("llr", F.lit(0).cast("long")).alias("llr")))).alias("all"))
     by_bucket = F.split(F.lit(placed.select(F.array_join(F.col("all.llr").cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
     names = keep or ["doc_id"]
-    grams = let(words(F.col(text)), lambda w: let(buckets(w, size), lambda g: F.struct(
-        F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, x)).alias("s"), F.size(g).cast("long").alias("n")
+    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, x))
+    judged = let(words(F.col(text)), lambda w: let(hashes(w), lambda h: F.struct(
+        *base_counts(F.col(text), w, h),
+        let(buckets(h, size), lambda g: F.struct(total(g).alias("s"), F.size(g).cast("long").alias("n"))).alias("g"),
     )))
-    sums = docs.select(*names, base_counts(F.col(text)).alias("_b"), grams.alias("_g")).select(*names, "_b.*", "_g.*")
+    sums = docs.select(*names, judged.alias("_b")).select(*names, *(F.col(f"_b.{c}") for c in BASE), "_b.g.s", "_b.g.n")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     passed = F.col("s") >= F.col("n") * round(threshold * UNIT)
     mean = (F.col("s") / F.greatest(F.col("n"), F.lit(1)) / UNIT).alias("llr")
