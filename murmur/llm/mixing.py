@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pinned, space_words, table
@@ -129,28 +129,39 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], to
 TARGETS = {"q1t0": 1.0, "q0t0": 0.02, "q1t1": 0.0, "q0t1": 0.0}
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``text, domain`` of at most about ``sample`` labelled documents, picked by a hash of their ids."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """``text, domain`` of at most about ``sample`` labelled ids, picked by a hash of the id, and at most ``sample_bytes`` of text.
+
+    An id gives one text, the one with the least hash, however many rows hold it; an id with several labels has the first domain
+    in order. Texts are taken in the order of their ids' hashes as long as the bytes of all up to them are within the bound.
+    """
     n = labels.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))
     domain = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain")
-    some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").where(part).select("doc_id", domain).dropDuplicates(["doc_id"])
+    some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").where(part).select("doc_id", domain)
+    some = some.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     # the sample is bounded, so it can go to all tasks and the texts stay where they are
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "domain")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    # copies and rows of one id meet in tasks first
+    one = pinned(texts.groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's ids and sizes only
+    within = one.select("doc_id", F.sum(F.octet_length("text")).over(order).alias("bytes")).where(F.col("bytes") <= sample_bytes)
+    return one.join(F.broadcast(within.select("doc_id")), "doc_id").select("text", "domain")
 
 
 def mix(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, learn_from: DataFrame | None = None,
     keep: list[str] | None = None, sample: int = 20_000, dims: int = 1 << 16, epochs: int = 4, steps: int = 40, pull: float = 0.01,
+    sample_bytes: int = 1 << 28,
 ) -> tuple[DataFrame, list]:
     """``doc_id, tokens, domain, p (posterior by domain), rate`` for each row of ``docs``, and the domains' token sums.
 
     ``targets`` are the domains' shares of the expected tokens, ``total`` those tokens (default: as many as there are). The classifier is
-    fitted on at most about ``sample`` labelled rows (a documented bound); everything else covers all rows. A null or empty
-    text has no tokens, the posterior of an empty document, and a rate like any other. Nothing labelled: one
+    fitted on one text each of at most about ``sample`` labelled ids and at most ``sample_bytes`` of them (documented bounds); everything
+    else covers all rows. A null or empty text has no tokens, the posterior of an empty document, and a rate like any other. Nothing labelled: one
     domain ``all`` and rates that meet the total. Null and repeated ids keep their rows; null labels are ignored.
     """
-    pairs = labelled(docs if learn_from is None else learn_from, labels, sample)
+    pairs = labelled(docs if learn_from is None else learn_from, labels, sample, sample_bytes)
     domains, w = fit_classifier(pairs, dims, epochs)
     if not domains:
         domains, w, targets = ["all"], np.zeros((dims + 1, 1), np.float32), {"all": 1.0}
