@@ -38,11 +38,14 @@ def hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
+def pairs(h: Column) -> Column:
+    """A hash of each pair of neighbours (``h``: the words' hashes; must be a lambda's variable or a column)."""
+    return F.transform(_rest(h, 1), lambda x, i: F.xxhash64(F.get(h, i), x))
+
+
 def buckets(h: Column, size: int) -> Column:
     """Buckets of all words, then of all pairs of neighbours, by the words' hashes (``h`` must be a lambda's variable or a column)."""
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(size)).cast("int"))
-    two = F.transform(_rest(h, 1), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(size)).cast("int"))
-    return F.concat(one, two)
+    return F.transform(F.concat(h, pairs(h)), lambda x: F.pmod(x, F.lit(size)).cast("int"))
 
 
 def repeat_words(h: Column) -> Column:
@@ -133,12 +136,11 @@ def quality(
     placed = placed.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("llr", F.lit(0).cast("long")).alias("llr")))).alias("all"))
     by_bucket = F.split(F.lit(placed.select(F.array_join(F.col("all.llr").cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
     names = keep or ["doc_id"]
-    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, x))
+    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, F.pmod(x, F.lit(size)).cast("int")))
     judged = let(words(F.col(text)), lambda w: let(hashes(w), lambda h: F.struct(
-        *base_counts(F.col(text), w, h),
-        let(buckets(h, size), lambda g: F.struct(total(g).alias("s"), F.size(g).cast("long").alias("n"))).alias("g"),
+        *base_counts(F.col(text), w, h), (total(h) + total(pairs(h))).alias("s"), F.greatest(2 * F.size(h) - 1, F.lit(0)).cast("long").alias("n"),
     )))
-    sums = docs.select(*names, judged.alias("_b")).select(*names, *(F.col(f"_b.{c}") for c in BASE), "_b.g.s", "_b.g.n")
+    sums = docs.select(*names, judged.alias("_b")).select(*names, *(F.col(f"_b.{c}") for c in BASE), "_b.s", "_b.n")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     passed = F.col("s") >= F.col("n") * round(threshold * UNIT)
     mean = (F.col("s") / F.greatest(F.col("n"), F.lit(1)) / UNIT).alias("llr")
