@@ -60,7 +60,7 @@ def _blocks(lines: list[str], k: int) -> Iterator[list[str]]:
 
 
 def band_keys(uniq: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``id, keys``: the keys of the bands of each line (``id, line``, ids unique)."""
+    """``id, line, keys``: the keys of the bands of each line (``id, line``, ids unique)."""
     factors = np.random.default_rng(0).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
 
     def signed(lines: list[str]) -> np.ndarray:
@@ -79,9 +79,9 @@ def band_keys(uniq: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             got = [signed(x) for x in _blocks(lines, k)]
             keys = np.concatenate(got) if got else np.zeros((0, bands), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("line"), lists], names=["id", "line", "keys"])
 
-    return uniq.select("id", "line").mapInArrow(sign, "id long, keys array<long>")
+    return uniq.select("id", "line").mapInArrow(sign, "id long, line string, keys array<long>")
 
 
 def shingles(line: str, k: int) -> set[str]:
@@ -101,7 +101,7 @@ def n_shingles(line: Column, k: int) -> Column:
 
 def similar(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int) -> Column:
     """Whether the Jaccard similarity of the shingles of two lines (``na`` and ``nb`` different ones) is ``percent`` or more, in
-    whole numbers. A pair ends as soon as too few shingles are left to be shared."""
+    whole numbers."""
 
     @F.arrow_udf("boolean")
     def judge(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
@@ -115,15 +115,8 @@ def similar(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int)
                     sets[line] = shingles(line, k)
                     held += size
                 pair.append(sets[line])
-            less, more = sorted(pair, key=len)
-            need = -(-percent * (n + m) // (100 + percent))  # both * 100 >= (n + m - both) * percent
-            miss = len(less) - need
-            for s in less:
-                if miss < 0:
-                    break
-                if s not in more:
-                    miss -= 1
-            out.append(miss >= 0)
+            both = len(pair[0] & pair[1])
+            out.append(both * 100 >= (n + m - both) * percent)
         return pa.array(out, pa.bool_())
 
     return judge(a, b, na, nb)
@@ -159,14 +152,15 @@ def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) ->
     pair is lost, whatever ``FULL`` is.
     """
     uniq = found.select("id", "line").dropDuplicates(["id"])  # copies meet in tasks first
-    keyed = pinned(band_keys(uniq, k, bands, rows), "signatures").select("id", F.explode("keys").alias("key"))
+    signed = pinned(band_keys(uniq, k, bands, rows), "signatures")  # lines beside their keys: the texts are split and made distinct once
+    keyed = signed.select("id", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo != hi")
     ends = pinned(ends, "ends")
     # two lines in a bucket are its leaders; only fuller buckets are joined to their lines
     led = pinned(keyed.join(ends.where("n > 2").select("key", "lo", "hi"), "key"), "buckets")
     two = ends.where("n = 2").select("lo", "hi")
     wanted = led.select("id").unionByName(two.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct()
-    texts = found.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = signed.select("id", "line").join(wanted, "id", "left_semi")
     texts = pinned(texts.withColumn("n", n_shingles(F.col("line"), k)), "lines")
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
 
@@ -214,7 +208,10 @@ def line_dedup(
     roots = components(line_links(found, k, bands, rows, percent), "a", "b", "lines").select(F.col("node").alias("id"), "root")
     at = F.struct("doc_id", "th", "line_no")
     placed = found.select("doc_id", "th", "line_no", "id").join(roots, "id", "left").select(at.alias("at"), F.coalesce("root", "id").alias("part"))
-    first = placed.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first")
+    placed = pinned(placed, "occurrences")
+    many = placed.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    placed = pinned(placed.join(many, "part", "left_semi"), "repeated")  # a line that is alone stays, whatever else there is
+    first = placed.groupBy("part").agg(F.min("at").alias("first"))
     gone = placed.join(first, "part").where(F.col("at") != F.col("first"))
     gone = gone.select("at.*").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")).cast("long")

@@ -26,7 +26,7 @@ def test_chains_in_one_bucket(spark, monkeypatch, full):
             if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
                 x, y = root[a], root[b]
                 root = [min(x, y) if z in (x, y) else z for z in root]
-    monkeypatch.setattr(line_dedup, "band_keys", lambda uniq, *_: uniq.select("id", F.array(F.lit(1).cast("long")).alias("keys")))
+    monkeypatch.setattr(line_dedup, "band_keys", lambda uniq, *_: uniq.select("id", "line", F.array(F.lit(1).cast("long")).alias("keys")))
     monkeypatch.setattr(line_dedup, "FULL", full, raising=False)
     got = line_dedup.line_dedup(frame(spark, ["\n".join(lines)])).first()
     assert list(got["removed"]) == [i for i in range(len(lines)) if root[i] != i]
