@@ -20,7 +20,7 @@ from murmur.functions.labels import five_class, three_class
 from murmur.operators import affine, clean, lexicon as lex, ml, ordering, relations, rollups, scoring, stats, textchunks
 from murmur.operators import timeseries as ts
 from murmur.session import shared_scratch_path, ship_package
-from murmur.sources import tables as tb
+from murmur.sources import files, tables as tb
 from murmur.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -770,11 +770,13 @@ def q_item_letter_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("incremental_irony", ORACLE["item_letter_labels"])
 def q_incremental_irony(spark: SparkSession, sf: str) -> DataFrame:
-    """The irony job as an availableNow stream over the documents file, exactly-once
-    into a versioned table under the shared checkpoint folder."""
+    """The irony job as an availableNow stream over the documents table (one file, or a folder of files),
+    exactly-once into a versioned table under the shared checkpoint folder."""
+    docs = f"{sf}/documents.parquet"
+    source, glob = (docs, "*") if files.is_folder(spark, docs) else (sf, "documents.parquet")
     out = incremental.incremental_irony(
-        spark, sf, shared_scratch_path(spark, "irony-sink"), shared_scratch_path(spark, "irony-ckpt"),
-        key_cols=["doc_id"], path_glob="documents.parquet", factory=scoring.letter_factory)
+        spark, source, shared_scratch_path(spark, "irony-sink"), shared_scratch_path(spark, "irony-ckpt"),
+        key_cols=["doc_id"], path_glob=glob, factory=scoring.letter_factory)
     return out.withColumnRenamed("doc_id", "item_id")
 
 

@@ -235,6 +235,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The whole of a small file; None where there is none."""
     fs, at = _file_system(spark, path)

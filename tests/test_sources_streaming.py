@@ -148,3 +148,16 @@ def test_read_lexicon_and_load_text(spark):
                                "created_utc double, body string")
     rows = files.load_text(df, "body").collect()
     assert [(str(r["date"]), r["text"]) for r in rows] == [("2023-11-14", "hi")]
+
+
+def test_incremental_irony_reads_a_table_of_one_file_and_of_many(spark):
+    from murmur.plans.catalog import QUERIES
+    rows = [(1, "eee"), (2, "ooo"), (3, None), (3, "eo"), (None, "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = QUERIES["item_letter_labels"]
+    one, many = _tmp(), _tmp()
+    docs.toPandas().astype({"doc_id": "Int64"}).to_parquet(f"{one}/documents.parquet", index=False)
+    docs.repartition(3).write.parquet(f"{many}/documents.parquet")
+    for sf in (one, many):
+        got = QUERIES["incremental_irony"](spark, sf).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want(spark, sf).collect())) and len(got) == len(rows)
