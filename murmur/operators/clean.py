@@ -43,7 +43,8 @@ def dedup(df: DataFrame, keys: list[str], order_by: str | list[str] | None = Non
     # without an order keep the smallest remaining row: deterministic under
     # recomputation, unlike dropDuplicates(keys)
     pick = first_by(order_by, rest) if order_by is not None else F.min(F.struct(*rest))
-    kept = df.groupBy(*keys).agg(pick.alias("_kept"))
+    # structs are aggregated by sorting: the keys' hash leads, so few comparisons get to the keys themselves
+    kept = df.groupBy(F.xxhash64(*keys).alias("_key_hash"), *keys).agg(pick.alias("_kept"))
     return kept.select(*keys, "_kept.*").select(*df.columns)
 
 

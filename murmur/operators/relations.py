@@ -89,7 +89,8 @@ def relation(posts: DataFrame, comments: DataFrame, parity: bool = False, salt:
         rel = c2.join(p2, (c2[left_key] == p2[right_key]) & (c2["_salt"] == p2["_salt"]), "left") \
             .drop(c2["_salt"]).drop(p2["_salt"])
     else:
-        rel = c2.join(p2, c2[left_key] == p2[right_key], "left")
+        # one row per id: the posts are the hash side and the comments need no sort. Repeated ids may all be one, so they are sorted
+        rel = c2.join(p2 if parity else p2.hint("shuffle_hash"), c2[left_key] == p2[right_key], "left")
     flag = F.col("title").isNotNull() if parity else F.col(right_key).isNotNull()
     return rel.withColumn("has_parent_post", flag)
 
@@ -111,7 +112,8 @@ def posts_with_counts(posts: DataFrame, counts: DataFrame) -> DataFrame:
 def orphans(posts: DataFrame, comments: DataFrame, parity: bool = False) -> DataFrame:
     """Comments with no parent post (anti join on the normalised key)."""
     c = ensure_link_id(comments, parity)
-    return c.join(posts.select(F.col("id").alias("_pid")).distinct(), c["link_id"] == F.col("_pid"), "left_anti")
+    ids = posts.select(F.col("id").alias("_pid")).distinct()
+    return c.join(ids.hint("shuffle_hash"), c["link_id"] == F.col("_pid"), "left_anti")
 
 
 def enrich_posts(posts: DataFrame, keywords=None, topics=None, topic_default=None,

@@ -134,3 +134,17 @@ def test_features_with_the_sketch_differ_in_the_regime_only(spark):
         a, b = ({(r["symbol"], r["date"]): r.asDict() for r in x.collect()} for x in (exact, sketch))
         other = sum(a[k].pop("market_regime") != b[k].pop("market_regime") for k in a)
         assert a == b and len(a) == 360 and other <= 360 * 2 * ts.RANK_ERROR + 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_comments_are_not_sorted_for_their_posts(spark):
+    posts = spark.createDataFrame([("1", "a"), ("2", None), (None, "x"), ("1", "b")], "id string, title string")
+    comments = spark.createDataFrame([("c1", "t3_1"), ("c2", "1"), ("c3", "t3_9"), ("c4", None), ("c5", "t3_t3_1"), ("c6", "t3_")], "id string, link_id string")
+    rel, lost = relations.relation(posts, comments), relations.orphans(posts, comments)
+    assert "ShuffledHashJoin" in _plan(rel) and "ShuffledHashJoin" in _plan(lost)
+    assert sorted((r["id_comment"], r["link_id"], r["title"]) for r in rel.collect()) == [
+        ("c1", "1", "a"), ("c2", "1", "a"), ("c3", "9", None), ("c4", None, None), ("c5", "t3_1", None), ("c6", "", None)]
+    assert sorted(r["id"] for r in lost.collect()) == ["c3", "c4", "c5", "c6"]
