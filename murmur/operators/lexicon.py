@@ -69,7 +69,7 @@ def _negated_flags(marks: Column, size: Column) -> Column:
     out = shifted[0]
     for sh in shifted[1:]:
         out = F.zip_with(out, sh, lambda a, b: a | b)
-    return out
+    return F.when(F.array_contains(marks, True), out).otherwise(marks)  # without a negator all marks are false, and so all flags
 
 
 def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str = "text",

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from murmur.operators.joins import bounded_broadcast
@@ -38,6 +40,14 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
     return max(min(par, shuffle), min(shuffle, want))
 
 
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether values differ, place by place; nulls are equal, and so are NaNs."""
+    unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(a.type):
+        unlike = unlike & ~pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+    return unlike | pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+
+
 def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
                  weight_col: str | None = None, out_col: str = "_before",
                  num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
@@ -59,28 +69,25 @@ def range_prefix(df: DataFrame, order_cols: list[str], group_cols: list[str] | N
     def local_sums(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        last_key, acc = None, 0
-        for pdf in batches:
-            if pdf.empty:
+        last, acc = None, 0  # the group of the row before and its sum so far
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            vals = pdf[w].fillna(0).to_numpy()
-            if group_cols:
-                gkey = pd.MultiIndex.from_frame(pdf[group_cols]) if len(group_cols) > 1 else pd.Index(pdf[group_cols[0]])
-                codes, _ = pd.factorize(gkey)
-                cum = pd.Series(vals).groupby(codes).cumsum().to_numpy() - vals
-                first_key = gkey[0]
-                if last_key is not None and first_key == last_key:
-                    cum = np.where(codes == codes[0], cum + acc, cum)
-                last_key = gkey[-1]
-                tail = codes == codes[-1]
-                acc = (cum[tail][-1] + vals[tail][-1]) if tail.any() else 0
-            else:
-                cum = np.cumsum(vals) - vals + acc
-                acc = cum[-1] + vals[-1]
-            yield pdf.assign(_pid=np.int32(pid), _local=cum.astype("float64" if acc_type == T.DoubleType() else "int64"))
+            weights = np.nan_to_num(pc.fill_null(batch.column(w), 0).to_numpy(zero_copy_only=False), posinf=np.inf, neginf=-np.inf)
+            n = len(weights)
+            first = np.zeros(n, bool)  # rows are sorted: a group is a run
+            for c in group_cols:
+                first[1:] |= _differs(batch.column(c).slice(1), batch.column(c).slice(0, n - 1))
+                first[0] |= last is not None and _differs(batch.column(c).slice(0, 1), last[c])[0]
+            runs = np.cumsum(first)
+            local = pd.Series(weights).groupby(runs).cumsum().to_numpy() - weights
+            local = np.where(runs == 0, local + acc, local).astype("float64" if acc_type == T.DoubleType() else "int64")
+            acc, last = local[-1] + weights[-1], {c: batch.column(c).slice(n - 1) for c in group_cols}
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(local)], names=[*batch.schema.names, "_pid", "_local"])
 
     ship_package(df.sparkSession)
-    local = srt.mapInPandas(local_sums, schema)
+    local = srt.mapInArrow(local_sums, schema)
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         local = local.checkpoint(eager=True)

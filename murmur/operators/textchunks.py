@@ -32,7 +32,8 @@ def daily_chunks(items: DataFrame, chunk_chars: int = config.CHUNK_CHARS,
     # so the texts are never written to the checkpoint. Rows that are equal throughout share one text.
     narrow = base.select(*keys, F.length("_t").cast("long").alias("_len"))
     offsets = range_prefix(narrow, [*order_cols, "_x"], [date_col], "_len", "_off", num_partitions)
-    texts = base.dropDuplicates(keys).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_t")
+    # (keys hold the text's hash, so with the text there are no more groups; nothing but groups lets Spark hash them unsorted)
+    texts = base.select(*keys, "_t").distinct().select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_t")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     pre = offsets.join(texts, functools.reduce(operator.and_, same), "inner")
     total = F.col("_group_total") - 1                      # no separator after the last text
@@ -41,7 +42,7 @@ def daily_chunks(items: DataFrame, chunk_chars: int = config.CHUNK_CHARS,
     head = (F.lit(C) - F.col("_off") % C).cast("int")
     length = (F.col("_end") - F.col("_off")).cast("int")
     own = F.substr(F.col("_t"), F.lit(1), length)
-    rest = F.regexp_extract_all(F.substr(own, head + 1), F.lit(f"(?s).{{1,{C}}}"), F.lit(0))
+    rest = F.when(length > head, F.regexp_extract_all(F.substr(own, head + 1), F.lit(f"(?s).{{1,{C}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     pieces = useful.select(date_col, "_off", F.posexplode(F.concat(F.array(F.substr(own, F.lit(1), head)), rest)).alias("_k", "_piece"))
     chunk = F.floor(F.col("_off") / C) + F.col("_k")
     pieces = pieces.select(date_col, chunk.alias("chunk"), F.greatest(chunk * C, F.col("_off")).alias("_start"), "_piece")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.operators import affine, relations, timeseries as ts
+from murmur.operators import affine, ordering, relations, timeseries as ts
 
 
 def filtered(zs, q, r, p0=1.0):
@@ -148,3 +148,20 @@ def test_comments_are_not_sorted_for_their_posts(spark):
     assert sorted((r["id_comment"], r["link_id"], r["title"]) for r in rel.collect()) == [
         ("c1", "1", "a"), ("c2", "1", "a"), ("c3", "9", None), ("c4", None, None), ("c5", "t3_1", None), ("c6", "", None)]
     assert sorted(r["id"] for r in lost.collect()) == ["c3", "c4", "c5", "c6"]
+
+
+def test_texts_of_a_day_are_made_distinct_without_a_sort(spark):
+    from murmur.operators import textchunks
+    rows = [(date(2024, 1, 1), 0, k, t) for k, t in (("a", "one"), ("a", "one"), ("b", None), (None, "two"), ("c", "x" * 9))]
+    chunks = textchunks.daily_chunks(spark.createDataFrame(rows, "date date, kind int, ord string, text string"), 4)
+    assert "SortAggregate" not in _plan(chunks)
+    assert "".join(r["text"] for r in chunks.orderBy("chunk").collect()) == "two one one  xxxxxxxxx"
+
+
+def test_prefix_sums_leave_the_other_columns_alone(spark):
+    big = (1 << 62) + 1
+    rows = [(g, i, big if i % 2 else None, i) for g in (None, "a", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, i long, other long, w long").repartition(7)
+    got = ordering.range_prefix(df, ["i"], ["g"], "w", num_partitions=5).collect()
+    assert {(r["g"], r["i"], r["other"], r["_before"], r["_group_total"]) for r in got} == {
+        (g, i, o, i * (i - 1) // 2, 1225) for g, i, o, _ in rows} and len(got) == len(rows)
