@@ -131,16 +131,21 @@ def quality(
     their rows and count as often as they stand. Without trusted rows all ratios have one smoothed target.
     """
     ratio = ratios(docs if learn_from is None else learn_from, labels, size, alpha)
-    # the ratios by bucket become one constant array of ``size`` numbers (2 MB, whatever the corpus), looked up by place
+    # the ratios by bucket become one array of ``size`` numbers (2 MB, whatever the corpus), looked up by place. A scalar
+    # subquery holds it: a literal would be written out in every plan that Spark logs, hundreds of MB in the driver
     placed = docs.sparkSession.range(size).join(ratio, F.col("id") == F.col("bucket"), "left")
     placed = placed.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("llr", F.lit(0).cast("long")).alias("llr")))).alias("all"))
-    by_bucket = F.split(F.lit(placed.select(F.array_join(F.col("all.llr").cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
     names = keep or ["doc_id"]
-    total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(by_bucket, F.pmod(x, F.lit(size)).cast("int")))
-    judged = let(words(F.col(text)), lambda w: let(hashes(w), lambda h: F.struct(
-        *base_counts(F.col(text), w, h), (total(h) + total(pairs(h))).alias("s"), F.greatest(2 * F.size(h) - 1, F.lit(0)).cast("long").alias("n"),
+    held = docs.select(*names, F.col(text).alias("_text"), placed.select(F.col("all.llr")).scalar().alias("_at"))
+
+    def scored(h: Column, at: Column) -> Column:
+        total = lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + F.get(at, F.pmod(x, F.lit(size)).cast("int")))
+        return total(h) + total(pairs(h))
+
+    judged = let(F.struct(words(F.col("_text")).alias("w"), F.col("_at").alias("at")), lambda x: let(hashes(x["w"]), lambda h: F.struct(
+        *base_counts(F.col("_text"), x["w"], h), scored(h, x["at"]).alias("s"), F.greatest(2 * F.size(h) - 1, F.lit(0)).cast("long").alias("n"),
     )))
-    sums = docs.select(*names, judged.alias("_b")).select(*names, *(F.col(f"_b.{c}") for c in BASE), "_b.s", "_b.n")
+    sums = held.select(*names, judged.alias("_b")).select(*names, *(F.col(f"_b.{c}") for c in BASE), "_b.s", "_b.n")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     passed = F.col("s") >= F.col("n") * round(threshold * UNIT)
     mean = (F.col("s") / F.greatest(F.col("n"), F.lit(1)) / UNIT).alias("llr")
