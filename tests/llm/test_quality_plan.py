@@ -12,4 +12,6 @@ def test_plan_is_short(spark):
     plan = out._jdf.queryExecution()
     assert len(plan.toString()) < 1_000_000
     assert "_at#" not in plan.optimizedPlan().toString()
+    kept = out.where("kept").select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count("split(trim(") == 1  # the filter that is pushed down holds the expression once
     assert out.count() == 20
