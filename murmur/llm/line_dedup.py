@@ -1,17 +1,17 @@
 """Fuzzy line dedup by MinHash.
 
 A line's signature is the least value of each of ``bands * rows`` hash functions over all its overlapping character
-shingles. Lines that agree in all rows of a band are candidates. Candidates are verified by the exact Jaccard
-similarity of the same shingles, and linked ones are joined by distributed union-find; one line of each component is kept.
-Signatures and similarities are computed in Arrow batches; Spark deals, joins and groups the lines.
+shingles. Lines that agree in all rows of a band are candidates. Candidates that a bound cannot rule out are verified by
+the exact Jaccard similarity of the same shingles, and linked ones are joined by distributed union-find; one line of each
+component is kept. Shingles are rows inside a task: they are cut, hashed and folded there and never shuffled by themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +20,11 @@ from .components import components
 
 #: Leaders of a bucket in the second round; a bucket with more lines than ``FULL`` after it is dealt anew by prefix tokens.
 LEADERS, FULL = 8, 2000
-#: Characters that are hashed at once, and shingles that are held as sets at once.
-BLOCK, HELD = 1 << 15, 1 << 20
+#: Shingles that one row takes, and 64-bit words of a line's parities.
+RUN, WORDS = 16, 16
 SPACE = " \t\n\x0b\x0c\r"
 
+
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, th (hash of the text), line_no, line, id``: the lines with a character that is no space, trimmed."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
@@ -31,109 +32,73 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def _codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A mixed 64-bit code for each run of k characters of the joined lines, and where each line's own runs begin and end.
-    A shorter line is filled up to one run."""
-    lines = [x.ljust(k, "\0") for x in lines]
-    flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) for x in lines], dtype=np.int64)
-    begin = np.cumsum(size) - size
-    code = np.zeros(len(flat) - k + 1, np.uint64)
-    for j in range(k):
-        code = code * np.uint64(0x9E3779B97F4A7C15) + flat[j : len(flat) - k + 1 + j]
-    for shift in (32, 29):
-        code = (code ^ (code >> np.uint64(shift))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return code ^ (code >> np.uint64(32)), begin, begin + size - k + 1
-
-
-def _blocks(lines: list[str], k: int) -> Iterator[list[str]]:
-    """Runs of the lines of about ``BLOCK`` characters; a longer line is a block of its own."""
-    block, held = [], 0
-    for x in lines:
-        if block and held + len(x) > BLOCK:
-            yield block
-            block, held = [], 0
-        block.append(x)
-        held += max(k, len(x))
-    if block:
-        yield block
-
-
-def band_keys(uniq: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``id, line, keys``: the keys of the bands of each line (``id, line``, ids unique)."""
-    factors = np.random.default_rng(0).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
-
-    def signed(lines: list[str]) -> np.ndarray:
-        code, begin, end = _codes(lines, k)
-        cuts = np.stack([begin, end], axis=1).ravel()[:-1]  # between a line's last run and the next line's first are runs of both
-        least = [np.minimum.reduceat(code * f, cuts)[::2] for f in factors]
-        keys = np.zeros((len(lines), bands), np.uint64)
-        for i, m in enumerate(least):
-            band = keys[:, i // rows]
-            keys[:, i // rows] = (band ^ (band >> np.uint64(31)) ^ m) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i // rows)
-        return keys.view(np.int64)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = batch.column("line").to_pylist()
-            got = [signed(x) for x in _blocks(lines, k)]
-            keys = np.concatenate(got) if got else np.zeros((0, bands), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("line"), lists], names=["id", "line", "keys"])
-
-    return uniq.select("id", "line").mapInArrow(sign, "id long, line string, keys array<long>")
-
+def _wide(line: Column, k: int) -> Column:
+    """The line in four bytes a character, so that a shingle is found by its place; a shorter line is filled up to one shingle."""
+    return F.encode(F.when(F.length(line) < k, F.rpad(line, k, "\0")).otherwise(line), "UTF-32")
 
-def shingles(line: str, k: int) -> set[str]:
-    """All overlapping runs of k characters; a shorter line is its own."""
-    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
+def _runs(rows: DataFrame, ids: list[str], line: str, k: int) -> DataFrame:
+    """``ids`` and ``c0`` and so on: the codes of ``RUN`` shingles of a line in each row; the last one stands in for those beyond the end."""
+    last = F.octet_length("w") - (4 * k - 1)
+    wide = rows.select(*ids, _wide(F.col(line), k).alias("w"))
+    wide = wide.select("*", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * RUN))).alias("i"))
+    at = [F.least(F.col("i") + 4 * j, "last") for j in range(RUN)]
+    return wide.select(*ids, *(F.xxhash64(F.substring("w", x, F.lit(4 * k))).alias(f"c{j}") for j, x in enumerate(at)))
 
-def n_shingles(line: Column, k: int) -> Column:
-    """The number of different shingles of a line."""
 
-    @F.arrow_udf("long")
-    def count(lines: pa.Array) -> pa.Array:
-        return pa.array([len(shingles(x, k)) for x in lines.to_pylist()], pa.int64())
-
-    return count(line)
-
-
-def similar(a: Column, b: Column, na: Column, nb: Column, k: int, percent: int) -> Column:
-    """Whether the Jaccard similarity of the shingles of two lines (``na`` and ``nb`` different ones) is ``percent`` or more, in
-    whole numbers."""
-
-    @F.arrow_udf("boolean")
-    def judge(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        sets, held, out = {}, 0, []
-        for x, y, n, m in zip(a.to_pylist(), b.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True):
-            pair = []
-            for line, size in ((x, n), (y, m)):
-                if line not in sets:
-                    if held + size > HELD:
-                        sets, held = {}, 0
-                    sets[line] = shingles(line, k)
-                    held += size
-                pair.append(sets[line])
-            both = len(pair[0] & pair[1])
-            out.append(both * 100 >= (n + m - both) * percent)
-        return pa.array(out, pa.bool_())
-
-    return judge(a, b, na, nb)
+def band_keys(uniq: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """``id, line, keys``: the keys of the bands of each line (``id, line``, ids unique). Hash functions are odd factors of
+    31 bits of a shingle's code."""
+    r, low = random.Random(0), (1 << 31) - 1
+    factors = [r.randrange(1 << 30) * 2 + 1 for _ in range(bands * rows)]
+    codes = _runs(uniq, ["id"], "line", k).select("id", *(F.col(f"c{j}").bitwiseAND(low).alias(f"c{j}") for j in range(RUN)))
+    least = [F.min(F.least(*((F.col(f"c{j}") * f).bitwiseAND(low) for j in range(RUN)))).alias(f"m{i}") for i, f in enumerate(factors)]
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"m{i * rows + j}") for j in range(rows))) for i in range(bands)))
+    signed = codes.groupBy("id").agg(*least).select("id", keys.alias("keys"))
+    return uniq.select("id", "line").join(signed.hint("shuffle_hash"), "id")
+
+
+def shingles(texts: DataFrame, k: int) -> DataFrame:
+    """``id, token``: the different shingles of each line (``id, line``, ids unique) as 64-bit codes."""
+    runs = _runs(texts.repartition("id"), ["id"], "line", k).select("id", F.array(*(f"c{j}" for j in range(RUN))).alias("run"))
+    found = runs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("tokens"))
+    return found.select("id", F.explode("tokens").alias("token"))
+
+
+def parities(texts: DataFrame, k: int) -> DataFrame:
+    """``id, s``: the number ``n`` of different shingles of each line, and for each of ``64 * WORDS`` hash values whether an odd number
+    of them has it."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned("token", 6).bitwiseAND(WORDS - 1)
+    odd = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    found = shingles(texts, k).select("id", word.alias("word"), bit.alias("bit")).groupBy("id").agg(F.count("*").alias("n"), *odd)
+    return found.select("id", F.struct("n", *(f"w{i}" for i in range(WORDS))).alias("s"))
+
+
+def may_be_similar(s: Column, t: Column, percent: int) -> Column:
+    """False only where the Jaccard similarity is below ``percent``: each parity in which two lines differ is a shingle that one of
+    them lacks, at least. In whole numbers."""
+    differ = reduce(add, (F.bit_count(s[f"w{i}"].bitwiseXOR(t[f"w{i}"])) for i in range(WORDS)))
+    both = s["n"] + t["n"]
+    return (F.least(s["n"], t["n"]) * 100 >= F.greatest(s["n"], t["n"]) * percent) & ((both - differ) * 100 >= (both + differ) * percent)
+
+
+def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b`` of the pairs (``a, b, la, lb``: two ids and their lines) whose shingles have a Jaccard similarity of ``percent`` or more,
+    in whole numbers. The shingles of both lines stand in one row of a task."""
+    side = lambda n, x: F.struct(F.lit(n).alias("side"), F.col(x).alias("line"))
+    sides = pairs.select("a", "b", F.explode(F.array(side(1, "la"), side(2, "lb"))).alias("x")).select("a", "b", "x.*")
+    runs = _runs(sides, ["a", "b", "side"], "line", k).select("a", "b", "side", F.array(*(f"c{j}" for j in range(RUN))).alias("run"))
+    of = lambda n: F.flatten(F.collect_list(F.when(F.col("side") == n, F.col("run"))))
+    held = runs.groupBy("a", "b").agg(of(1).alias("ta"), of(2).alias("tb"))
+    both, either = F.size(F.array_intersect("ta", "tb")).cast("long"), F.size(F.array_union("ta", "tb"))
+    return held.where(both * 100 >= either * percent).select("a", "b")
 
 
 def prefix_tokens(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``id, token``: the rarest shingles (as codes; counted over ``texts``: ``id, line``, ids unique) of each line, so many that two
     lines of a similarity of ``percent`` share one: of n, all but those that the least possible intersection leaves over."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                code, begin, end = _codes([line], k)
-                own = np.unique(code[begin[0] : end[0]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row, np.int64)), pa.array(own)], names=["id", "token"])
-
-    each = pinned(texts.select("id", "line").mapInArrow(tokens, "id long, token long"), "tokens")
+    each = pinned(shingles(texts, k), "tokens")
     often = pinned(each.groupBy("token").agg(F.count("*").alias("n")).withColumn("often", F.col("n")), "often")
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ordered = join_by_size(each, often, ["token"], "n", total).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
@@ -154,23 +119,26 @@ def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) ->
     uniq = found.select("id", "line").dropDuplicates(["id"])  # copies meet in tasks first
     signed = pinned(band_keys(uniq, k, bands, rows), "signatures")  # lines beside their keys: the texts are split and made distinct once
     keyed = signed.select("id", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    ends = keyed.repartition("key").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo != hi")
     ends = pinned(ends, "ends")
     # two lines in a bucket are its leaders; only fuller buckets are joined to their lines
-    led = pinned(keyed.join(ends.where("n > 2").select("key", "lo", "hi"), "key"), "buckets")
-    two = ends.where("n = 2").select("lo", "hi")
-    wanted = led.select("id").unionByName(two.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct()
-    texts = signed.select("id", "line").join(wanted, "id", "left_semi")
-    texts = pinned(texts.withColumn("n", n_shingles(F.col("line"), k)), "lines")
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    full = pinned(ends.where("n > 2").select("key", "lo", "hi"), "full")
+    led = pinned(keyed.join(full, "key"), "buckets")
+    two = ends.where("n = 2").select(F.col("lo").alias("x"), F.col("hi").alias("y")).distinct()
+    wanted = led.select("id").unionByName(two.select(F.explode(F.array("x", "y")).alias("id"))).distinct()
+    texts = pinned(signed.select("id", "line").join(wanted, "id", "left_semi"), "lines")
+    known = pinned(parities(texts, k), "parities")
+    of = lambda x, s: known.select(F.col("id").alias(x), F.col("s").alias(s))
+    likely = may_be_similar(F.col("s"), F.col("t"), percent)
 
     def held(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        sides = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)  # no others can be similar
-        ok = similar(F.col("la"), F.col("lb"), F.col("na"), F.col("nb"), k, percent)
-        return pinned(sides.select("a", "b", ok.alias("ok")).where("ok").select("a", "b"), "held")
+        side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"))
+        return pinned(similar(pairs.join(side("a"), "a").join(side("b"), "b"), k, percent), "held")
 
-    every = held(led.select(F.col("id").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).unionByName(two.toDF("x", "y")))
+    lead = full.select("key", F.explode(F.array("lo", "hi")).alias("y")).join(of("y", "t"), "y")
+    pairs = led.select("key", F.col("id").alias("x")).join(of("x", "s"), "x").join(lead, "key").where(likely).select("x", "y")
+    every = held(pairs.unionByName(two.join(of("x", "s"), "x").join(of("y", "t"), "y").where(likely).select("x", "y")))
     rest, leaders, dealt = led.where("id != lo AND id != hi").select("key", "id"), LEADERS, False
     while True:
         roots = components(every, "a", "b", "lines").withColumnRenamed("node", "id")
@@ -189,8 +157,10 @@ def line_links(found: DataFrame, k: int, bands: int, rows: int, percent: int) ->
             rest = pinned(rest.where(F.col("n") <= FULL).unionByName(again.select("key", "id", "part", "n")), "dealt")
         # a line leads by its own hash, so no bucket is sorted; all lead where there are few
         rest = rest.withColumn("leads", F.pmod(F.xxhash64("id", "key", F.lit(leaders)), F.col("n")) < leaders)
-        first = rest.where("leads").select("key", F.col("id").alias("y"), F.col("part").alias("other"))
-        every = every.unionByName(held(rest.join(first, "key").where("part != other").select(F.col("id").alias("x"), "y")))
+        sides = rest.join(known, "id")
+        first = sides.where("leads").select("key", F.col("id").alias("y"), F.col("part").alias("other"), F.col("s").alias("t"))
+        pairs = sides.select("key", F.col("id").alias("x"), "part", "s").join(first, "key").where((F.col("part") != F.col("other")) & likely)
+        every = every.unionByName(held(pairs.select("x", "y")))
         rest, leaders = rest.where("NOT leads").select("key", "id"), leaders * 4
 
 
