@@ -25,8 +25,8 @@ from murmur.session import default_parallelism, ensure_checkpoint_dir, ship_pack
 TARGET_PARTITION_BYTES = 64 << 20
 
 
-def _num_partitions(df: DataFrame, requested: int | None) -> int:
-    """Range partitions: ~64 MB of scanned input each, at least the cluster's parallelism,
+def _num_partitions(df: DataFrame, requested: int | None, part_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Range partitions: ``part_bytes`` of scanned input each, at least the cluster's parallelism,
     at most the configured shuffle partitions (which a cluster sizes for its data)."""
     if requested:
         return requested
@@ -36,7 +36,7 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
     est = estimated_bytes(df)
     if est is None:
         return shuffle
-    want = -(-est // TARGET_PARTITION_BYTES)
+    want = -(-est // part_bytes)
     return max(min(par, shuffle), min(shuffle, want))
 
 

@@ -158,6 +158,39 @@ def test_texts_of_a_day_are_made_distinct_without_a_sort(spark):
     assert "".join(r["text"] for r in chunks.orderBy("chunk").collect()) == "two one one  xxxxxxxxx"
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_texts_are_shuffled_once_to_be_chunked(spark, reuse):
+    """The day's offsets and the texts come from one shuffle: no join of the texts with their offsets by key, nothing stored."""
+    from murmur.operators import textchunks
+    rows = [(None if i % 9 == 0 else date(2024, 1, 1 + i % 2), i % 2, None if i % 5 == 0 else f"k{i % 60}", None if i % 11 == 0 else "añ\ud55c" * (i % 40)) for i in range(400)]
+    rows += [(date(2024, 2, 1), 0, "x", None), *[(date(2024, 2, 2), 0, None, "same")] * 30]
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.createDataFrame(rows, "date date, kind int, ord string, text string").repartition(5)
+        chunks = textchunks.daily_chunks(df, 50, num_partitions=6)
+        got = {}
+        for r in chunks.collect():
+            got.setdefault(r["date"], {})[r["chunk"]] = r["text"]
+        if reuse == "true":
+            assert "SortMergeJoin" not in _plan(chunks) and "ShuffledHashJoin" not in _plan(chunks) and _plan(chunks).count("RDD") == 2
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    assert set(got) == {r[0] for r in rows} and got[date(2024, 2, 1)] == {0: ""}
+    for day, parts in got.items():
+        mine = [r for r in rows if r[0] == day]
+        text = "".join(parts[k] for k in range(len(parts)))
+        assert len(text) == sum(len(r[3] or "") for r in mine) + len(mine) - 1
+        assert all(len(parts[k]) == 50 for k in range(len(parts) - 1))
+        keys = {(k, o) for _, k, o, _ in mine}
+        at = 0
+        for key in sorted(keys, key=lambda x: (x[0], x[1] is not None, x[1] or "")):  # equal keys come in an order of their own
+            want = sorted(r[3] or "" for r in mine if r[1:3] == key)
+            size = sum(map(len, want)) + len(want)
+            assert sorted((text + " ")[at:at + size - 1].split(" ")) == want
+            at += size
+
+
 def test_prefix_sums_leave_the_other_columns_alone(spark):
     big = (1 << 62) + 1
     rows = [(g, i, big if i % 2 else None, i) for g in (None, "a", "b") for i in range(50)]
