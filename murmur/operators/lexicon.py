@@ -1,10 +1,10 @@
 """Lexicon scorers as Spark jobs.
 
-Tokenise -> flag negation with array functions (no per-row Python) -> explode -> join the
-lexicon -> partial aggregate per item. Texts are never shuffled: only ``(item, token)``
-hits leave the scan stage, already reduced to one row per item by the map-side partial
-aggregation. The lexicon is a bounded parameter table (one row per term) and is broadcast
-only after its size is checked.
+Tokenise -> flag negation with array functions (no per-row Python) -> look the words up in the
+lexicon -> sum per item, all within the item's row: nothing of an item is shuffled. The lexicon is a
+parameter table (one row per term), held as one array of short lists by the terms' hash; its size is checked
+first. A larger one is joined to the exploded words, which then leave the scan stage reduced to one row
+per item by the map-side partial aggregation.
 """
 
 from __future__ import annotations
@@ -89,9 +89,12 @@ def lexicon_hits(items: DataFrame, lexicon: DataFrame, id_cols, text_col: str =
     # below drops the outer row of an empty text anyway.
     exploded = flagged.select(*id_cols, F.posexplode_outer("_z").alias("pos", "_t")).select(
         *id_cols, "pos", F.col("_t.term").alias("term"), F.col("_t.negated").alias("negated"))
-    # one valence per term (a duplicated term keeps its largest valence, deterministically)
-    lex = bounded_broadcast(lexicon.groupBy("term").agg(F.max("valence").alias("valence")))
-    return exploded.join(lex, "term", how)
+    return exploded.join(bounded_broadcast(_valences(lexicon)), "term", how)
+
+
+def _valences(lexicon: DataFrame) -> DataFrame:
+    """One valence per term (a duplicated term keeps its largest valence, deterministically)."""
+    return lexicon.groupBy("term").agg(F.max("valence").alias("valence"))
 
 
 def score_items(items: DataFrame, lexicon: DataFrame, id_cols="item_id", text_col: str = "text",
@@ -108,23 +111,59 @@ def score_items(items: DataFrame, lexicon: DataFrame, id_cols="item_id", text_co
     return _each_row(items, lexicon, names, text_col).select(*names, "vader", "textblob")
 
 
+#: Terms that a task may hold to look words up in their own rows (a published lexicon has some thousands).
+LOOKUP_TERMS = 1 << 17
+
+
 def _each_row(items: DataFrame, lexicon: DataFrame, names: list[str], text_col: str) -> DataFrame:
-    """``names, vader, textblob`` of each row in one scan: rows are told apart by a number given before the words
-    are exploded, so null and repeated ids keep their own scores; a row's words lie in one task and are summed there."""
+    """``names, vader, textblob`` of each row in one scan; null and repeated ids keep their own scores. Words are looked up and
+    summed within their row. With a lexicon too large for that, rows are told apart by a number given before the words
+    are exploded; a row's words lie in one task and are summed there, and the sums are shuffled."""
+    valences = _valences(lexicon)
+    n = valences.limit(LOOKUP_TERMS + 1).count()
+    if n <= LOOKUP_TERMS:
+        return _looked_up(items, valences, n, names, text_col)
     rows = items.withColumn("_row", F.monotonically_increasing_id())
     per = _per_item(lexicon_hits(rows, lexicon, ["_row", *names], text_col, how="left"), ["_row", *names])
     return per.select(*names, F.coalesce("vader", F.lit(0.0)).alias("vader"), F.coalesce("textblob", F.lit(0.0)).alias("textblob"))
 
 
+def _looked_up(items: DataFrame, valences: DataFrame, n: int, names: list[str], text_col: str) -> DataFrame:
+    """:func:`_each_row` with the ``n`` terms in one array (a scalar subquery): place k holds those whose hash falls there."""
+    size = F.lit(max(n, 1))
+    place = lambda term: F.pmod(F.xxhash64(term), size).cast("int")
+    lists = valences.na.drop().groupBy(place("term").alias("_place")).agg(F.collect_list(F.struct("term", "valence")).alias("_terms"))
+    places = items.sparkSession.range(max(n, 1)).join(lists, F.col("id") == F.col("_place"), "left")
+    places = places.agg(F.sort_array(F.collect_list(F.struct("id", "_terms"))).alias("_all"))
+    held = places.select(F.col("_all._terms")).scalar()
+    valence = lambda term: F.get(F.filter(F.get("_held", place(term)), lambda e: e["term"] == term), F.lit(0))["valence"]
+    toks = spread(items.select(*names, text_col)).select(*names, tokens(F.col(text_col)).alias("_toks"))
+    marked = toks.select(*names, "_toks", _negation_marks(F.col("_toks"), config.NEGATORS).alias("_marks"))
+    flagged = marked.select(*names, "_toks", _negated_flags(F.col("_marks"), F.size("_toks")).alias("_flags"))
+    # a column that is used once: the optimizer puts the subquery where it is used, no row carries the array
+    words = F.zip_with("_toks", "_flags", lambda t, f: F.struct(valence(t).alias("valence"), f.alias("negated")))
+    hits = flagged.select("*", held.alias("_held")).select(*names, F.filter(words, lambda w: w["valence"].isNotNull()).alias("_hits"))
+    total = lambda weight: F.aggregate("_hits", F.lit(0.0), lambda a, w: a + weight(w["valence"], w["negated"]))
+    sums = hits.select(*names, F.size("_hits").alias("_n"), total(_signed).alias("_s"), total(_polar).alias("_p"))
+    return sums.select(*names, _compound(F.col("_s")).alias("vader"), F.coalesce(F.try_divide("_p", "_n"), F.lit(0.0)).alias("textblob"))
+
+
+def _signed(valence: Column, negated: Column) -> Column:
+    return valence * F.when(negated, F.lit(config.NEGATION_SCALAR)).otherwise(F.lit(1.0))
+
+
+def _polar(valence: Column, negated: Column) -> Column:
+    return valence / F.lit(config.POLARITY_SCALE) * F.when(negated, F.lit(config.POLARITY_NEGATION)).otherwise(F.lit(1.0))
+
+
+def _compound(s: Column) -> Column:
+    return s / F.sqrt(s * s + F.lit(config.COMPOUND_ALPHA))
+
+
 def _per_item(hits: DataFrame, id_cols: list[str]) -> DataFrame:
-    neg_v = F.when(F.col("negated"), F.lit(config.NEGATION_SCALAR)).otherwise(F.lit(1.0))
-    neg_p = F.when(F.col("negated"), F.lit(config.POLARITY_NEGATION)).otherwise(F.lit(1.0))
-    per = hits.groupBy(*id_cols).agg(
-        F.sum(F.col("valence") * neg_v).alias("_s"),
-        F.avg(F.col("valence") / F.lit(config.POLARITY_SCALE) * neg_p).alias("_p"))
-    s = F.col("_s")
-    return per.select(*id_cols, (s / F.sqrt(s * s + F.lit(config.COMPOUND_ALPHA))).alias("vader"),
-                      F.col("_p").alias("textblob"))
+    valence, negated = F.col("valence"), F.col("negated")
+    per = hits.groupBy(*id_cols).agg(F.sum(_signed(valence, negated)).alias("_s"), F.avg(_polar(valence, negated)).alias("_p"))
+    return per.select(*id_cols, _compound(F.col("_s")).alias("vader"), F.col("_p").alias("textblob"))
 
 
 def daily_scores(items: DataFrame, lexicon: DataFrame, date_col: str = "date") -> DataFrame:
