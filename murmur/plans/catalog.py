@@ -57,6 +57,18 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small derived table (a row per day) computed and stored at once, after which Spark removes the shuffle files it
+    took: steps that each shuffle the whole input need the disk of the largest one, not of all together."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return pinned(df.select("*"))  # a frame takes the setting when it is made
+    finally:
+        conf.set(key, before)
+
+
 def rnd(c: str, digits: int = 6):
     return F.round(F.col(c) * F.lit(NUDGE), digits).alias(c)
 
@@ -814,12 +826,12 @@ def q_unlabelled_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model_features(spark, sf):
     """The full feature table of the original: market x social x posts, plus the daily
-    model score of the day's texts (T4 over the social items' chunks)."""
+    model score of the day's texts (T4 over the social items' chunks). Each daily table is settled before the next."""
     bars = tb.bars_from_lineitem(tb.load(spark, sf, "lineitem"))
     items = _social_items(spark, sf)
-    daily_model = scoring.daily_model_scores(textchunks.daily_chunks(items), scoring.neutral_factory)
-    social = rollups.social_table(rollups.daily_social(_scored_social_items(spark, sf)), daily_model,
-                                  _daily_posts(spark, sf))
+    daily_model = settled(scoring.daily_model_scores(textchunks.daily_chunks(items), scoring.neutral_factory))
+    daily_social = settled(rollups.daily_social(_scored_social_items(spark, sf)))
+    social = rollups.social_table(daily_social, daily_model, settled(_daily_posts(spark, sf)))
     return ts.features(rollups.market_social(bars, social), sentiment="avg_sentiment")
 
 
