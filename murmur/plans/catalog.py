@@ -59,12 +59,13 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """A small derived table (a row per day) computed and stored at once, after which Spark removes the shuffle files it
-    took: steps that each shuffle the whole input need the disk of the largest one, not of all together."""
+    took: steps that each shuffle the whole input need the disk of the largest one, not of all together. Rows without a
+    date, which no market day joins, are left out below the steps, as they are where one plan holds all."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return pinned(df.select("*"))  # a frame takes the setting when it is made
+        return pinned(df.where(F.col("date").isNotNull()))  # a frame takes the setting when it is made
     finally:
         conf.set(key, before)
 
